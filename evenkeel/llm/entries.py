@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import jaccard, mixing, tokens
 
 QUERIES = {
     "op1_mixing": mixing.op1,
+    "op5_jaccard": jaccard.op5,
+    "op6_tokens": tokens.op6,
 }
 SQL = {
     "op1_mixing": mixing.SQL,
