@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections import Counter
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,10 +14,11 @@ from .common import column, durable, table
 
 TOKENIZER = "piece_bpe_32k.model"
 LIMIT = 4096
-#: The most frequent pre-tokens whose counts every worker holds, and the longest of them in bytes.
-COMMON, COMMON_BYTES = 50_000, 64
-#: Distinct pre-tokens that a task holds before it hands them on.
-HELD = 200_000
+#: Documents, about, whose pre-tokens are looked through for common ones; how many of those every
+#: worker holds at most; the longest of them in bytes.
+SAMPLE, COMMON, COMMON_BYTES = 10_000, 200_000, 48
+#: Distinct pre-tokens that a task of the sample holds before it hands them on.
+HELD = 100_000
 
 
 def pieces_of(text: str) -> list[str]:
@@ -63,14 +65,17 @@ def load(path: str):
     return count
 
 
-def distinct_pieces(docs: DataFrame) -> DataFrame:
-    """(piece, n): how often each pre-token occurs in the texts."""
+def frequent_pieces(docs: DataFrame, most: int) -> list[str]:
+    """Pre-tokens found more than once in a sample of the documents, at most `most`.
+
+    Which ones they are decides how fast a count is, not what it is.
+    """
 
     def run(batches):
         held: Counter = Counter()
 
         def flush():
-            names = list(held)
+            names = [x for x in held if len(x.encode()) <= COMMON_BYTES]
             out = pa.record_batch([pa.array(names, pa.string()), pa.array([held[x] for x in names], pa.int64())], names=["piece", "n"])
             held.clear()
             return out
@@ -84,70 +89,81 @@ def distinct_pieces(docs: DataFrame) -> DataFrame:
         if held:
             yield flush()
 
-    return docs.select("text").mapInArrow(run, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
-
-
-def with_counts(pieces: DataFrame, path: str) -> DataFrame:
-    """(piece, n) to (piece, n, tokens), one call of the tokenizer's library for each distinct piece."""
-
-    def run(batches):
-        count = load(path)
-        for batch in batches:
-            names = column(batch, "piece")
-            tokens: list[int] = []
-            for i in range(0, len(names), 5000):
-                tokens += count(names[i : i + 5000])
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(tokens, pa.int32())], names=["piece", "n", "tokens"])
-
-    return pieces.select("piece", "n").mapInArrow(run, "piece string, n long, tokens int")
+    n = docs.count()
+    some = docs.where(F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1_000_000)) < F.lit(1_000_000 * SAMPLE // max(n, 1))).select("text")
+    counted = durable(some.mapInArrow(run, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n")).where("n > 1"))
+    # the least count that leaves at most `most` of them, from counts by powers of two
+    by = sorted(((r.p, r["count"]) for r in counted.groupBy(F.floor(F.log2("n")).alias("p")).count().collect()), reverse=True)
+    least, total = 62, 0
+    for p, count in by:
+        if total + count > most:
+            break
+        least, total = p, total + count
+    return [r.piece for r in counted.where(F.col("n") >= F.lit(1 << least)).select("piece").collect()]
 
 
 def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
     """n_bytes, n_tokens and over_limit of each document, as the tokenizer's library gives them.
 
-    Pre-tokens are counted over all texts and each distinct one is tokenized once. The COMMON most
-    frequent (a fixed number, each of COMMON_BYTES at most) go to every worker, which sums them
-    document by document; the other pre-tokens of a document are joined to their counts. No ids are
-    kept. Needs doc_id and text; other columns are ignored. Null text counts as empty: 0 bytes, 0
-    tokens. Rows with equal doc_id, and repeated rows, each get a row. No rows: no rows.
+    Common pre-tokens (COMMON at most, each of COMMON_BYTES at most) are tokenized once and go to
+    every worker, which sums them document by document. The other pre-tokens of a document are dealt
+    out by pre-token with their frequency, so that each distinct one is tokenized once, and their
+    counts are summed by document. No ids are kept. Needs doc_id and text; other columns are
+    ignored. Null text counts as empty: 0 bytes, 0 tokens. Rows with equal doc_id, and repeated
+    rows, each get a row. No rows: no rows.
     """
     spark = docs.sparkSession
-    counted = durable(with_counts(distinct_pieces(docs), path))
-    top = counted.where(F.octet_length("piece") <= COMMON_BYTES).orderBy(F.desc("n"), "piece").limit(COMMON)
-    known = spark.sparkContext.broadcast({r.piece: r.tokens for r in top.collect()})
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    names = frequent_pieces(docs, COMMON)
+    known = spark.sparkContext.broadcast(dict(zip(names, load(path)(names))))
+    del names
 
-    def run(batches):
+    def scan(batches):
         common = known.value
         for batch in batches:
-            ids, keys, sizes, sums, names, times = [], [], [], [], [], []
-            for doc_id, text in zip(column(batch, "doc_id"), column(batch, "text")):
-                raw = (text or "").encode()
-                tokens, rest = 0, {}
-                for p in pieces_of(text or ""):
-                    n = common.get(p)
-                    if n is None:
-                        rest[p] = rest.get(p, 0) + 1
-                    else:
-                        tokens += n
-                ids.append(doc_id)
-                keys.append(xxhash.xxh3_64_intdigest(raw) - (1 << 63))
-                sizes.append(len(raw))
-                sums.append(tokens)
-                names.append(list(rest))
-                times.append(list(rest.values()))
-            yield pa.record_batch(
-                [pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sums, pa.int64()), pa.array(names, pa.list_(pa.string())), pa.array(times, pa.list_(pa.int32()))],
-                names=["doc_id", "key", "n_bytes", "tokens", "names", "times"],
-            )
-
-    rows = durable(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, key long, n_bytes long, tokens long, names array<string>, times array<int>"))
-    rare = rows.select("doc_id", "key", "n_bytes", F.explode(F.arrays_zip("names", "times")).alias("x")).select("doc_id", "key", "n_bytes", F.col("x.names").alias("piece"), F.col("x.times").alias("times"))
-    rare = rare.join(counted.select("piece", F.col("tokens").alias("each")), "piece")
-    rare = rare.select("doc_id", "key", "n_bytes", (F.col("times") * F.col("each")).cast("long").alias("tokens"), F.lit(0).alias("rows"))
-    every = rows.select("doc_id", "key", "n_bytes", "tokens", F.lit(1).alias("rows")).unionByName(rare)
+            ids, texts = column(batch, "doc_id"), column(batch, "text")
+            for start in range(0, len(ids), 500):
+                rows = []
+                for doc_id, text in zip(ids[start : start + 500], texts[start : start + 500]):
+                    raw = (text or "").encode()
+                    tokens, rest = 0, {}
+                    for p in pieces_of(text or ""):
+                        n = common.get(p)
+                        if n is None:
+                            rest[p] = rest.get(p, 0) + 1
+                        else:
+                            tokens += n
+                    h = xxhash.xxh32_intdigest(raw) - (1 << 31)
+                    rows.append((xxhash.xxh3_64_intdigest(f"{doc_id} {h}") >> 1, None, doc_id, h, tokens, len(raw)))
+                    rows += [(xxhash.xxh3_64_intdigest(p) >> 1, p, doc_id, h, n, None) for p, n in rest.items()]
+                k, piece, doc, h, n, size = zip(*rows)
+                yield pa.record_batch(
+                    [pa.array(k, pa.int64()), pa.array(piece, pa.string()), pa.array(doc, pa.int64()), pa.array(h, pa.int32()), pa.array(n, pa.int64()), pa.array(size, pa.int64())],
+                    names=["k", "piece", "doc_id", "h", "n", "n_bytes"],
+                )
+
+    def tokenize(batches):
+        count, last, last_n = load(path), None, 0
+        for batch in batches:
+            pieces = batch.column(1).dictionary_encode()
+            distinct = pieces.dictionary.to_pylist()
+            fresh = count([p for p in distinct if p != last])
+            if last in distinct:
+                fresh.insert(distinct.index(last), last_n)
+            if distinct:
+                last, last_n = distinct[-1], fresh[-1]
+            each = pa.array(fresh, pa.int64()).take(pieces.indices)
+            n = pc.multiply(batch.column(4), pc.fill_null(each, 1))
+            rows = pc.cast(pc.is_valid(batch.column(5)), pa.int32())
+            yield pa.record_batch([batch.column(2), batch.column(3), n, rows, batch.column(5)], names=["doc_id", "h", "n", "rows", "n_bytes"])
+
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    pieces = docs.mapInArrow(scan, "k long, piece string, doc_id long, h int, n long, n_bytes long")
+    pieces = pieces.repartition(parts, "k").sortWithinPartitions("k", "piece")
+    every = pieces.mapInArrow(tokenize, "doc_id long, h int, n long, rows int, n_bytes long")
+    every = every.groupBy("doc_id", "h").agg(F.sum("n").alias("n"), F.sum("rows").alias("rows"), F.max("n_bytes").alias("n_bytes"))
     # equal rows were added up together: give each its share
-    every = every.groupBy("doc_id", "key", "n_bytes").agg(F.sum("tokens").alias("tokens"), F.sum("rows").alias("rows"))
-    every = every.withColumn("n_tokens", F.expr("tokens div rows")).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))
+    every = every.withColumn("n_tokens", F.expr("n div rows")).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))
     return every.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
