@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import jaccard, mixing, tokens
+from . import jaccard, language, mixing, quality, tokens, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1,
+    "op4_toxicity": toxicity.op4,
     "op5_jaccard": jaccard.op5,
     "op6_tokens": tokens.op6,
+    "op9_language": language.op9,
+    "op10_quality": quality.op10,
 }
 SQL = {
     "op1_mixing": mixing.SQL,
