@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import jaccard, language, mixing, quality, tokens, toxicity
+from . import decontaminate, jaccard, language, lines, mixing, quality, tokens, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1,
+    "op2_lines": lines.op2,
     "op4_toxicity": toxicity.op4,
     "op5_jaccard": jaccard.op5,
     "op6_tokens": tokens.op6,
+    "op7_decontaminate": decontaminate.op7,
     "op9_language": language.op9,
     "op10_quality": quality.op10,
 }

@@ -246,3 +246,16 @@ def similar_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFr
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_groups(table(spark, sf_dir, "documents"), words=3, percent=90)
+
+
+def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """Pipeline stage: of each group of similar documents the one with the least doc_id, all columns kept.
+
+    Rows with equal doc_id count as one document here: one of them stays. Documents without words,
+    and rows with a null doc_id, all stay.
+    """
+    found = similar_groups(docs, words, percent)
+    heads = found.where("n_shingles > 0 and doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
+    worded = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]") & F.col("doc_id").isNotNull()
+    kept = docs.where(worded).join(durable(heads), F.col("doc_id") == F.col("kept_id"), "left_semi").dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.where(~worded))
