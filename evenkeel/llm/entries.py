@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard, language, lines, mixing, quality, tokens, toxicity
+from . import chunks, decontaminate, jaccard, language, lines, mixing, quality, tokens, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1,
     "op2_lines": lines.op2,
+    "op3_chunks": chunks.op3,
     "op4_toxicity": toxicity.op4,
     "op5_jaccard": jaccard.op5,
     "op6_tokens": tokens.op6,
