@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chunks, decontaminate, jaccard, language, lines, mixing, quality, tokens, toxicity
+from . import chunks, decontaminate, jaccard, language, lines, mixing, quality, tokens, toxicity, vectors
 
 QUERIES = {
     "op1_mixing": mixing.op1,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_jaccard": jaccard.op5,
     "op6_tokens": tokens.op6,
     "op7_decontaminate": decontaminate.op7,
+    "op8_vectors": vectors.op8,
     "op9_language": language.op9,
     "op10_quality": quality.op10,
 }
