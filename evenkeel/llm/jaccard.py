@@ -174,8 +174,39 @@ def links(pairs: DataFrame, rows: DataFrame, bound: Bound) -> DataFrame:
     return near.mapInArrow(run, "a long, b long")
 
 
-def pairs_left(batches, bound: Bound):
-    """Tiles of blocks (sig, i, j, id, at, comp, n, row), sorted: pairs across components that sizes and sketches allow."""
+def forest(p: np.ndarray, q: np.ndarray, far: np.ndarray, comp: np.ndarray) -> np.ndarray:
+    """Which of the edges p[e]-q[e] make a least spanning forest of the components; nearest first."""
+    names, label = np.unique(comp, return_inverse=True)
+    key = far.astype(np.int64) * len(p) + np.arange(len(p))
+    taken, never = [], np.iinfo(np.int64).max
+    root = np.arange(len(names))
+    while True:
+        a, b = label[p], label[q]
+        cross = a != b
+        if not cross.any():
+            return np.unique(np.concatenate(taken)) if taken else np.zeros(0, np.int64)
+        best = np.full(len(names), never)
+        np.minimum.at(best, a[cross], key[cross])
+        np.minimum.at(best, b[cross], key[cross])
+        new = np.unique(best[best < never] % len(p))
+        taken.append(new)
+        for e in new:
+            x, y = label[p[e]], label[q[e]]
+            while root[x] != x:
+                x = root[x]
+            while root[y] != y:
+                y = root[y]
+            root[max(x, y)] = min(x, y)
+        while (root[root] != root).any():
+            root = root[root]
+        label = root[label]
+
+
+def pairs_left(batches, bound: Bound, every: bool):
+    """Tiles of blocks (sig, i, j, id, at, comp, n, row), sorted: pairs across components that sizes and sketches allow.
+
+    All of them, or as many as would join what they can join within a tile.
+    """
     for t in groups(batches, ["sig", "i", "j"]):
         i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
         at, ids, comp, n = (t.column(c).to_numpy() for c in ("at", "id", "comp", "n"))
@@ -186,6 +217,9 @@ def pairs_left(batches, bound: Bound):
         ok = (comp[x][:, None] != comp[y][None, :]) & (far <= bound.apart(n[x][:, None] + n[y][None, :]))
         ok &= ids[x][:, None] < ids[y][None, :] if i == j else True
         p, q = np.nonzero(ok)
+        if len(p) and not every:
+            e = forest(x[p], y[q], far[p, q], comp)
+            p, q = p[e], q[e]
         if len(p):
             a, b = ids[x[p]], ids[y[q]]
             yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
@@ -220,19 +254,22 @@ def similar_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFr
 
     tried = durable(members.where("id <> lead").select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct())
     linked = durable(links(tried, rows, bound))
+    sketches = rows.select("id", "n", F.substring("row", 1, SKETCH_BITS // 8).alias("row"))
+    # first as few pairs as may join all that can be joined, then every pair that is still apart
+    for every in (False, True):
+        parted = components(linked).withColumnRenamed("node", "id")
+        members = durable(members.select("sig", "id").join(parted, "id", "left").select("sig", "id", F.coalesce("component", "id").alias("comp")))
+        blocks = members.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size"))
+        blocks = durable(blocks.where("low <> high").select("sig", F.ceil(F.col("size") / TILE).cast("int").alias("tiles")))
+        tiles = durable(members.join(blocks, "sig")).join(sketches, "id")
+        tiles = tiles.withColumn("at", F.pmod(F.xxhash64("id"), "tiles").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+        tiles = tiles.select("sig", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"), "id", "at", "comp", "n", "row")
+        tiles = tiles.repartition(parts, "sig", "i", "j").sortWithinPartitions("sig", "i", "j")
+        found_pairs = tiles.mapInArrow(lambda x, every=every: pairs_left(x, bound, every), "a long, b long").distinct()
+        others = durable(found_pairs.join(tried, ["a", "b"], "left_anti"))
+        tried = tried.union(others)
+        linked = durable(linked.union(links(others, rows, bound)))
     parted = components(linked).withColumnRenamed("node", "id")
-    members = durable(members.join(parted, "id", "left").select("sig", "id", F.coalesce("component", "id").alias("comp")))
-    blocks = members.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size"))
-    blocks = durable(blocks.where("low <> high").select("sig", F.ceil(F.col("size") / TILE).cast("int").alias("tiles")))
-    tiles = durable(members.join(blocks, "sig"))
-    tiles = tiles.join(rows.select("id", "n", F.substring("row", 1, SKETCH_BITS // 8).alias("row")), "id")
-    tiles = tiles.withColumn("at", F.pmod(F.xxhash64("id"), "tiles").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    tiles = tiles.select("sig", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"), "id", "at", "comp", "n", "row")
-    tiles = tiles.repartition(parts, "sig", "i", "j").sortWithinPartitions("sig", "i", "j")
-    others = tiles.mapInArrow(lambda x: pairs_left(x, bound), "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")
-    more = durable(links(durable(others), rows, bound))
-
-    parted = components(linked.union(more)).withColumnRenamed("node", "id")
     parted = durable(parted.join(least, "id"))
     lowest = durable(parted.groupBy("component").agg(F.min("first").alias("lowest")))
     parted = durable(parted.join(lowest, "component").select("id", "lowest"))
