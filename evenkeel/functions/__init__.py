@@ -1 +1 @@
-
+"""Scalar expressions and reducers: Column in, Column out."""

@@ -1 +1,50 @@
+"""Structured Streaming forms of the windowed operators."""
 
+from __future__ import annotations
+
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def read_table(spark: SparkSession, folder: str, name: str, files_a_trigger: int | None = None) -> DataFrame:
+    """A stream of the Parquet files of one table in a folder, a single file or a folder of its own."""
+    at = f"{folder}/{name}.parquet"
+    schema = spark.read.parquet(at).schema
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    whole = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory()
+    stream = spark.readStream.schema(schema)
+    if files_a_trigger:
+        stream = stream.option("maxFilesPerTrigger", files_a_trigger)
+    return stream.parquet(at) if whole else stream.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+
+
+def sliding_counts(stream: DataFrame, time: Column, width: str, stride: str, late: str, keys: list[str]) -> DataFrame:
+    """Count and sum of `value` by key and sliding window [start, end)."""
+    rows = stream.withColumn("_time", time.cast("timestamp")).withWatermark("_time", late)
+    out = rows.groupBy(F.window("_time", width, stride), *keys).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    return out.select(F.col("window.start").alias("start"), *keys, "n", "total")
+
+
+def sessions(stream: DataFrame, time: Column, gap: str, late: str, keys: list[str]) -> DataFrame:
+    """Episodes of a key: rows with less than the gap between them."""
+    rows = stream.withColumn("_time", time.cast("timestamp")).withWatermark("_time", late)
+    out = rows.groupBy(F.session_window("_time", gap), *keys).agg(F.count("*").alias("n"))
+    return out.select(*keys, F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
+
+
+def drained(stream: DataFrame, mode: str = "complete") -> DataFrame:
+    """All that is there now, as a table; for catalogues and tests, since the result is kept in memory."""
+    name = f"drained_{uuid.uuid4().hex}"
+    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return stream.sparkSession.table(name)
+
+
+def to_table(stream: DataFrame, path: str, checkpoint: str, keys: list[str], key_time: Callable[[DataFrame], DataFrame] | None = None):
+    """Appends a stream to Parquet, what is there now; each file once, across restarts with one checkpoint."""
+    rows = key_time(stream) if key_time else stream
+    q = rows.dropDuplicates(keys).writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
