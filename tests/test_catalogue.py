@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 from evenkeel.plans.catalogue import QUERIES, SQL
 
@@ -21,7 +22,7 @@ def duck():
 
 def canonical(frame):
     frame = frame[sorted(frame.columns)]
-    text = lambda v: "null" if v is None or v != v else f"{v:.6g}" if isinstance(v, float) else str(v)
+    text = lambda v: "null" if v is None or pd.isna(v) else f"{float(v):.10g}" if isinstance(v, (int, float)) else str(v)
     return sorted(tuple(text(v) for v in row) for row in frame.astype(object).itertuples(index=False))
 
 
