@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chunks, decontaminate, jaccard, language, lines, mixing, quality, tokens, toxicity, vectors
+from . import chunks, decontaminate, jaccard, joins_sql, language, lines, mixing, quality, tokens, toxicity, vectors
 
 QUERIES = {
     "op1_mixing": mixing.op1,
@@ -18,4 +18,6 @@ QUERIES = {
 }
 SQL = {
     "op1_mixing": mixing.SQL,
+    "op5_jaccard": joins_sql.JACCARD,
+    "op8_vectors": joins_sql.VECTORS,
 }
