@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chunks, decontaminate, jaccard, joins_sql, language, lines, mixing, quality, tokens, toxicity, vectors
+from . import chunks, decontaminate, jaccard, joins_sql, language, lines, lines_sql, mixing, quality, tokens, toxicity, vectors
 
 QUERIES = {
     "op1_mixing": mixing.op1,
@@ -18,6 +18,7 @@ QUERIES = {
 }
 SQL = {
     "op1_mixing": mixing.SQL,
+    "op2_lines": lines_sql.SQL,
     "op5_jaccard": joins_sql.JACCARD,
     "op8_vectors": joins_sql.VECTORS,
 }
