@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,18 +16,21 @@ from .quality import labelled_ids
 FOLDS, FOLD = 4, 2
 CUT = 0.3
 #: Labelled documents of each class that the field is trained on, at most (about; by a hash of the id).
-SAMPLE = 2_000
-#: Tokens of a training window, windows of each class, slots of the hashed weights.
-WINDOW, WINDOWS, SLOTS = 48, 2_500, 1 << 18
+SAMPLE = 3_000
+#: Tokens of a training window, windows of each class; weights nearer to zero than LEAST are left out.
+WINDOW, WINDOWS, LEAST = 48, 2_500, 0.02
+#: Weight of the squares in the fit of documents.
+RIDGE = 0.02
+#: Scores of words that a worker holds.
+HELD = 400_000
 STEP = 256
 EDGES = ".,;:!?\"'()[]{}*#%$&|-_"
 
 
-def features(word: str) -> list[int]:
-    """Slots of a token's features: the word, its beginnings and ends, its length."""
+def features(word: str) -> tuple[str, ...]:
+    """Names of a token's features: the word, its beginnings, its end, its length."""
     w = word.strip(EDGES).lower()
-    names = ["w" + w, *(f"p{w[:k]}" for k in (4, 5, 6)), f"s{w[-4:]}", f"l{min(len(w), 20)}"]
-    return [xxhash.xxh3_64_intdigest(x) % SLOTS for x in names]
+    return "w" + w, "4" + w[:4], "5" + w[:5], "6" + w[:6], "s" + w[-4:], "l%d" % min(len(w), 20)
 
 
 def moebius(a, b, c, d, start):
@@ -84,30 +87,28 @@ class Field:
     """Weights of token features, of moves between states and of the start; two numbers make a document's score."""
 
     def __init__(self):
-        self.weights, self.moves, self.begin = np.zeros(SLOTS, np.float32), np.zeros((2, 2)), 0.0
+        self.weights: dict[str, float] = {}
+        self.moves, self.begin = np.zeros((2, 2)), 0.0
         self.bias, self.by_doc = -4.0, np.array([-4.0, 1.0, 1.0])
         self.words: dict[str, float] = {}
 
     def __getstate__(self):
-        used = np.flatnonzero(self.weights)
-        return used, self.weights[used], self.moves, self.begin, self.bias, self.by_doc
-
-    def __setstate__(self, state):
-        self.__init__()
-        used, values, self.moves, self.begin, self.bias, self.by_doc = state
-        self.weights[used] = values
+        return self.__dict__ | {"words": {}}
 
     def emission(self, words: list[str]) -> np.ndarray:
         known = self.words
-        out = np.empty(len(words))
-        for i, w in enumerate(words):
-            x = known.get(w)
-            if x is None:
-                if len(known) > 300_000:
-                    known.clear()
-                x = known[w] = float(self.weights[features(w)].sum()) + self.bias
-            out[i] = x
-        return out
+        try:
+            return np.fromiter(map(known.__getitem__, words), float, len(words))
+        except KeyError:
+            pass
+        get, bias = self.weights.get, self.bias
+        new = set(words).difference(known)
+        if len(known) + len(new) > HELD:
+            known.clear()
+            new = set(words)
+        for w in new:
+            known[w] = sum([get(f, 0.0) for f in features(w)], bias)
+        return np.fromiter(map(known.__getitem__, words), float, len(words))
 
     def tag(self, texts: list[str]) -> tuple[list[list[str]], list[np.ndarray]]:
         words = [t.split() for t in texts]
@@ -142,23 +143,26 @@ class Field:
 def token_labels(docs: list[tuple[str, int]]) -> list[np.ndarray]:
     """Token labels from document labels: a token is toxic if it is in a toxic document and one of its
     features is found, among these documents, almost only in toxic ones."""
-    have, toxic = np.zeros(SLOTS), np.zeros(SLOTS)
-    slots: dict[str, list[int]] = {}
+    have: Counter = Counter()
+    toxic: Counter = Counter()
+    slots: dict[str, tuple[str, ...]] = {}
     rows = []
     for text, label in docs:
         words = text.split()
-        for w in set(words) - slots.keys():
-            slots[w] = features(w)
-        found = np.unique([s for w in set(words) for s in slots[w][:4]] or [0])
-        have[found] += 1
-        toxic[found] += label
+        for w in set(words).difference(slots):
+            slots[w] = features(w)[:4]
+        found = {f for w in set(words) for f in slots[w]}
+        have.update(found)
+        if label:
+            toxic.update(found)
         rows.append(words)
-    base = np.mean([y for _, y in docs])
-    odds = (toxic + base) / (have + 1)
-    sure = (have >= 4) & (odds > 1 - (1 - base) * 0.2)
+    base = float(np.mean([y for _, y in docs]))
+    # so often that chance would find fewer than one such feature
+    often = max(3.0, np.log(1 + len(have)) / -np.log(base))
+    sure = {f for f, n in toxic.items() if have[f] >= often and (n + base) / (have[f] + 1) > 1 - (1 - base) * 0.2}
     # a word that is in clean documents now and then is not toxic for its beginning
     plain = {w for (t, y), ws in zip(docs, rows) if not y for w in ws}
-    bad = {w for w, x in slots.items() if w not in plain and sure[x[:4]].any()}
+    bad = {w for w, x in slots.items() if w not in plain and not sure.isdisjoint(x)}
     return [np.array([y and w in bad for w in ws], bool) for ws, (_, y) in zip(rows, docs)]
 
 
@@ -178,23 +182,23 @@ def train(docs: list[tuple[str, int]], rounds: int = 40, seed: int = 7) -> Field
     chosen = [w[k] for w in windows.values() for k in sorted(rng.permutation(len(w))[:WINDOWS])]
     n = len(chosen)
     slots: dict[str, list[int]] = {}
+    number: dict[str, int] = {"": 0}
     size = len(features("x"))
     index, gold, mask = np.zeros((n, WINDOW, size), np.int64), np.zeros((n, WINDOW)), np.zeros((n, WINDOW), bool)
     for k, (words, tag) in enumerate(chosen):
         for i, w in enumerate(words):
             if w not in slots:
-                slots[w] = features(w)
+                slots[w] = [number.setdefault(f, len(number)) for f in features(w)]
             index[k, i] = slots[w]
         gold[k, : len(words)], mask[k, : len(words)] = tag, True
-    used, place = np.unique(index, return_inverse=True)
-    place = place.reshape(index.shape)
-    theta = np.zeros(len(used) + 6)
+    place = index
+    theta = np.zeros(len(number) + 6)
     theta[-6] = field.bias
     mean, square = np.zeros_like(theta), np.zeros_like(theta)
     lengths = mask.sum(1)
     pairs = mask[:, 1:]
     for step in range(1, rounds + 1):
-        weights, bias, begin, moves = theta[: len(used)], theta[-6], theta[-5], theta[-4:].reshape(2, 2)
+        weights, bias, begin, moves = theta[: len(number)], theta[-6], theta[-5], theta[-4:].reshape(2, 2)
         e = np.where(mask, weights[place].sum(2) + bias, 0)
         # forward and backward in log space over all windows at once
         f = np.zeros((WINDOW, n, 2))
@@ -212,7 +216,7 @@ def train(docs: list[tuple[str, int]], rounds: int = 40, seed: int = 7) -> Field
         p = np.where(mask, np.exp(joint[:, :, 1] - z).T, 0)
         delta = np.where(mask, p - gold, 0)
         grad = np.zeros_like(theta)
-        grad[: len(used)] = np.bincount(place.ravel(), weights=np.repeat(delta.ravel(), size), minlength=len(used)) / n + 2e-5 * weights
+        grad[: len(number)] = np.bincount(place.ravel(), weights=np.repeat(delta.ravel(), size), minlength=len(number)) / n + 2e-5 * weights
         grad[-6], grad[-5] = delta.sum() / n, delta[:, 0].sum() / n
         for x in (0, 1):
             for y in (0, 1):
@@ -221,16 +225,20 @@ def train(docs: list[tuple[str, int]], rounds: int = 40, seed: int = 7) -> Field
                 grad[-4 + 2 * x + y] = (np.where(pairs.T, np.exp(both), 0).sum() - seen) / n + 1e-3 * moves[x, y]
         mean, square = 0.9 * mean + 0.1 * grad, 0.99 * square + 0.01 * grad**2
         theta = theta - 0.15 * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-8)
-    field.weights[used] = theta[: len(used)]
+    field.weights = {f: float(theta[k]) for f, k in number.items() if abs(theta[k]) >= LEAST}
     field.bias, field.begin, field.moves = float(theta[-6]), float(theta[-5]), theta[-4:].reshape(2, 2).copy()
     x, y = [], np.array([y for _, y in docs], float)
     for i in range(0, len(docs), 200):
         x += [field.aggregate(m) for m in field.tag([t for t, _ in docs[i : i + 200]])[1]]
     x = np.array(x)
+    loss = lambda w: np.logaddexp(0, np.where(y == 1, -1, 1) * (x @ w)).sum() + 0.5 * RIDGE * w @ w
     w = field.by_doc.copy()
-    for _ in range(30):  # Newton steps of a ridge logistic fit
+    for _ in range(50):  # Newton steps of a ridge logistic fit, halved until they help
         q = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        w = w - np.linalg.solve((x * (q * (1 - q))[:, None]).T @ x + 1e-2 * np.eye(3), x.T @ (q - y) + 1e-2 * w)
+        step = np.linalg.solve((x * (q * (1 - q))[:, None]).T @ x + RIDGE * np.eye(3), x.T @ (q - y) + RIDGE * w)
+        while loss(w - step) > loss(w) and np.abs(step).max() > 1e-9:
+            step = step / 2
+        w = w - step
     field.by_doc = w
     return field
 
