@@ -101,3 +101,28 @@ def grid_cell(x: Column, y: Column) -> Column:
 def finite_values(values: Column) -> Column:
     """Non-finite elements of an array of doubles as null."""
     return F.transform(values, finite)
+
+
+def label_order(label: Column, first: list[str]) -> list[Column]:
+    """Sort keys: the given labels in their order, then the others alphabetically."""
+    at = F.array_position(F.array(*map(F.lit, first)), label)
+    return [F.when(at > 0, at).otherwise(len(first) + 1), label]
+
+
+def carried_boxes(frames: Column, least: float = 0.1) -> Column:
+    """For an array of frames (arrays of boxes) in order, the leading box of each frame.
+
+    That is the box that overlaps the frame before's leading box most, if their intersection over
+    union is `least` or more; else the largest. A frame without boxes has none, and ends the chain.
+    """
+    box = "struct<x1:double,y1:double,x2:double,y2:double>"
+
+    def step(state: Column, boxes: Column) -> Column:
+        before = state["box"]
+        nearest = F.array_max(F.transform(boxes, lambda b: F.struct(overlap_ratio(before, b).alias("s"), b.alias("b"))))
+        largest = F.array_max(F.transform(boxes, lambda b: F.struct(box_area(b).alias("s"), b.alias("b"))))
+        chosen = F.when(before.isNotNull() & (nearest["s"] >= least), nearest["b"]).otherwise(largest["b"])
+        return F.struct(chosen.cast(box).alias("box"), F.concat(state["all"], F.array(chosen.cast(box))).alias("all"))
+
+    start = F.struct(F.lit(None).cast(box).alias("box"), F.array().cast(f"array<{box}>").alias("all"))
+    return F.aggregate(frames, start, step)["all"]

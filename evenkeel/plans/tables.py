@@ -301,6 +301,36 @@ def largest_box(spark, sf):
     return b.select("label", F.array_min("all")["v"].alias("vec_id"))
 
 
+CORNERS = "struct_pack(x1 := least(e[{0}], e[{2}])::double, y1 := least(e[{1}], e[{3}])::double, x2 := greatest(e[{0}], e[{2}])::double, y2 := greatest(e[{1}], e[{3}])::double)"
+AREA = "greatest({0}.x2 - {0}.x1, 0) * greatest({0}.y2 - {0}.y1, 0)"
+MEET = "greatest(least(r.kept.x2, b.x2) - greatest(r.kept.x1, b.x1), 0) * greatest(least(r.kept.y2, b.y2) - greatest(r.kept.y1, b.y1), 0)"
+LARGEST = f"list_aggregate(list_transform(d, lambda b: struct_pack(s := {AREA.format('b')}, b := b)), 'max').b"
+RATIO = f"coalesce({MEET} / nullif({AREA.format('r.kept')} + {AREA.format('b')} - {MEET}, 0), 0)"
+
+
+@query(
+    "q_carried_lead",
+    f"""with recursive f as (select label, vec_id, row_number() over (partition by label order by vec_id) as i, [{", ".join(CORNERS.format(*range(k, k + 4)) for k in (1, 5, 9))}] as d from (select label, vec_id, embedding as e from embeddings)),
+    r as (select label, vec_id, i, {LARGEST} as kept from f where i = 1
+      union all select f.label, f.vec_id, f.i, case when near.s >= 0.1 then near.b else {LARGEST} end from r join f on f.label = r.label and f.i = r.i + 1, lateral (select list_aggregate(list_transform(f.d, lambda b: struct_pack(s := {RATIO}, b := b)), 'max') as near))
+    select vec_id, kept.x1 as x1, kept.y1 as y1, kept.x2 as x2, kept.y2 as y2 from r""",
+    "vec_id",
+)
+def carried_lead(spark, sf):
+    e = lambda k: F.get("embedding", F.lit(k)).cast("double")
+    box = lambda k: F.struct(F.least(e(k), e(k + 2)).alias("x1"), F.least(e(k + 1), e(k + 3)).alias("y1"), F.greatest(e(k), e(k + 2)).alias("x2"), F.greatest(e(k + 1), e(k + 3)).alias("y2"))
+    rows = table(spark, sf, "embeddings").select("label", F.struct("vec_id", F.array(box(0), box(4), box(8)).alias("d")).alias("f"))
+    rows = rows.groupBy("label").agg(F.array_sort(F.collect_list("f")).alias("f"))
+    rows = rows.select(F.explode(F.arrays_zip(F.transform("f", lambda x: x["vec_id"]).alias("vec_id"), S.carried_boxes(F.transform("f", lambda x: x["d"])).alias("box"))).alias("z"))
+    return rows.select("z.vec_id", "z.box.*")
+
+
+@query("q_label_order", "select label, row_number() over (order by case label when 'view' then 1 when 'click' then 2 else 3 end, label) as place from (select distinct event_type as label from events)")
+def label_order(spark, sf):
+    rows = table(spark, sf, "events").select(F.col("event_type").alias("label")).distinct()
+    return rows.withColumn("place", F.row_number().over(Window.orderBy(*S.label_order(F.col("label"), ["view", "click"]))).cast("long"))
+
+
 @query(
     "q_contract_violations",
     """select 'orders key' as rule, count(*) as n from (select o_orderkey from orders group by 1 having count(*) > 1) union all select 'customers of orders', count(*) from orders where o_custkey not in (select c_custkey from customer)
