@@ -134,18 +134,18 @@ def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
                         else:
                             tokens += n
                     h = xxhash.xxh32_intdigest(raw) - (1 << 31)
-                    rows.append((xxhash.xxh3_64_intdigest(f"{doc_id} {h}") >> 1, None, doc_id, h, tokens, len(raw)))
-                    rows += [(xxhash.xxh3_64_intdigest(p) >> 1, p, doc_id, h, n, None) for p, n in rest.items()]
-                k, piece, doc, h, n, size = zip(*rows)
+                    rows.append((None, doc_id, h, tokens, len(raw)))
+                    rows += [(p, doc_id, h, n, None) for p, n in rest.items()]
+                piece, doc, h, n, size = zip(*rows)
                 yield pa.record_batch(
-                    [pa.array(k, pa.int64()), pa.array(piece, pa.string()), pa.array(doc, pa.int64()), pa.array(h, pa.int32()), pa.array(n, pa.int64()), pa.array(size, pa.int64())],
-                    names=["k", "piece", "doc_id", "h", "n", "n_bytes"],
+                    [pa.array(piece, pa.string()), pa.array(doc, pa.int64()), pa.array(h, pa.int32()), pa.array(n, pa.int64()), pa.array(size, pa.int64())],
+                    names=["piece", "doc_id", "h", "n", "n_bytes"],
                 )
 
     def tokenize(batches):
         count, last, last_n = load(path), None, 0
         for batch in batches:
-            pieces = batch.column(1).dictionary_encode()
+            pieces = batch.column(0).dictionary_encode()
             distinct = pieces.dictionary.to_pylist()
             fresh = count([p for p in distinct if p != last])
             if last in distinct:
@@ -153,13 +153,15 @@ def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
             if distinct:
                 last, last_n = distinct[-1], fresh[-1]
             each = pa.array(fresh, pa.int64()).take(pieces.indices)
-            n = pc.multiply(batch.column(4), pc.fill_null(each, 1))
-            rows = pc.cast(pc.is_valid(batch.column(5)), pa.int32())
-            yield pa.record_batch([batch.column(2), batch.column(3), n, rows, batch.column(5)], names=["doc_id", "h", "n", "rows", "n_bytes"])
+            n = pc.multiply(batch.column(3), pc.fill_null(each, 1))
+            rows = pc.cast(pc.is_valid(batch.column(4)), pa.int32())
+            yield pa.record_batch([batch.column(1), batch.column(2), n, rows, batch.column(4)], names=["doc_id", "h", "n", "rows", "n_bytes"])
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    pieces = docs.mapInArrow(scan, "k long, piece string, doc_id long, h int, n long, n_bytes long")
-    pieces = pieces.repartition(parts, "k").sortWithinPartitions("k", "piece")
+    pieces = docs.mapInArrow(scan, "piece string, doc_id long, h int, n long, n_bytes long")
+    # rows of documents, which have no piece, are dealt out by document
+    dealt = F.when(F.col("piece").isNull(), F.xxhash64("doc_id", "h")).otherwise(F.xxhash64("piece"))
+    pieces = pieces.repartition(parts, dealt).sortWithinPartitions("piece")
     every = pieces.mapInArrow(tokenize, "doc_id long, h int, n long, rows int, n_bytes long")
     every = every.groupBy("doc_id", "h").agg(F.sum("n").alias("n"), F.sum("rows").alias("rows"), F.max("n_bytes").alias("n_bytes"))
     # equal rows were added up together: give each its share
