@@ -41,15 +41,28 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents that all stages keep, with their place and words in the mix.
+def cleaned(spark: SparkSession, sf_dir: str, scratch: Scratch) -> DataFrame:
+    """The documents that all stages before the mix keep.
 
     Each stage's rows are written to the shared folder and read again as the next one's documents.
     """
-    scratch = Scratch(spark)
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
         docs = scratch.write(stage(spark, docs, sf_dir))
-    out = durable(STAGES[-1][1](spark, docs, sf_dir))
+    return docs
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that all stages keep, with their place and words in the mix; also those past the cut (taken 0)."""
+    scratch = Scratch(spark)
+    out = durable(STAGES[-1][1](spark, cleaned(spark, sf_dir, scratch), sf_dir))
+    scratch.close()
+    return out
+
+
+def training_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of run() up to the cut, each with its text as the stages left it and its number of passes."""
+    scratch = Scratch(spark)
+    out = durable(mixing.mixed_texts(cleaned(spark, sf_dir, scratch)))
     scratch.close()
     return out

@@ -46,7 +46,7 @@ def source_targets(totals: DataFrame, weights=WEIGHTS, share: float = SHARE, mos
     )
 
 
-def mix(docs: DataFrame, seed: str = SEED, weights=WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
+def mix(docs: DataFrame, seed: str = SEED, weights=WEIGHTS, share: float = SHARE, most: int = MOST, carry: tuple = ()) -> DataFrame:
     """Which documents a mix of share * all words takes, and in which order.
 
     Within its source a document's place is that of a seeded hash of its id. It is finished at the
@@ -58,11 +58,11 @@ def mix(docs: DataFrame, seed: str = SEED, weights=WEIGHTS, share: float = SHARE
     Needs doc_id, text and source of docs, whose other columns are ignored. Null text: size 0,
     taken 0. Null source: a source of its own, the last. Rows with equal or null doc_id are
     separate documents. No rows: no rows. Returns doc_id, source, size, source_size, target,
-    finish (of the first pass), taken.
+    finish (of the first pass), taken, and the columns of docs named in carry.
     """
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
-    rows = docs.select("doc_id", "source", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("of"), size.alias("size"), key.alias("key"))
+    rows = docs.select("doc_id", "source", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("of"), size.alias("size"), key.alias("key"), *carry)
     rows = durable(rows)
     totals = durable(rows.groupBy("of", "source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")))
     largest = totals.agg(F.max("n")).first()[0] or 0
@@ -83,7 +83,7 @@ def mix(docs: DataFrame, seed: str = SEED, weights=WEIGHTS, share: float = SHARE
     goal, begin = F.floor("target"), F.col("end") - F.col("size")
     taken = [F.least(F.col("size"), F.greatest(goal - begin - F.lit(e) * F.col("source_size"), F.lit(0))) for e in range(most)]
     out = rows.select(
-        "doc_id", "source", "size", "source_size", "target", (F.col("end") / F.col("weight")).alias("finish"), sum(taken[1:], taken[0]).cast("long").alias("taken")
+        "doc_id", "source", "size", "source_size", "target", (F.col("end") / F.col("weight")).alias("finish"), sum(taken[1:], taken[0]).cast("long").alias("taken"), *carry
     )
     return out.orderBy("finish", "doc_id")
 
@@ -97,6 +97,19 @@ def mixed_documents(docs: DataFrame, **kinds) -> DataFrame:
     return mix(docs, **kinds).where("taken > 0").withColumn("passes", F.ceil(F.col("taken") / F.col("size")).cast("int"))
 
 
+def mixed_texts(docs: DataFrame, **kinds) -> DataFrame:
+    """mixed_documents() with each document's text, in the order of the mix.
+
+    taken adds up to the whole words of every source's target. The text is whole; of the last pass
+    the mix has its first taken - (passes - 1) * size words.
+    """
+    named = docs.withColumn("text_hash", F.xxhash64("text"))
+    mixed = durable(mixed_documents(named, carry=("text_hash",), **kinds))
+    texts = named.select(F.col("doc_id").alias("id"), F.col("text_hash").alias("h"), "text").dropDuplicates(["id", "h"])
+    out = mixed.join(texts, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("h")))
+    return out.drop("id", "h", "text_hash").orderBy("finish", "doc_id")
+
+
 SQL = f"""
 with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::bigint as size,
         md5('{SEED}:' || coalesce(doc_id::varchar, '')) as key from documents),
