@@ -10,6 +10,7 @@ QUERIES = {
     "op3_chunks": chunks.op3,
     "op4_toxicity": toxicity.op4,
     "op5_jaccard": jaccard.op5,
+    "op5_links": jaccard.op5_links,
     "op6_tokens": tokens.op6,
     "op7_decontaminate": decontaminate.op7,
     "op8_vectors": vectors.op8,

@@ -27,6 +27,8 @@ from .components import components
 SKETCH_BITS = 1024
 #: Members of a block that one task sets against as many others.
 TILE = 256
+#: Classes, and n-grams, of a component that one task multiplies with as many others; columns it holds at once.
+PRODUCT, PRODUCT_GRAMS, COLUMNS = 1024, 3_000_000, 2048
 #: Bytes of an n-gram in a stored row of the matrix.
 WIDTH = 6
 #: Digests that a task remembers, to hand on the signatures of a set once.
@@ -225,14 +227,76 @@ def pairs_left(batches, bound: Bound, every: bool):
             yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
 
-def similar_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles and component_id of every document.
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many n-grams each set on the left shares with each on the right: a sparse product, accumulated by blocks of columns."""
+    grams = np.concatenate(left + right)
+    row = np.repeat(np.arange(len(left) + len(right)), [len(x) for x in left + right])
+    order = np.argsort(grams, kind="stable")
+    grams, row = grams[order], row[order]
+    new = np.r_[True, grams[1:] != grams[:-1]]
+    many = ~(new & np.r_[new[1:], True])  # a column with one entry adds nothing
+    row, at = row[many], np.cumsum(new[many]) - 1
+    out = np.zeros((len(left), len(right)), np.float64)
+    for start in range(0, int(at[-1]) + 1 if len(at) else 0, COLUMNS):
+        lo, hi = np.searchsorted(at, [start, start + COLUMNS])
+        block = np.zeros((len(left) + len(right), int(at[hi - 1]) - start + 1), np.float32)
+        block[row[lo:hi], at[lo:hi] - start] = 1
+        out += block[: len(left)] @ block[len(left) :].T
+    return out.astype(np.int64)
+
+
+def tile_counts(batches, bound: Bound):
+    """Tiles of components (component, i, j, at, id, times, n, row), sorted: (id, linked), the documents in other classes linked with a class."""
+    head = SKETCH_BITS // 8
+    for t in groups(batches, ["component", "i", "j"]):
+        i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
+        at, ids, times, n = (t.column(c).to_numpy() for c in ("at", "id", "times", "n"))
+        x, y = np.flatnonzero(at == i), np.flatnonzero(at == j)
+        if not len(x) or not len(y):
+            continue
+        raw = t.column("row").to_pylist()
+        bits = np.unpackbits(np.frombuffer(b"".join(r[:head] for r in raw), np.uint8).reshape(len(at), -1), axis=1).astype(np.float32)
+        ones, most = bits.sum(1), bound.apart(n[x][:, None] + n[y][None, :])
+        ok = (ones[x][:, None] + ones[y][None, :] - 2 * (bits[x] @ bits[y].T) <= most) & (np.abs(n[x][:, None] - n[y][None, :]) <= most)
+        ok &= ids[x][:, None] < ids[y][None, :] if i == j else True
+        left, right = np.flatnonzero(ok.any(1)), np.flatnonzero(ok.any(0))
+        if not len(left):
+            continue
+        p, q = np.nonzero(ok[np.ix_(left, right)])
+        sets = [unpacked(r[head:]) for r in raw]
+        shared = overlaps([sets[k] for k in x[left]], [sets[k] for k in y[right]])[p, q]
+        p, q = x[left[p]], y[right[q]]
+        near = bound.near(shared, n[p], n[q])
+        p, q = p[near], q[near]
+        linked = np.bincount(p, weights=times[q], minlength=len(at)) + np.bincount(q, weights=times[p], minlength=len(at))
+        some = np.flatnonzero(linked)
+        yield pa.record_batch([pa.array(ids[some]), pa.array(linked[some].astype(np.int64))], names=["id", "linked"])
+
+
+def link_counts(parted: DataFrame, times: DataFrame, rows: DataFrame, bound: Bound, parts: int) -> DataFrame:
+    """(id, linked) of the classes of components (id, component), each pair of a component tried in one tile, none handed on.
+
+    No link leaves a component, so these are all links. A row of the matrix goes to as many tasks as
+    its component has tiles to a side.
+    """
+    each = durable(parted.join(rows.select("id", "n"), "id").join(times, "id"))
+    sizes = each.groupBy("component").agg(F.ceil(F.greatest(F.count("*") / PRODUCT, F.sum("n") / PRODUCT_GRAMS)).cast("int").alias("tiles"))
+    tiles = durable(each.join(durable(sizes), "component")).join(rows.select("id", "row"), "id")
+    tiles = tiles.withColumn("at", F.pmod(F.xxhash64("id"), "tiles").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    tiles = tiles.select("component", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"), "at", "id", "times", "n", "row")
+    tiles = tiles.repartition(parts, "component", "i", "j").sortWithinPartitions("component", "i", "j")
+    return tiles.mapInArrow(lambda x: tile_counts(x, bound), "id long, linked long").groupBy("id").agg(F.sum("linked").alias("linked"))
+
+
+def similar_groups(docs: DataFrame, words: int = 5, percent: int = 80, count_links: bool = False) -> DataFrame:
+    """doc_id, n_shingles and component_id of every document; with `count_links` also n_links, the documents linked directly.
 
     Words are what ASCII white space parts, with A-Z lower-cased; a document's set is that of its
     shingles of so many words (of the whole sequence if it has fewer). Documents whose sets have
     intersection / union >= percent / 100 are linked; component_id is the least doc_id that links
     reach. No text or no word: n_shingles 0, linked with nothing. Rows with equal doc_id each get a
-    row; they are linked if their sets are. A null doc_id is linked with nothing: component_id null.
+    row; they are linked if their sets are. A null doc_id is linked with nothing: component_id null,
+    n_links 0.
     Other columns are ignored. No rows: no rows.
     """
     spark, bound = docs.sparkSession, Bound(percent)
@@ -270,12 +334,20 @@ def similar_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFr
         tried = tried.union(others)
         linked = durable(linked.union(links(others, rows, bound)))
     parted = components(linked).withColumnRenamed("node", "id")
+    if count_links:
+        times = durable(filled.groupBy("id").agg(F.count("*").alias("times")))
+        linked = durable(link_counts(parted, times, rows, bound, parts))
+        times = times.join(linked, "id", "left").select("id", (F.col("times") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
     parted = durable(parted.join(least, "id"))
     lowest = durable(parted.groupBy("component").agg(F.min("first").alias("lowest")))
     parted = durable(parted.join(lowest, "component").select("id", "lowest"))
     least = durable(least.join(parted, "id", "left").select("id", F.coalesce("lowest", "first").alias("component_id")))
-    out = filled.join(least, "id").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    rest = found.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    if count_links:
+        least = durable(least.join(durable(times), "id"))
+    counts = ["n_links"] if count_links else []
+    out = filled.join(least, "id").select("doc_id", F.col("n").alias("n_shingles"), *counts, "component_id")
+    rest = found.where("n = 0 or doc_id is null").withColumn("n_links", F.lit(0).cast("long"))
+    rest = rest.select("doc_id", F.col("n").alias("n_shingles"), *counts, F.col("doc_id").alias("component_id"))
     out = durable(out.unionByName(rest))
     scratch.close()
     return out
@@ -285,6 +357,11 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_groups(table(spark, sf_dir, "documents"), words=3, percent=90)
 
 
+def op5_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op5 with the number of links of every document."""
+    return similar_groups(table(spark, sf_dir, "documents"), words=3, percent=90, count_links=True)
+
+
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """Pipeline stage: of each group of similar documents the one with the least doc_id, all columns kept.
 
