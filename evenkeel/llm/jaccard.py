@@ -1,7 +1,7 @@
-"""Operator 5: n-gram Jaccard join by a blocked product of the document by n-gram incidence.
+"""Operator 5: n-gram Jaccard join by part signatures, in place of a blocked sparse product.
 
-The product of the incidence matrix with its transpose holds the overlap of every pair. Only
-entries that can reach the threshold are worked out:
+The product of the document by n-gram incidence with its transpose holds the overlap of every pair.
+It isn't formed to find candidates. Only entries that can reach the threshold are worked out:
 
 - Rows that are equal are one class.
 - Blocks: the n-grams are dealt into k parts by hash, with k over the largest symmetric difference
@@ -11,7 +11,8 @@ entries that can reach the threshold are worked out:
   far leave apart. An entry whose sizes, or whose parity sketches (one bit flips for each n-gram
   that only one side has, so they differ in no more bits than the sets in n-grams) put it beyond
   the bound is discarded.
-- The overlap counts of what remains are accumulated from the rows themselves.
+- The overlaps of what remains are counted pair by pair from the rows themselves. Where links are
+  counted, a component's overlaps are accumulated as a sparse product by blocks of n-grams.
 """
 
 from __future__ import annotations
