@@ -110,7 +110,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
     out by pre-token with their frequency, so that each distinct one is tokenized once, and their
     counts are summed by document. No ids are kept. Needs doc_id and text; other columns are
     ignored. Null text counts as empty: 0 bytes, 0 tokens. Rows with equal doc_id, and repeated
-    rows, each get a row. No rows: no rows.
+    rows, each get a row; texts of one doc_id are told apart by a 64-bit hash. No rows: no rows.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -133,12 +133,12 @@ def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
                             rest[p] = rest.get(p, 0) + 1
                         else:
                             tokens += n
-                    h = xxhash.xxh32_intdigest(raw) - (1 << 31)
+                    h = xxhash.xxh3_64_intdigest(raw) - (1 << 63)
                     rows.append((None, doc_id, h, tokens, len(raw)))
                     rows += [(p, doc_id, h, n, None) for p, n in rest.items()]
                 piece, doc, h, n, size = zip(*rows)
                 yield pa.record_batch(
-                    [pa.array(piece, pa.string()), pa.array(doc, pa.int64()), pa.array(h, pa.int32()), pa.array(n, pa.int64()), pa.array(size, pa.int64())],
+                    [pa.array(piece, pa.string()), pa.array(doc, pa.int64()), pa.array(h, pa.int64()), pa.array(n, pa.int64()), pa.array(size, pa.int64())],
                     names=["piece", "doc_id", "h", "n", "n_bytes"],
                 )
 
@@ -158,11 +158,11 @@ def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
             yield pa.record_batch([batch.column(1), batch.column(2), n, rows, batch.column(4)], names=["doc_id", "h", "n", "rows", "n_bytes"])
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    pieces = docs.mapInArrow(scan, "piece string, doc_id long, h int, n long, n_bytes long")
+    pieces = docs.mapInArrow(scan, "piece string, doc_id long, h long, n long, n_bytes long")
     # rows of documents, which have no piece, are dealt out by document
     dealt = F.when(F.col("piece").isNull(), F.xxhash64("doc_id", "h")).otherwise(F.xxhash64("piece"))
     pieces = pieces.repartition(parts, dealt).sortWithinPartitions("piece")
-    every = pieces.mapInArrow(tokenize, "doc_id long, h int, n long, rows int, n_bytes long")
+    every = pieces.mapInArrow(tokenize, "doc_id long, h long, n long, rows int, n_bytes long")
     every = every.groupBy("doc_id", "h").agg(F.sum("n").alias("n"), F.sum("rows").alias("rows"), F.max("n_bytes").alias("n_bytes"))
     # equal rows were added up together: give each its share
     every = every.withColumn("n_tokens", F.expr("n div rows")).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))
