@@ -8,6 +8,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,10 +25,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset, as in tests, a temporary one."""
+    """The folder in spark.checkpoint.dir, which driver and executors share.
+
+    Where it is unset and all runs on one machine, as in tests, a temporary one; on a cluster an error.
+    """
     context = spark.sparkContext
     at = context.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not (context.master == "local" or context.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         at = getattr(shared_dir, "own", None) or tempfile.mkdtemp(prefix="evenkeel-")
         shared_dir.own = at
     if context._jsc.sc().getCheckpointDir().isEmpty():
@@ -50,20 +56,28 @@ class Scratch:
 
     def __init__(self, spark: SparkSession):
         self.spark, self.path = spark, f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
-        self.n = 0
+        self.n, self.named = 0, {}
         atexit.register(self.close)
 
-    def write(self, df: DataFrame) -> DataFrame:
+    def write(self, df: DataFrame, name: str | None = None) -> DataFrame:
+        """The rows of df, computed once. An earlier table of the same name goes when this one is there."""
         self.n += 1
         df.write.parquet(to := f"{self.path}/{self.n}")
-        return self.spark.read.parquet(to)
+        if name:
+            if name in self.named:
+                self._delete(self.named[name])
+            self.named[name] = to
+        return self.spark.read.schema(df.schema).parquet(to)
 
-    def close(self) -> None:
-        atexit.unregister(self.close)
+    def _delete(self, at: str) -> None:
         if self.spark.sparkContext._jsc is not None:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(at)
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
+    def close(self) -> None:
+        atexit.unregister(self.close)
+        self._delete(self.path)
+
 
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit words whose output bits all depend on all input bits."""
@@ -105,6 +119,14 @@ def column(batch: pa.RecordBatch, name: str) -> list:
     return batch.column(batch.schema.names.index(name)).to_pylist()
 
 
+def parts_by_bytes(batch: pa.RecordBatch, name: str = "text", most: int = 1 << 20):
+    """The batch in pieces of so many bytes of one column, about; a longer value is a piece of its own."""
+    size = pc.fill_null(pc.binary_length(batch.column(batch.schema.names.index(name))), 0).to_numpy(zero_copy_only=False)
+    starts = np.unique(np.cumsum(size, dtype=np.int64) // most, return_index=True)[1]
+    for a, b in zip(starts, [*starts[1:], batch.num_rows]):
+        yield batch.slice(a, b - a)
+
+
 def groups(batches, keys: list[str]):
     """Tables of the rows with equal keys, from batches sorted by keys; a group may span batches."""
     rest: pa.Table | None = None

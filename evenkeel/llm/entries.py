@@ -10,7 +10,7 @@ QUERIES = {
     "op3_chunks": chunks.op3,
     "op4_toxicity": toxicity.op4,
     "op5_jaccard": jaccard.op5,
-    "op5_links": jaccard.op5_links,
+    "op5_links": jaccard.op5,
     "op6_tokens": tokens.op6,
     "op7_decontaminate": decontaminate.op7,
     "op8_vectors": vectors.op8,
@@ -21,5 +21,6 @@ SQL = {
     "op1_mixing": mixing.SQL,
     "op2_lines": lines_sql.SQL,
     "op5_jaccard": joins_sql.JACCARD,
+    "op5_links": joins_sql.JACCARD,
     "op8_vectors": joins_sql.VECTORS,
 }

@@ -1,18 +1,18 @@
-"""Operator 5: n-gram Jaccard join by part signatures, in place of a blocked sparse product.
+"""Operator 5: n-gram Jaccard join by a blocked sparse product.
 
 The product of the document by n-gram incidence with its transpose holds the overlap of every pair.
-It isn't formed to find candidates. Only entries that can reach the threshold are worked out:
+Only entries that can reach the threshold are worked out:
 
 - Rows that are equal are one class.
-- Blocks: the n-grams are dealt into k parts by hash, with k over the largest symmetric difference
-  that a pair within the threshold can have at its sizes, so such a pair agrees on a whole part. A
-  class stands in a block for each of its parts' contents, for its own range of sizes and the next.
-- Within a block, first everything is tried against the block's least class, then what the links so
-  far leave apart. An entry whose sizes, or whose parity sketches (one bit flips for each n-gram
-  that only one side has, so they differ in no more bits than the sets in n-grams) put it beyond
-  the bound is discarded.
-- The overlaps of what remains are counted pair by pair from the rows themselves. Where links are
-  counted, a component's overlaps are accumulated as a sparse product by blocks of n-grams.
+- N-grams are ordered, those that few rows have first, and a row stands in the columns of its first
+  n - ceil(t n) + 1 n-grams alone: two rows within the threshold t share one of these.
+- Columns are dealt out by n-gram. A column multiplies its rows, and overlap counts are summed by
+  pair; pairs whose sizes, places in the order and counts so far leave them below the overlap that
+  the threshold asks for are discarded.
+- A column with very many rows isn't multiplied out. Its rows meet the one that stands first in it;
+  then rows that the links found so far leave apart meet, in tiles of rows by rows.
+- The count of each pair that is left is finished by a product of whole rows, in blocks of one row by
+  many others, and held against the threshold.
 """
 
 from __future__ import annotations
@@ -22,47 +22,61 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import PLACES, U64, Scratch, WordIds, column, durable, groups, mixed, shingles, table
+from .common import PLACES, U64, Scratch, WordIds, column, durable, groups, mixed, parts_by_bytes, shingles, table
 from .components import components
 
-SKETCH_BITS = 1024
-#: Members of a block that one task sets against as many others.
-TILE = 256
-#: Classes, and n-grams, of a component that one task multiplies with as many others; columns it holds at once.
-PRODUCT, PRODUCT_GRAMS, COLUMNS = 1024, 3_000_000, 2048
 #: Bytes of an n-gram in a stored row of the matrix.
 WIDTH = 6
-#: Digests that a task remembers, to hand on the signatures of a set once.
-SEEN = 500_000
-NONE = np.zeros(0, np.int64)
+GRAM = U64((1 << 8 * WIDTH) - 1)
+#: Slots in which n-grams are counted by hash, and a summand of them that a row holds.
+SLOTS, CHUNK = 1 << 19, 1 << 13
+#: Rows of a column that are multiplied out; rows of a tile of a larger one, each way.
+BLOCK, TILE = 64, 512
+#: Rows that one other row is multiplied with at a time.
+PARTNERS = 128
+#: Rounds in which the rows of large columns meet one row each, before all that are still apart meet.
+STARS = 3
+#: Classes, and n-grams, of a component that one task multiplies with as many others; columns it holds at once.
+PRODUCT, PRODUCT_GRAMS, COLUMNS = 1024, 3_000_000, 2048
+#: Digests that a task remembers, to hand on an equal row once; bits in which needed rows are marked.
+SEEN, MARKS = 500_000, 1 << 24
+#: Halves of a packed number: n-grams of the row, and place of the n-gram in it.
+N, AT = "shiftright({0}, 32)", "({0} & 4294967295)"
 
 
 class Bound:
-    """Integer forms of intersection / union >= percent / 100, for 50 to 100 percent."""
+    """Integer forms of intersection / union >= percent / 100."""
 
     def __init__(self, percent: int):
         self.percent = percent
-        self.lows = [1]
-        while self.lows[-1] < 1 << 40:
-            self.lows.append(self.lows[-1] * 100 // percent + 1)
-        self.lows_at = np.array(self.lows)
 
-    def size_class(self, n: int) -> int:
-        """Sets within the threshold of each other are in the same class or in neighbouring ones."""
-        return int(np.searchsorted(self.lows_at, n, side="right")) - 1
+    def prefix(self, n):
+        return n - -(-self.percent * n // 100) + 1
 
-    def apart(self, both):
-        """The largest symmetric difference of two sets of so many n-grams together."""
-        return both * (100 - self.percent) // (100 + self.percent)
-
-    def parts(self, size_class: int) -> tuple[int, int]:
-        """Parts, and how many of them may disagree; some more than needed, so that few sets lack a filled one."""
-        far = self.apart(2 * (self.lows[size_class + 1] - 1))
-        return (far + 1) + (far + 1) // 16 + (far > 0), far
+    def least(self, both):
+        """The overlap that two rows of so many n-grams together need."""
+        return -(-self.percent * both // (100 + self.percent))
 
     def near(self, overlap, a, b):
         return 100 * overlap >= self.percent * (a + b - overlap)
 
+    def can(self, a, b, i, j):
+        """Whether rows of a and b n-grams whose first common ones are at places i and j can be near."""
+        return np.minimum(a - i, b - j) >= self.least(a + b)
+
+    def can_sql(self, x: str, y: str) -> str:
+        """The same for packed numbers."""
+        a, b, i, j = N.format(x), N.format(y), AT.format(x), AT.format(y)
+        return f"least({a} - {i}, {b} - {j}) >= {self.least_sql(x, y)}"
+
+    def least_sql(self, x: str, y: str) -> str:
+        p = self.percent
+        return f"(({p} * ({N.format(x)} + {N.format(y)}) + {99 + p}) div {100 + p})"
+
+    def rest_sql(self, x: str) -> str:
+        """How many n-grams of the row are in no column."""
+        return f"(({self.percent} * {N.format(x)} + 99) div 100 - 1)"
+
 
 def packed(x: np.ndarray) -> bytes:
     return (x >> U64(64 - 8 * WIDTH)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :WIDTH].tobytes()
@@ -74,158 +88,255 @@ def unpacked(x: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def sketch(grams: np.ndarray) -> bytes:
-    odd = np.bincount((grams % U64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1
-    return np.packbits(odd.astype(np.uint8)).tobytes()
+def sets_of(texts: list[str | None], words: int, ids: WordIds):
+    """The distinct n-grams of each text, sorted."""
+    split = [(t or "").encode().lower().split() for t in texts]
+    flat = ids.of([w for s in split for w in s])
+    every = shingles(flat, words)
+    end = 0
+    for s in split:
+        begin, end = end, end + len(s)
+        grams = np.sort(every[begin : end - words + 1] if len(s) >= words else shingles(flat[begin:end], words))
+        yield grams[np.r_[True, grams[1:] != grams[:-1]]] if len(grams) else grams
+
 
+def incidence(docs: DataFrame, words: int) -> DataFrame:
+    """doc_id and h (hash of the text) to n (n-grams), id (64-bit digest of the set, null if empty or without doc_id)
+    and, once or more for each id, the row of the matrix: the n-grams, packed in order of their hashes."""
+
+    def run(batches):
+        ids, seen = WordIds(), set()
+        for batch in batches:
+            for part in parts_by_bytes(batch):
+                n, keys, rows = [], [], []
+                doc_ids = column(part, "doc_id")
+                for doc_id, grams in zip(doc_ids, sets_of(column(part, "text"), words, ids)):
+                    key = row = None
+                    if len(grams) and doc_id is not None:
+                        key = int(mixed(grams ^ PLACES[4]).sum(dtype=U64)) * 2 + len(grams) & (1 << 64) - 1
+                        key -= (key >> 63) << 64
+                        if key not in seen:
+                            if len(seen) >= SEEN:
+                                seen.clear()
+                            seen.add(key)
+                            row = packed(grams)
+                    n.append(len(grams))
+                    keys.append(key)
+                    rows.append(row)
+                yield pa.record_batch([part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(keys, pa.int64()), pa.array(rows, pa.binary())], names=["doc_id", "h", "n", "id", "row"])
+
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
+    return docs.mapInArrow(run, "doc_id long, h long, n long, id long, row binary")
+
+
+def summed(values: DataFrame, size: int, add) -> np.ndarray:
+    """Sum over all tasks of an array of `size` whole numbers, which is all that a task hands on, or the driver gets.
+
+    add(batches) gives a task's array.
+    """
 
-def signatures(grams: np.ndarray, bound: Bound) -> np.ndarray:
-    """Of each part's content; parts without an n-gram only for a set that has too many of them."""
-    own = bound.size_class(len(grams))
-    out = []
-    content = mixed(grams ^ U64(0x9E3779B97F4A7C15))
-    place = (grams >> U64(20)) % U64(1 << 40)
-    for c in (own, own + 1):
-        k, far = bound.parts(c)
-        part = (place % U64(k)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        filled, starts = np.unique(part[order], return_index=True)
-        sums = np.zeros(k, U64)
-        sums[filled] = np.add.reduceat(content[order], starts)
-        sums = mixed(sums + (np.arange(k, dtype=np.int64) + c * 1_000_003).astype(U64) * U64(0xC2B2AE3D27D4EB4F))
-        out.append(sums if k - len(filled) >= k - far else sums[filled])
-    return np.concatenate(out)
+    def run(batches):
+        total = add(batches)
+        chunks = [total[i : i + CHUNK].astype("<u4").tobytes() for i in range(0, size, CHUNK)]
+        yield pa.record_batch([pa.array(range(len(chunks)), pa.int32()), pa.array(chunks)], names=["at", "part"])
 
+    def join(batches):
+        for g in groups(batches, ["at"]):
+            total = sum(np.frombuffer(x.as_py(), "<u4").astype(np.int64) for x in g.column("part"))
+            yield pa.record_batch([g.column("at").combine_chunks().slice(0, 1), pa.array([total.tobytes()])], names=["at", "part"])
 
-def incidence(docs: DataFrame, words: int, bound: Bound, rows: bool = False) -> DataFrame:
-    """doc_id to n (n-grams), id (64-bit digest of the set, null if empty), and once or more for each id:
-    the signatures, or with `rows` the sketch and the packed set."""
+    parts = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = values.mapInArrow(run, "at int, part binary").repartition(parts, "at").sortWithinPartitions("at")
+    found = {r.at: np.frombuffer(r.part, np.int64) for r in tasks.mapInArrow(join, "at int, part binary").collect()}
+    return np.concatenate([found[k] for k in sorted(found)]) if found else np.zeros(size, np.int64)
+
+
+def slots(grams: np.ndarray) -> np.ndarray:
+    return (grams % U64(SLOTS)).astype(np.int64)
+
+
+def column_counts(sets: DataFrame) -> np.ndarray:
+    """How many rows (some of them stored more than once) have an n-gram of each slot."""
+
+    def add(batches):
+        total = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for part in parts_by_bytes(batch, "row", 4 << 20):
+                total += np.bincount(slots(unpacked(b"".join(column(part, "row")))), minlength=SLOTS)
+        return total
+
+    return summed(sets.where("row is not null").select("row"), SLOTS, add)
+
+
+def needed_rows(sets: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, n, row) of the given ids, each once.
+
+    Before rows are moved, those whose id has a slot that no given id has are left where they are.
+    """
+
+    def add(batches):
+        total = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            total += np.bincount(slots(mixed(batch.column(0).to_numpy().view(U64))), minlength=SLOTS)
+        return total
+
+    some = sets.sparkSession.sparkContext.broadcast(summed(ids.select("id"), SLOTS, add) > 0)
 
     def run(batches):
-        ids, seen = WordIds(), set()
         for batch in batches:
-            out = []
-            for doc_id, text in zip(column(batch, "doc_id"), column(batch, "text")):
-                grams = np.unique(shingles(ids.of((text or "").encode().lower().split()), words))
-                if not len(grams):
-                    out.append((doc_id, 0, None, NONE, None))
-                    continue
-                key = int(mixed(grams ^ PLACES[4]).sum(dtype=U64)) * 2 + len(grams) & (1 << 64) - 1
-                key -= (key >> 63) << 64
-                if key in seen:
-                    out.append((doc_id, len(grams), key, NONE, None))
-                    continue
-                if len(seen) >= SEEN:
-                    seen.clear()
-                seen.add(key)
-                out.append((doc_id, len(grams), key, NONE if rows else signatures(grams, bound).view(np.int64), sketch(grams) + packed(grams) if rows else None))
-            for i in range(0, len(out), 2000):
-                part = list(zip(*out[i : i + 2000]))
-                starts = pa.array(np.cumsum([0, *map(len, part[3])]).astype(np.int32))
-                columns = [pa.array(part[0], pa.int64()), pa.array(part[1], pa.int64()), pa.array(part[2], pa.int64())]
-                columns.append(pa.array(part[4], pa.binary()) if rows else pa.ListArray.from_arrays(starts, pa.array(np.concatenate(part[3]))))
-                yield pa.record_batch(columns, names=["doc_id", "n", "id", "row" if rows else "sigs"])
+            yield batch.filter(pa.array(some.value[slots(mixed(batch.column(0).to_numpy().view(U64)))]))
+
+    rows = sets.where("row is not null").select("id", "n", "row").mapInArrow(run, "id long, n long, row binary")
+    return rows.join(ids, "id", "left_semi").groupBy("id").agg(F.first("n").alias("n"), F.first("row").alias("row"))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, id long, " + ("row binary" if rows else "sigs array<long>"))
 
+def columns(sets: DataFrame, order, bound: Bound, often: bool) -> DataFrame:
+    """Entries (gram, id, x) of the rows' first n-grams, either in slots that are often met or in the others.
 
-def block_members(batches):
-    """Rows (sig, id) sorted; the members of blocks of two classes or more, with the block's least class.
+    x holds the row's size and the n-gram's place in it.
+    """
 
-    Holds a batch at a time, however large a block is.
+    def run(batches):
+        rank, hot = order.value
+        for batch in batches:
+            for part in parts_by_bytes(batch, "row", 4 << 20):
+                n = part.column(1).to_numpy()
+                keys = unpacked(b"".join(column(part, "row")))
+                keys = rank[slots(keys)].astype(U64) << U64(8 * WIDTH) | keys
+                ends = np.cumsum(n)
+                first = []
+                for begin, end, p in zip(ends - n, ends, bound.prefix(n)):
+                    row = keys[begin:end]
+                    first.append(np.sort(np.partition(row, p - 1)[:p]))
+                grams = np.concatenate(first) & GRAM if first else keys
+                lengths = np.array([len(x) for x in first], np.int64)
+                at = np.arange(len(grams)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+                keep = hot[slots(grams)] == often
+                out = [grams.view(np.int64), np.repeat(part.column(0).to_numpy(), lengths), np.repeat(n, lengths) << 32 | at]
+                yield pa.record_batch([pa.array(c[keep]) for c in out], names=["gram", "id", "x"])
+
+    return sets.where("row is not null").select("id", "n", "row").mapInArrow(run, "gram long, id long, x long")
+
+
+def products(batches, bound: Bound, block: int):
+    """Entries (gram, id, x), sorted, to (a, b, x, y): every two rows of a column whose sizes allow a link, a < b.
+
+    A column of more than `block` rows gives its entries back instead: (gram, null, id, x) as (gram, b = null, a = id, x).
     """
-    sig, ids, lead = np.zeros(0, np.int64), np.zeros(0, np.int64), None
+    rest = [np.zeros(0, np.int64)] * 3
     for batch in batches:
-        sig, ids = np.r_[sig, batch.column(0).to_numpy()], np.r_[ids, batch.column(1).to_numpy()]
-        if not len(sig):
+        gram, ids, x = (np.r_[r, batch.column(k).to_numpy()] for k, r in enumerate(rest))
+        if not len(gram):
             continue
-        new = np.r_[True, (sig[1:] != sig[:-1]) | (ids[1:] != ids[:-1])]
-        sig, ids = sig[new], ids[new]  # a class may have come from several tasks
-        starts = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
-        block = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(sig)]))
-        leads, many = ids[starts], np.diff(np.r_[starts, len(sig)]) > 1
-        if lead is not None:  # the first block began in an earlier batch; its last member waits here
-            leads[0] = lead
-            many[0] |= lead != ids[0]
-        # the last member waits for the next batch
-        keep = many[block][:-1]
-        if keep.any():
-            yield pa.record_batch([pa.array(x[:-1][keep]) for x in (sig, ids, leads[block])], names=["sig", "id", "lead"])
-        sig, ids, lead = sig[-1:], ids[-1:], leads[-1]
-    if lead is not None and lead != ids[0]:
-        yield pa.record_batch([pa.array(sig), pa.array(ids), pa.array([lead])], names=["sig", "id", "lead"])
-
-
-def links(pairs: DataFrame, rows: DataFrame, bound: Bound) -> DataFrame:
-    """Of the pairs (a, b), those within the threshold by the overlap of their rows."""
-    left = rows.select(F.col("id").alias("a"), F.col("row").alias("ga"))
-    right = rows.select(F.col("id").alias("b"), F.col("row").alias("gb"))
-    near = durable(pairs.join(left, "a").select("a", "b", "ga"))
-    near = near.join(right, "b").select("a", "b", "ga", "gb")
+        new = np.r_[True, (gram[1:] != gram[:-1]) | (ids[1:] != ids[:-1])]  # an equal row may be stored more than once
+        gram, ids, x = gram[new], ids[new], x[new]
+        last = np.searchsorted(gram, gram[-1])
+        rest = [gram[last:], ids[last:], x[last:]]
+        yield from multiplied(gram[:last], ids[:last], x[:last], bound, block)
+    yield from multiplied(*rest, bound, block)
+
+
+def multiplied(gram: np.ndarray, ids: np.ndarray, x: np.ndarray, bound: Bound, block: int):
+    starts = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]][: len(gram)])
+    size = np.repeat(np.diff(np.r_[starts, len(gram)]), np.diff(np.r_[starts, len(gram)]))
+    names = ["gram", "a", "b", "x", "y"]
+    many = size > block
+    if many.any():
+        none = pa.nulls(int(many.sum()), pa.int64())
+        yield pa.record_batch([pa.array(gram[many]), pa.array(ids[many]), none, pa.array(x[many]), none], names=names)
+    few = (size > 1) & ~many
+    gram, ids, x, size = gram[few], ids[few], x[few], size[few]
+    for d in range(1, int(size.max(initial=1))):
+        a = np.flatnonzero(gram[d:] == gram[:-d])
+        b = a + d
+        low, high = np.minimum(x[a] >> 32, x[b] >> 32), np.maximum(x[a] >> 32, x[b] >> 32)
+        ok = 100 * low >= bound.percent * high
+        if ok.any():
+            a, b = a[ok], b[ok]
+            yield pa.record_batch([pa.nulls(len(a), pa.int64()), *(pa.array(c) for c in (ids[a], ids[b], x[a], x[b]))], names=names)
+
+
+def linked_pairs(pairs: DataFrame, rows: DataFrame, bound: Bound, scratch: Scratch) -> DataFrame:
+    """Of the pairs (a, b), those within the threshold by the product of their whole rows.
+
+    A row is multiplied with PARTNERS others at a time, and moved once for these.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    many = pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("blocks"))
+    dealt = scratch.write(pairs.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), "blocks").alias("block")), "dealt")
+    wanted = dealt.select("a", "block", F.col("a").alias("id")).distinct().unionByName(dealt.select("a", "block", F.col("b").alias("id")))
+    wanted = wanted.join(rows, "id").select("a", "block", (F.col("id") != F.col("a")).alias("other"), "id", "row")
+    wanted = wanted.repartition(parts, "a", "block").sortWithinPartitions("a", "block", "other")
 
     def run(batches):
+        left = None
         for batch in batches:
-            keep = []
-            for i, (x, y) in enumerate(zip(column(batch, "ga"), column(batch, "gb"))):
-                x, y = unpacked(x[SKETCH_BITS // 8 :]), unpacked(y[SKETCH_BITS // 8 :])
-                both = np.sort(np.concatenate((x, y)))
-                overlap = int((both[1:] == both[:-1]).sum())
-                if bound.near(overlap, len(x), len(y)):
-                    keep.append(i)
-            yield batch.take(pa.array(keep, pa.int64())).select(["a", "b"])
-
-    return near.mapInArrow(run, "a long, b long")
-
-
-def forest(p: np.ndarray, q: np.ndarray, far: np.ndarray, comp: np.ndarray) -> np.ndarray:
-    """Which of the edges p[e]-q[e] make a least spanning forest of the components; nearest first."""
-    names, label = np.unique(comp, return_inverse=True)
-    key = far.astype(np.int64) * len(p) + np.arange(len(p))
-    taken, never = [], np.iinfo(np.int64).max
-    root = np.arange(len(names))
-    while True:
-        a, b = label[p], label[q]
-        cross = a != b
-        if not cross.any():
-            return np.unique(np.concatenate(taken)) if taken else np.zeros(0, np.int64)
-        best = np.full(len(names), never)
-        np.minimum.at(best, a[cross], key[cross])
-        np.minimum.at(best, b[cross], key[cross])
-        new = np.unique(best[best < never] % len(p))
-        taken.append(new)
-        for e in new:
-            x, y = label[p[e]], label[q[e]]
-            while root[x] != x:
-                x = root[x]
-            while root[y] != y:
-                y = root[y]
-            root[max(x, y)] = min(x, y)
-        while (root[root] != root).any():
-            root = root[root]
-        label = root[label]
-
-
-def pairs_left(batches, bound: Bound, every: bool):
-    """Tiles of blocks (sig, i, j, id, at, comp, n, row), sorted: pairs across components that sizes and sketches allow.
-
-    All of them, or as many as would join what they can join within a tile.
-    """
-    for t in groups(batches, ["sig", "i", "j"]):
+            out = []
+            for a, other, b, row in zip(*(column(batch, c) for c in ("a", "other", "id", "row"))):
+                row = unpacked(row)
+                if not other:
+                    left = row
+                    continue
+                at = np.searchsorted(left, row)
+                at[at == len(left)] = 0
+                if bound.near(int((left[at] == row).sum()), len(left), len(row)):
+                    out.append((a, b))
+            yield pa.record_batch([pa.array(c, pa.int64()) for c in (zip(*out) if out else ((), ()))], names=["a", "b"])
+
+    return wanted.mapInArrow(run, "a long, b long")
+
+
+def tile_pairs(batches, bound: Bound):
+    """Tiles of large columns (gram, i, j, at, id, x, comp), sorted: pairs (a, b) across components that can be near."""
+    for t in groups(batches, ["gram", "i", "j"]):
         i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
-        at, ids, comp, n = (t.column(c).to_numpy() for c in ("at", "id", "comp", "n"))
-        bits = np.unpackbits(np.frombuffer(b"".join(x.as_py()[: SKETCH_BITS // 8] for x in t.column("row")), np.uint8).reshape(len(at), -1), axis=1).astype(np.float32)
-        x, y = np.flatnonzero(at == i), np.flatnonzero(at == j)
-        ones = bits.sum(1)
-        far = ones[x][:, None] + ones[y][None, :] - 2 * (bits[x] @ bits[y].T)
-        ok = (comp[x][:, None] != comp[y][None, :]) & (far <= bound.apart(n[x][:, None] + n[y][None, :]))
-        ok &= ids[x][:, None] < ids[y][None, :] if i == j else True
-        p, q = np.nonzero(ok)
-        if len(p) and not every:
-            e = forest(x[p], y[q], far[p, q], comp)
-            p, q = p[e], q[e]
-        if len(p):
-            a, b = ids[x[p]], ids[y[q]]
-            yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+        at, ids, x, comp = (t.column(c).to_numpy() for c in ("at", "id", "x", "comp"))
+        p, q = np.flatnonzero(at == i), np.flatnonzero(at == j)
+        n, place = x >> 32, x & 0xFFFFFFFF
+        for r in np.array_split(p, -(-len(p) // TILE)) if len(p) else ():
+            ok = bound.can(n[r][:, None], n[q][None, :], place[r][:, None], place[q][None, :]) & (comp[r][:, None] != comp[q][None, :])
+            ok &= ids[r][:, None] < ids[q][None, :] if i == j else True
+            u, v = np.nonzero(ok)
+            if len(u):
+                a, b = ids[r[u]], ids[q[v]]
+                yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+
+def star_pairs(members: DataFrame, first, bound: Bound) -> DataFrame:
+    """Pairs of each member (gram, id, x, comp) of a column with the one that is least by `first`, across components."""
+    leads = members.groupBy("gram").agg(F.min(F.struct(first.alias("key"), "id", "x", "comp")).alias("lead"))
+    met = members.join(leads, "gram").where("comp <> lead.comp").withColumn("y", F.col("lead.x")).where(bound.can_sql("x", "y"))
+    return met.select(F.least("id", "lead.id").alias("a"), F.greatest("id", "lead.id").alias("b")).distinct()
+
+
+def links_of_large_columns(big: DataFrame, linked: DataFrame, tried: DataFrame, rows: DataFrame, bound: Bound, scratch: Scratch) -> DataFrame:
+    """linked, and links that join all that members (gram, id, x) of large columns can join.
+
+    What a few rounds of one row against its column leave apart meets in tiles. A link's first common
+    n-gram is in a column where both rows stand; where that is a large one and the rows are still
+    in different components, they meet here.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    for k in range(STARS + 1):
+        parted = components(linked, scratch).withColumnRenamed("node", "id")
+        members = big.join(parted, "id", "left").select("gram", "id", "x", F.coalesce("component", "id").alias("comp"))
+        apart = members.groupBy("gram").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size")).where("low <> high")
+        apart = scratch.write(apart.select("gram", F.ceil(F.col("size") / TILE).cast("int").alias("tiles")), "apart")
+        members = scratch.write(members.join(apart, "gram"), "members")
+        if not members.limit(1).count():
+            break
+        if k < STARS:
+            # first the row with the fewest rarer n-grams, then others
+            found = star_pairs(members, F.col("x").bitwiseAND(0xFFFFFFFF) if not k else F.xxhash64(F.lit(k), "id"), bound)
+        else:
+            tiles = members.withColumn("at", F.pmod(F.xxhash64("id"), "tiles").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+            tiles = tiles.select("gram", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"), "at", "id", "x", "comp")
+            tiles = tiles.repartition(parts, "gram", "i", "j").sortWithinPartitions("gram", "i", "j")
+            found = tiles.mapInArrow(lambda x: tile_pairs(x, bound), "a long, b long").distinct()
+        found = scratch.write(found.join(tried, ["a", "b"], "left_anti"))
+        tried = tried.unionByName(found)
+        linked = linked.unionByName(scratch.write(linked_pairs(found, rows, bound, scratch)))
+    return linked
 
 
 def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -248,23 +359,19 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
 
 def tile_counts(batches, bound: Bound):
     """Tiles of components (component, i, j, at, id, times, n, row), sorted: (id, linked), the documents in other classes linked with a class."""
-    head = SKETCH_BITS // 8
     for t in groups(batches, ["component", "i", "j"]):
         i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
         at, ids, times, n = (t.column(c).to_numpy() for c in ("at", "id", "times", "n"))
         x, y = np.flatnonzero(at == i), np.flatnonzero(at == j)
         if not len(x) or not len(y):
             continue
-        raw = t.column("row").to_pylist()
-        bits = np.unpackbits(np.frombuffer(b"".join(r[:head] for r in raw), np.uint8).reshape(len(at), -1), axis=1).astype(np.float32)
-        ones, most = bits.sum(1), bound.apart(n[x][:, None] + n[y][None, :])
-        ok = (ones[x][:, None] + ones[y][None, :] - 2 * (bits[x] @ bits[y].T) <= most) & (np.abs(n[x][:, None] - n[y][None, :]) <= most)
+        ok = 100 * np.minimum(n[x][:, None], n[y][None, :]) >= bound.percent * np.maximum(n[x][:, None], n[y][None, :])
         ok &= ids[x][:, None] < ids[y][None, :] if i == j else True
         left, right = np.flatnonzero(ok.any(1)), np.flatnonzero(ok.any(0))
         if not len(left):
             continue
         p, q = np.nonzero(ok[np.ix_(left, right)])
-        sets = [unpacked(r[head:]) for r in raw]
+        sets = [unpacked(r) for r in t.column("row").to_pylist()]
         shared = overlaps([sets[k] for k in x[left]], [sets[k] for k in y[right]])[p, q]
         p, q = x[left[p]], y[right[q]]
         near = bound.near(shared, n[p], n[q])
@@ -274,22 +381,98 @@ def tile_counts(batches, bound: Bound):
         yield pa.record_batch([pa.array(ids[some]), pa.array(linked[some].astype(np.int64))], names=["id", "linked"])
 
 
-def link_counts(parted: DataFrame, times: DataFrame, rows: DataFrame, bound: Bound, parts: int) -> DataFrame:
+def link_counts(parted: DataFrame, times: DataFrame, rows: DataFrame, bound: Bound, scratch: Scratch) -> DataFrame:
     """(id, linked) of the classes of components (id, component), each pair of a component tried in one tile, none handed on.
 
     No link leaves a component, so these are all links. A row of the matrix goes to as many tasks as
     its component has tiles to a side.
     """
-    each = durable(parted.join(rows.select("id", "n"), "id").join(times, "id"))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    each = scratch.write(parted.join(rows.select("id", "n"), "id").join(times, "id"), "each")
     sizes = each.groupBy("component").agg(F.ceil(F.greatest(F.count("*") / PRODUCT, F.sum("n") / PRODUCT_GRAMS)).cast("int").alias("tiles"))
-    tiles = durable(each.join(durable(sizes), "component")).join(rows.select("id", "row"), "id")
+    tiles = scratch.write(each.join(sizes, "component"), "tiles").join(rows.select("id", "row"), "id")
     tiles = tiles.withColumn("at", F.pmod(F.xxhash64("id"), "tiles").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     tiles = tiles.select("component", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"), "at", "id", "times", "n", "row")
     tiles = tiles.repartition(parts, "component", "i", "j").sortWithinPartitions("component", "i", "j")
-    return tiles.mapInArrow(lambda x: tile_counts(x, bound), "id long, linked long").groupBy("id").agg(F.sum("linked").alias("linked"))
+    return tiles.mapInArrow(lambda x: tile_counts(x, bound), "id long, linked long")
+
 
+def all_link_counts(linked: DataFrame, parted: DataFrame, big: DataFrame | None, times: DataFrame, rows: DataFrame, bound: Bound, scratch: Scratch) -> DataFrame:
+    """(id, linked): how many documents of other classes a class is linked with.
 
-def similar_groups(docs: DataFrame, words: int = 5, percent: int = 80, count_links: bool = False) -> DataFrame:
+    Outside large columns every link was found by itself; a component with a row in one is gone through anew.
+    """
+    whole = None
+    if big is not None:
+        whole = scratch.write(parted.join(big.select("id").distinct(), "id").select("component").distinct(), "whole")
+        each = link_counts(parted.join(whole, "component").select("id", "component"), times, rows, bound, scratch)
+        at = parted.join(whole, "component", "left_anti").select("id")
+        linked = linked.join(at.withColumnRenamed("id", "a"), "a", "left_semi")
+    both = linked.select(F.col("a").alias("id"), F.col("b").alias("to")).union(linked.select("b", "a"))
+    out = both.join(times.select(F.col("id").alias("to"), F.col("times").alias("linked")), "to").select("id", "linked")
+    out = out if whole is None else out.unionByName(each)
+    return out.groupBy("id").agg(F.sum("linked").alias("linked"))
+
+
+def similar_rows(docs: DataFrame, words: int, percent: int, count_links: bool, scratch: Scratch, block: int = BLOCK) -> DataFrame:
+    """doc_id, h (hash of the text), n_shingles, n_links (null unless counted), component_id and kept of every document.
+
+    kept: whether it is the first of its component, by doc_id and then h.
+    """
+    spark, bound = docs.sparkSession, Bound(percent)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sets = scratch.write(incidence(docs, words))
+    filled = sets.where("id is not null").select("doc_id", "h", "n", "id")
+    classes = scratch.write(filled.groupBy("id").agg(F.min(F.struct("doc_id", "h")).alias("first"), F.count("*").alias("times")))
+
+    # the order of n-grams, and which ones have so many rows that a task shouldn't have a column to itself
+    counts = column_counts(sets)
+    hot = counts > max(4096, 8 * counts.mean())
+    order = spark.sparkContext.broadcast((np.floor(1000 * np.log2(counts + 1.0)).astype(np.uint16), hot))
+    entries = columns(sets, order, bound, False).repartition(parts, "gram").sortWithinPartitions("gram", "id")
+    found = entries.mapInArrow(lambda x: products(x, bound, block), "gram long, a long, b long, x long, y long")
+    # sums the overlaps of pairs; entries of large columns are groups of one
+    found = scratch.write(found.groupBy("gram", "a", "b").agg(F.count("*").alias("o"), F.min("x").alias("x"), F.min("y").alias("y")))
+    big = found.where("b is null").select("gram", F.col("a").alias("id"), "x")
+    if hot.any():
+        met = scratch.write(columns(sets, order, bound, True).distinct())
+        several = met.groupBy("gram").agg(F.count("*").alias("size")).where("size > 1").select("gram")
+        big = scratch.write(big.unionByName(met.join(several, "gram")))
+    pairs = found.where("b is not null").withColumn("unseen", F.lit(0))
+    large = big.limit(1).count() > 0
+    if large:
+        # of a pair's common n-grams, so many at most are in large columns, and so not in its count
+        at = scratch.write(big.groupBy("id").agg(F.count("*").alias("at")))
+        pairs = pairs.join(at.select(F.col("id").alias("a"), F.col("at").alias("p")), "a", "left").join(at.select(F.col("id").alias("b"), F.col("at").alias("q")), "b", "left")
+        pairs = pairs.withColumn("unseen", F.least(F.coalesce("p", F.lit(0)), F.coalesce("q", F.lit(0))))
+    reach = f"unseen + least({N.format('x')} - {AT.format('x')}, {N.format('y')} - {AT.format('y')}) >= {bound.least_sql('x', 'y')}"
+    total = f"unseen + o + greatest({bound.rest_sql('x')}, {bound.rest_sql('y')}) >= {bound.least_sql('x', 'y')}"
+    pairs = scratch.write(pairs.where(f"{reach} and {total}").select("a", "b"))
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
+    ids = scratch.write((ids.union(big.select("id")) if large else ids).distinct())
+    rows = scratch.write(needed_rows(sets, ids))
+
+    linked = scratch.write(linked_pairs(pairs, rows, bound, scratch))
+    if large:
+        linked = links_of_large_columns(big, linked, pairs, rows, bound, scratch)
+    parted = components(linked, scratch).withColumnRenamed("node", "id")
+    if count_links:
+        counted = all_link_counts(linked, parted, big if large else None, classes.select("id", "times"), rows, bound, scratch)
+        classes = scratch.write(classes.join(counted, "id", "left").withColumn("n_links", F.col("times") - 1 + F.coalesce("linked", F.lit(0))))
+    else:
+        classes = classes.withColumn("n_links", F.lit(None).cast("long"))
+    lowest = parted.join(classes, "id").groupBy("component").agg(F.min("first").alias("lowest"))
+    parted = scratch.write(parted.join(lowest, "component").select("id", "lowest"))
+    known = scratch.write(classes.join(parted, "id", "left").select("id", "n_links", F.coalesce("lowest", "first").alias("head")))
+    out = filled.join(known, "id").select(
+        "doc_id", "h", F.col("n").alias("n_shingles"), "n_links", F.col("head.doc_id").alias("component_id"), (F.struct("doc_id", "h") == F.col("head")).alias("kept")
+    )
+    none = F.lit(0 if count_links else None).cast("long").alias("n_links")
+    rest = sets.where("id is null").select("doc_id", "h", F.col("n").alias("n_shingles"), none, F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"))
+    return out.unionByName(rest)
+
+
+def similar_groups(docs: DataFrame, words: int = 5, percent: int = 80, count_links: bool = False, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles and component_id of every document; with `count_links` also n_links, the documents linked directly.
 
     Words are what ASCII white space parts, with A-Z lower-cased; a document's set is that of its
@@ -300,77 +483,31 @@ def similar_groups(docs: DataFrame, words: int = 5, percent: int = 80, count_lin
     n_links 0.
     Other columns are ignored. No rows: no rows.
     """
-    spark, bound = docs.sparkSession, Bound(percent)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    scratch = Scratch(spark)
-    every = scratch.write(incidence(docs, words, bound))
-    found = every.select("doc_id", "n", "id")
-    filled = found.where("n > 0 and doc_id is not null")
-
-    sigs = every.where("n > 0 and doc_id is not null").select(F.explode("sigs").alias("sig"), "id")
-    members = sigs.repartition(parts, "sig").sortWithinPartitions("sig", "id").mapInArrow(block_members, "sig long, id long, lead long")
-    members = durable(members)
-    # the rows of the matrix that any block needs, from the texts of their first documents
-    least = durable(filled.groupBy("id").agg(F.min("doc_id").alias("first")))
-    needed = least.join(members.select("id").distinct(), "id", "left_semi")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(needed.select(F.col("first").alias("doc_id")), "doc_id", "left_semi")
-    rows = incidence(texts, words, bound, rows=True).where("row is not null").groupBy("id").agg(F.first("n").alias("n"), F.first("row").alias("row"))
-    rows = scratch.write(rows)
-
-    tried = durable(members.where("id <> lead").select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct())
-    linked = durable(links(tried, rows, bound))
-    sketches = rows.select("id", "n", F.substring("row", 1, SKETCH_BITS // 8).alias("row"))
-    # first as few pairs as may join all that can be joined, then every pair that is still apart
-    for every in (False, True):
-        parted = components(linked).withColumnRenamed("node", "id")
-        members = durable(members.select("sig", "id").join(parted, "id", "left").select("sig", "id", F.coalesce("component", "id").alias("comp")))
-        blocks = members.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size"))
-        blocks = durable(blocks.where("low <> high").select("sig", F.ceil(F.col("size") / TILE).cast("int").alias("tiles")))
-        tiles = durable(members.join(blocks, "sig")).join(sketches, "id")
-        tiles = tiles.withColumn("at", F.pmod(F.xxhash64("id"), "tiles").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-        tiles = tiles.select("sig", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"), "id", "at", "comp", "n", "row")
-        tiles = tiles.repartition(parts, "sig", "i", "j").sortWithinPartitions("sig", "i", "j")
-        found_pairs = tiles.mapInArrow(lambda x, every=every: pairs_left(x, bound, every), "a long, b long").distinct()
-        others = durable(found_pairs.join(tried, ["a", "b"], "left_anti"))
-        tried = tried.union(others)
-        linked = durable(linked.union(links(others, rows, bound)))
-    parted = components(linked).withColumnRenamed("node", "id")
-    if count_links:
-        times = durable(filled.groupBy("id").agg(F.count("*").alias("times")))
-        linked = durable(link_counts(parted, times, rows, bound, parts))
-        times = times.join(linked, "id", "left").select("id", (F.col("times") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
-    parted = durable(parted.join(least, "id"))
-    lowest = durable(parted.groupBy("component").agg(F.min("first").alias("lowest")))
-    parted = durable(parted.join(lowest, "component").select("id", "lowest"))
-    least = durable(least.join(parted, "id", "left").select("id", F.coalesce("lowest", "first").alias("component_id")))
-    if count_links:
-        least = durable(least.join(durable(times), "id"))
-    counts = ["n_links"] if count_links else []
-    out = filled.join(least, "id").select("doc_id", F.col("n").alias("n_shingles"), *counts, "component_id")
-    rest = found.where("n = 0 or doc_id is null").withColumn("n_links", F.lit(0).cast("long"))
-    rest = rest.select("doc_id", F.col("n").alias("n_shingles"), *counts, F.col("doc_id").alias("component_id"))
-    out = durable(out.unionByName(rest))
+    scratch = Scratch(docs.sparkSession)
+    out = durable(similar_rows(docs, words, percent, count_links, scratch, block).select("doc_id", "n_shingles", *["n_links"] * count_links, "component_id"))
     scratch.close()
     return out
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar_groups(table(spark, sf_dir, "documents"), words=3, percent=90)
-
-
-def op5_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op5 with the number of links of every document."""
     return similar_groups(table(spark, sf_dir, "documents"), words=3, percent=90, count_links=True)
 
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """Pipeline stage: of each group of similar documents the one with the least doc_id, all columns kept.
 
-    Rows with equal doc_id count as one document here: one of them stays. Documents without words,
-    and rows with a null doc_id, all stay.
+    Rows with equal doc_id are told apart by their text; of rows equal in both one stays, if their
+    document does. Documents without words, and rows with a null doc_id, all stay.
     """
-    found = similar_groups(docs, words, percent)
-    heads = found.where("n_shingles > 0 and doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
+    scratch = Scratch(docs.sparkSession)
+    heads = similar_rows(docs, words, percent, False, scratch).where("kept and n_shingles > 0 and doc_id is not null")
+    heads = heads.select(F.col("doc_id").alias("kept_id"), F.col("h").alias("kept_h")).distinct()
     worded = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]") & F.col("doc_id").isNotNull()
-    kept = docs.where(worded).join(durable(heads), F.col("doc_id") == F.col("kept_id"), "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where(~worded))
+    key = "h"
+    while key in docs.columns:
+        key += "_"
+    marked = docs.withColumn(key, F.xxhash64("text"))
+    kept = marked.where(worded).join(heads, (F.col("doc_id") == F.col("kept_id")) & (F.col(key) == F.col("kept_h")), "left_semi")
+    out = durable(kept.dropDuplicates(["doc_id", key]).drop(key).unionByName(docs.where(~worded)))
+    scratch.close()
+    return out

@@ -9,8 +9,9 @@ g as (select doc_id, unnest(s) as g from s),
 p as (select a.doc_id as a, b.doc_id as b, count(*) as o from g a join g b on a.g = b.g and a.doc_id < b.doc_id group by all),
 l as (select a, b from p join s x on x.doc_id = a join s y on y.doc_id = b where 100 * o >= 90 * (len(x.s) + len(y.s) - o)),
 e as (select a, b from l union all select b, a from l),
+n as (select a as doc_id, count(*) as n_links from e group by a),
 r as (select doc_id, doc_id as root from s union select e.b, r.root from r join e on r.doc_id = e.a)
-select s.doc_id, any_value(len(s.s))::bigint as n_shingles, min(root)::bigint as component_id from s join r on r.doc_id = s.doc_id group by s.doc_id
+select s.doc_id, any_value(len(s.s))::bigint as n_shingles, coalesce(any_value(n.n_links), 0)::bigint as n_links, min(root)::bigint as component_id from s join r on r.doc_id = s.doc_id left join n on n.doc_id = s.doc_id group by s.doc_id
 """
 
 VECTORS = """

@@ -73,16 +73,47 @@ def test_hot_group_of_near_copies(spark):
     assert sorted(map(tuple, got), key=str) == brute(docs, 3, 90)
 
 
-def test_part_signatures_of_linked_sets_meet():
+@pytest.mark.parametrize("block,stars", [(2, 0), (3, 1), (64, 3)])
+def test_large_columns(spark, monkeypatch, block, stars):
+    monkeypatch.setattr(jaccard, "STARS", stars)
+    monkeypatch.setattr(jaccard, "TILE", 7)
+    docs = corpus(7)
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = jaccard.similar_groups(frame, 3, 80, block=block).collect()
+    assert sorted(map(tuple, got), key=str) == brute(docs, 3, 80)
+
+
+def test_one_passage_in_very_many_documents(spark):
+    rng = random.Random(8)
+    passage = " ".join(f"p{i}" for i in range(40))
+    docs = [(i, " ".join(f"u{rng.randrange(10**7)}" for _ in range(rng.randint(5, 12))) + " " + passage) for i in range(6000)]
+    docs += [(10_000 + i, docs[i][1] + " end") for i in range(0, 600, 3)]
+    got = {r.doc_id: r.component_id for r in jaccard.similar_groups(spark.createDataFrame(docs, "doc_id long, text string"), 5, 90).collect()}
+    sets = {d: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for d, t in docs}
+    for i in range(0, 600, 3):
+        assert got[10_000 + i] == got[i] == i
+    # no two others are within the threshold: 36 of their 41 n-grams or more are common, 90 percent need more
+    assert all(len(sets[a] & sets[b]) / len(sets[a] | sets[b]) < 0.9 for a, b in ((1, 2), (2, 4), (4, 5)))
+    assert sum(d != c for d, c in got.items()) == 200
+
+
+def test_rows_within_the_threshold_share_a_column_and_may_meet():
     import numpy as np
 
     rng = np.random.default_rng(4)
-    for percent in (80, 90):
+    for percent in (50, 80, 90):
         bound = jaccard.Bound(percent)
         for n in list(range(1, 60)) + [500, 3000]:
-            x = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
-            drop = rng.integers(0, bound.apart(2 * n) + 1)
-            y = np.unique(np.r_[x[drop // 2 :], rng.integers(0, 2**63, drop - drop // 2, dtype=np.uint64)])
-            o = len(np.intersect1d(x, y))
-            if len(y) and bound.near(o, len(x), len(y)):
-                assert set(jaccard.signatures(x, bound).tolist()) & set(jaccard.signatures(y, bound).tolist())
+            x = rng.permutation(10**6)[:n]
+            drop = int(rng.integers(0, n - n * percent // 100 + 1))
+            y = np.r_[x[drop // 2 :], 10**6 + np.arange(drop - drop // 2)]
+            if not len(y) or not bound.near(len(np.intersect1d(x, y)), len(x), len(y)):
+                continue
+            rank = rng.permutation(2 * 10**6)
+            a, b = rank[x][np.argsort(rank[x])], rank[y][np.argsort(rank[y])]
+            p, q = a[: bound.prefix(len(a))], b[: bound.prefix(len(b))]
+            both = np.intersect1d(p, q)
+            assert len(both)
+            assert bound.can(len(a), len(b), np.searchsorted(a, both[0]), np.searchsorted(b, both[0]))
+            rest = max(len(a) - len(p), len(b) - len(q))
+            assert len(both) + rest >= bound.least(len(a) + len(b))
