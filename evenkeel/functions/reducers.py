@@ -15,6 +15,14 @@ def quantile(c: Column, p: float) -> Column:
     return F.percentile(c, F.lit(p))
 
 
+def at_quantile(ordered: Column, p: float) -> Column:
+    """The same of an array in order; null of an empty one."""
+    at = (F.size(ordered) - 1) * p
+    low = F.floor(at).cast("int")
+    a = F.get(ordered, low)
+    return F.when(F.size(ordered) > 0, a + (F.coalesce(F.get(ordered, low + 1), a) - a) * (at - low))
+
+
 def first_value(c: Column, order: Column) -> Column:
     return F.min_by(c, F.when(c.isNotNull(), order))
 

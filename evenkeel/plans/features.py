@@ -42,34 +42,60 @@ runs as (select k, j, max(span) as lead_longest from (select k, j, lead, case wh
 select agg.*, jerk_max, jerk_p50, jerk_p95, time_of_peak_jerk, steer_rate_max, steer_rate_p95, time_of_peak_steer_rate, lead_longest from agg left join jerk using (k, j) left join steer using (k, j) left join runs using (k, j)"""
 
 
-@query("q_block_motion", MOTION, "k j n n_lead lead_drops has_lane_probs fcw_present")
-def block_motion(spark, sf):
-    return B.motion_block(with_signals(windows(spark, sf)), KJ, 0.05)
+#: A window's first tick, in hours.
+BEGIN = F.col("j") * (STRIDE / HOUR) - WIDTH / HOUR
 
 
-BOX = {"t": f"u / {HOUR}.0D", "lead": "v > 150", "area": "v / 500", "cx": "v / 250 - 1", "y2": "v / 490", "conf": "v / 495", "vehicles": "id % 5", "corridor": "id % 3", "person": "case when e = 'error' then 1 else 0 end", "light": "case when e = 'view' then 2 else 0 end", "red": "case when e = 'click' then 1 else 0 end", "brightness": "v / 3", "motion": "case when e <> 'signup' then v / 9 end"}
-BOX_INTS = "k j available n_frames lead_available lead_drops vehicles_max vehicles_delta corridor_max corridor_clear any_vehicle person_max light_max any_vru any_light red_any"
-SCAFFOLD = "s as (select k, j from (select distinct k from ev), d)"
+def in_windows(rows):
+    return L.sliding(rows, "u", WIDTH, STRIDE, FIRST, LAST)
 
 
-@query(
-    "q_block_boxes",
-    f"""with {WIN}, {SCAFFOLD}, x as (select k, j, {", ".join(f"{in_duckdb(e)} as {c}" for c, e in BOX.items())} from win),
-    y as (select *, coalesce(lag(lead) over (partition by k, j order by t), false) and not lead as dropped, row_number() over (partition by k, j order by t) - row_number() over (partition by k, j, lead order by t) as island from x),
-    a as (select k, j, count(*) as n_frames, max(lead::int) as lead_available, avg(lead::int::double) as lead_rate, avg(area) filter (lead) as area_mean, max(area) filter (lead) as area_max, quantile_cont(area, 0.9) filter (lead) as area_p90, arg_max(area, t) filter (lead) as area_last,
-      case when count(*) filter (lead) >= 3 then regr_slope(area, t) filter (lead) end as area_growth, case when count(*) filter (lead) >= 2 then (arg_max(area, t) filter (lead)) - (arg_min(area, t) filter (lead)) end as area_delta,
-      avg(cx) filter (lead) as cx_mean, arg_max(cx, t) filter (lead) as cx_last, max(abs(cx)) filter (lead) as cx_max_abs, avg(y2) filter (lead) as y2_mean, max(y2) filter (lead) as y2_max, avg(conf) filter (lead) as conf_mean, count(*) filter (dropped) as lead_drops,
-      avg(vehicles) as vehicles_mean, max(vehicles) as vehicles_max, case when count(*) >= 2 then arg_max(vehicles, t) - arg_min(vehicles, t) end as vehicles_delta, avg(corridor) as corridor_mean, max(corridor) as corridor_max, (max(corridor) <= 0)::int as corridor_clear, (max(vehicles) > 0)::int as any_vehicle,
-      max(person) as person_max, max(light) as light_max, (max(person) > 0)::int as any_vru, (max(light) > 0)::int as any_light, avg(brightness) as brightness_mean, avg(motion) as motion_mean, max((red > 0)::int) as red_any, avg((red > 0)::int::double) as red_frac from y group by all),
-    r as (select k, j, max(span) as lead_longest from (select k, j, lead, case when lead then max(t) - min(t) else 0 end as span from y group by k, j, lead, island) group by all),
-    f as (select s.k, s.j, 1 as available, a.* exclude (k, j), r.lead_longest from s left join a using (k, j) left join r using (k, j)) select coalesce(columns(*), 0) from f""",
-    BOX_INTS,
+@query("q_block_motion", MOTION, "k j n n_lead lead_drops has_lane_probs fcw_present")
+def block_motion(spark, sf):
+    rows = B.margins(with_signals(events(spark, sf)))
+    return B.motion_block(in_windows(B.with_edges(rows, "k", F.col("lead"), F.col("t"))), KJ, 0.05, BEGIN)
+
+
+BOX = {
+    "t": f"u / {HOUR}.0D", "lead": "v > 150", "area": "v / 500", "cx": "v / 250 - 1", "y2": "v / 490", "conf": "v / 495", "vehicles": "id % 5", "corridor": "id % 3",
+    "person": "case when e = 'error' then 1 else 0 end", "bicycle": "case when e = 'signup' then id % 2 else 0 end", "light": "case when e = 'view' then 2 else 0 end", "stop": "case when e = 'purchase' then 1 else 0 end",
+    "red": "case when e = 'click' then 1 else 0 end", "amber": "case when id % 97 = 0 then 1 else 0 end", "green": "case when e = 'view' then id % 3 else 0 end", "unknown": "case when id % 211 = 1 then 1 else 0 end",
+    "brightness": "v / 3", "motion": "case when e <> 'signup' then v / 9 end",
+    **{f"n_{r}{c}": f"(id + {3 * r + c}) % 4" for r, c in B.CELLS}, **{f"a_{r}{c}": f"case when id % {r + 2} = 0 then v / {900 + c} end" for r, c in B.CELLS},
+}
+BOX_INTS = (
+    "k j available n_frames lead_available lead_drops vehicles_max vehicles_delta corridor_max corridor_clear any_vehicle"
+    " person_max bicycle_max light_max stop_max any_vru any_light red_any amber_any green_any unknown_any"
 )
+SCAFFOLD = "s as (select k, j from (select distinct k from ev), d)"
+BOX_SQL = f"""with {WIN}, {SCAFFOLD},
+x as (select k, j, {", ".join(f"{in_duckdb(e)} as {c}" for c, e in BOX.items())} from win),
+y as (select *, coalesce(lag(lead) over (partition by k, j order by t), false) and not lead as dropped,
+  row_number() over (partition by k, j order by t) - row_number() over (partition by k, j, lead order by t) as island from x),
+a as (select k, j, count(*) as n_frames, max(lead::int) as lead_available, avg(lead::int::double) as lead_rate,
+  avg(area) filter (lead) as area_mean, max(area) filter (lead) as area_max, quantile_cont(area, 0.9) filter (lead) as area_p90, arg_max(area, t) filter (lead) as area_last,
+  case when count(*) filter (lead) >= 3 then regr_slope(area, t) filter (lead) end as area_growth,
+  case when count(*) filter (lead) >= 2 then (arg_max(area, t) filter (lead)) - (arg_min(area, t) filter (lead)) end as area_delta,
+  avg(cx) filter (lead) as cx_mean, arg_max(cx, t) filter (lead) as cx_last, max(abs(cx)) filter (lead) as cx_max_abs,
+  avg(y2) filter (lead) as y2_mean, max(y2) filter (lead) as y2_max, avg(conf) filter (lead) as conf_mean, count(*) filter (dropped) as lead_drops,
+  avg(vehicles) as vehicles_mean, max(vehicles) as vehicles_max, case when count(*) >= 2 then arg_max(vehicles, t) - arg_min(vehicles, t) end as vehicles_delta,
+  avg(corridor) as corridor_mean, max(corridor) as corridor_max, (max(corridor) <= 0)::int as corridor_clear, (max(vehicles) > 0)::int as any_vehicle,
+  {", ".join(f"max({c}) as {c}_max" for c in ("person", "bicycle", "light", "stop"))},
+  (max(person) > 0 or max(bicycle) > 0)::int as any_vru, (max(light) > 0)::int as any_light, avg(brightness) as brightness_mean, avg(motion) as motion_mean,
+  {", ".join(f"avg({x}_{r}{c}) as {x}_{r}{c}_mean" for r, c in B.CELLS for x in ("n", "a"))},
+  {", ".join(f"max(({x} > 0)::int) as {x}_any" for x in B.LIGHTS)}, {", ".join(f"avg(({x} > 0)::int::double) as {x}_frac" for x in B.LIGHTS[:3])}
+  from y group by all),
+r as (select k, j, max(span) as lead_longest from (select k, j, lead, case when lead then max(t) - min(t) else 0 end as span from y group by k, j, lead, island) group by all),
+f as (select s.k, s.j, 1 as available, a.* exclude (k, j), r.lead_longest from s left join a using (k, j) left join r using (k, j))
+select coalesce(columns(*), 0) from f"""
+
+
+@query("q_block_boxes", BOX_SQL, BOX_INTS)
 def block_boxes(spark, sf):
-    w = windows(spark, sf)
-    rows = w.select(*KJ, *[F.expr(x).alias(c) for c, x in BOX.items()])
-    s = L.scaffold(events(spark, sf).select("k").distinct(), FIRST, LAST)
-    return B.box_block(rows, s, KJ, F.lit(True))
+    e = events(spark, sf)
+    rows = B.with_edges(e.select("k", "u", *[F.expr(x).alias(c) for c, x in BOX.items()]), "k", F.col("lead"), F.col("t"))
+    s = L.scaffold(e.select("k").distinct(), FIRST, LAST)
+    return B.box_block(in_windows(rows), s, KJ, F.lit(True), BEGIN)
 
 
 FLOW = {"t": f"u / {HOUR}.0D", "valid": "case when e <> 'signup' then 1.0D else 0.0D end", "residual": "v / 40", "corridor_residual": "v / 50", "sideways": "(v - 245) / 70", "lengthways": "(245 - v) / 80", "divergence": "(v - 200) / 90", "movers": "cast(id % 4 as double)", "mover_area": "v / 900", "scale": "1 + v / 5000", "rotation": "(v - 245) / 4000"}
