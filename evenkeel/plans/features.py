@@ -42,8 +42,9 @@ runs as (select k, j, max(span) as lead_longest from (select k, j, lead, case wh
 select agg.*, jerk_max, jerk_p50, jerk_p95, time_of_peak_jerk, steer_rate_max, steer_rate_p95, time_of_peak_steer_rate, lead_longest from agg left join jerk using (k, j) left join steer using (k, j) left join runs using (k, j)"""
 
 
-#: A window's first tick, in hours.
-BEGIN = F.col("j") * (STRIDE / HOUR) - WIDTH / HOUR
+def begin():
+    """A window's first tick, in hours."""
+    return F.col("j") * (STRIDE / HOUR) - WIDTH / HOUR
 
 
 def in_windows(rows):
@@ -53,7 +54,7 @@ def in_windows(rows):
 @query("q_block_motion", MOTION, "k j n n_lead lead_drops has_lane_probs fcw_present")
 def block_motion(spark, sf):
     rows = B.margins(with_signals(events(spark, sf)))
-    return B.motion_block(in_windows(B.with_edges(rows, "k", F.col("lead"), F.col("t"))), KJ, 0.05, BEGIN)
+    return B.motion_block(in_windows(B.with_edges(rows, "k", F.col("lead"), F.col("t"))), KJ, 0.05, begin())
 
 
 BOX = {
@@ -95,7 +96,7 @@ def block_boxes(spark, sf):
     e = events(spark, sf)
     rows = B.with_edges(e.select("k", "u", *[F.expr(x).alias(c) for c, x in BOX.items()]), "k", F.col("lead"), F.col("t"))
     s = L.scaffold(e.select("k").distinct(), FIRST, LAST)
-    return B.box_block(in_windows(rows), s, KJ, F.lit(True), BEGIN)
+    return B.box_block(in_windows(rows), s, KJ, F.lit(True), begin())
 
 
 FLOW = {"t": f"u / {HOUR}.0D", "valid": "case when e <> 'signup' then 1.0D else 0.0D end", "residual": "v / 40", "corridor_residual": "v / 50", "sideways": "(v - 245) / 70", "lengthways": "(245 - v) / 80", "divergence": "(v - 200) / 90", "movers": "cast(id % 4 as double)", "mover_area": "v / 900", "scale": "1 + v / 5000", "rotation": "(v - 245) / 4000"}
