@@ -91,7 +91,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 class WordIds(dict):
     """64-bit hash of each word; forgets all when it has grown to its bound."""
 
-    BOUND = 400_000
+    BOUND = 200_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.BOUND:
@@ -157,3 +157,13 @@ def edges(t: pa.Table, keys: list[str]) -> np.ndarray:
 def held_out(doc_id, folds: int, fold: int):
     """Whether crc32 of the id as text falls in the fold that is not learned from."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds == fold
+
+
+def limit(share: float) -> int:
+    """The hash (of 64 bits, signed) up to which so large a share of all hashes lies."""
+    return min(int(share * (1 << 64)), (1 << 64) - 1) - (1 << 63)
+
+
+def sampled(rows: DataFrame, share: float, seed: str, *keys: str) -> DataFrame:
+    """About that share of the rows, by a hash of their keys; all of them from 1 on."""
+    return rows.where(F.xxhash64(F.lit(seed), *keys) <= F.lit(limit(share)))

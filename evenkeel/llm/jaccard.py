@@ -34,12 +34,13 @@ SLOTS, CHUNK = 1 << 19, 1 << 13
 BLOCK, TILE = 64, 512
 #: Rows that one other row is multiplied with at a time.
 PARTNERS = 128
-#: Rounds in which the rows of large columns meet one row each, before all that are still apart meet.
-STARS = 3
+#: Rounds at most in which the rows of large columns meet one row each, before all that are still apart meet; the
+#: pairs for each row that are few enough to do that at once.
+STARS, FEW = 3, 200
 #: Classes, and n-grams, of a component that one task multiplies with as many others; columns it holds at once.
 PRODUCT, PRODUCT_GRAMS, COLUMNS = 1024, 3_000_000, 2048
-#: Digests that a task remembers, to hand on an equal row once; bits in which needed rows are marked.
-SEEN, MARKS = 500_000, 1 << 24
+#: Digests that a task remembers, to hand on an equal row once.
+SEEN = 200_000
 #: Halves of a packed number: n-grams of the row, and place of the n-gram in it.
 N, AT = "shiftright({0}, 32)", "({0} & 4294967295)"
 
@@ -320,15 +321,20 @@ def links_of_large_columns(big: DataFrame, linked: DataFrame, tried: DataFrame,
     for k in range(STARS + 1):
         parted = components(linked, scratch).withColumnRenamed("node", "id")
         members = big.join(parted, "id", "left").select("gram", "id", "x", F.coalesce("component", "id").alias("comp"))
-        apart = members.groupBy("gram").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size")).where("low <> high")
-        apart = scratch.write(apart.select("gram", F.ceil(F.col("size") / TILE).cast("int").alias("tiles")), "apart")
-        members = scratch.write(members.join(apart, "gram"), "members")
-        if not members.limit(1).count():
+        each = members.groupBy("gram", "comp").agg(F.count("*").alias("n")).groupBy("gram")
+        apart = each.agg(F.sum("n").alias("size"), F.count("*").alias("comps"), F.sum(F.col("n") * F.col("n")).alias("inside")).where("comps > 1")
+        apart = apart.select("gram", F.ceil(F.col("size") / TILE).cast("int").alias("tiles"), "size", ((F.col("size") * F.col("size") - F.col("inside")) / 2).alias("pairs"))
+        apart = scratch.write(apart, "apart")
+        size, pairs = apart.agg(F.sum("size"), F.sum("pairs")).first()
+        if not size:
             break
-        if k < STARS:
+        members = scratch.write(members.join(apart.select("gram", "tiles"), "gram"), "members")
+        if k < STARS and pairs > FEW * size:
             # first the row with the fewest rarer n-grams, then others
+            last = False
             found = star_pairs(members, F.col("x").bitwiseAND(0xFFFFFFFF) if not k else F.xxhash64(F.lit(k), "id"), bound)
         else:
+            last = True
             tiles = members.withColumn("at", F.pmod(F.xxhash64("id"), "tiles").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
             tiles = tiles.select("gram", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"), "at", "id", "x", "comp")
             tiles = tiles.repartition(parts, "gram", "i", "j").sortWithinPartitions("gram", "i", "j")
@@ -336,6 +342,8 @@ def links_of_large_columns(big: DataFrame, linked: DataFrame, tried: DataFrame,
         found = scratch.write(found.join(tried, ["a", "b"], "left_anti"))
         tried = tried.unionByName(found)
         linked = linked.unionByName(scratch.write(linked_pairs(found, rows, bound, scratch)))
+        if last:
+            break
     return linked
 
 

@@ -10,11 +10,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, column, durable, held_out, mixed, table
+from .common import U64, Scratch, column, held_out, limit, mixed, parts_by_bytes, table
 
 FOLDS, FOLD = 4, 2
-#: Documents of a language (about; by a hash of the id) whose n-grams are counted, and n-grams kept of each language.
-SAMPLE, KEPT = 1_500, 6_000
+#: Documents of a language (about; by a hash of id and text) whose n-grams are counted.
+SAMPLE = 1_500
+#: An n-gram stands for a language if it makes up this share of the language's n-grams; so at most 1 / FREQUENT do.
+FREQUENT = 5e-5
 #: Sizes of n-grams in bytes, slots of the filter, probes of an n-gram.
 SIZES, SLOTS, PROBES = (3, 4, 5), 1 << 20, 3
 #: A language has an n-gram if it is at least this share as frequent there as where it is most frequent.
@@ -76,40 +78,41 @@ class Filters:
         return self.names[best], float(min(1.0, true[best] / true.sum()))
 
 
+def counted(batches):
+    """Rows (lang, text) to how often each n-gram is in the texts of a language, batch by batch."""
+    for batch in batches:
+        for part in parts_by_bytes(batch):
+            by: dict[str, list] = {}
+            for lang, text in zip(column(part, "lang"), column(part, "text")):
+                by.setdefault(lang, []).append(grams(text))
+            for lang, found in by.items():
+                g, n = np.unique(np.concatenate(found), return_counts=True)
+                yield pa.record_batch([pa.array([lang] * len(g), pa.string()), pa.array(g.view(np.int64)), pa.array(n, pa.int64())], names=["lang", "gram", "n"])
+
+
 def fitted(docs: DataFrame) -> Filters:
-    """Filters of the n-grams that are frequent in each language, as their documents outside the fold have them."""
+    """Filters of the n-grams that are frequent in each language, as their documents outside the fold have them.
+
+    Of a language with more documents than SAMPLE about so many are counted. One result for one
+    table, however its rows lie over partitions.
+    """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").where("lang is not null and text is not null")
     rows = rows.where(~held_out(F.col("doc_id"), FOLDS, FOLD))
     sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
     names = sorted(sizes)
-    part = F.lit(0)
-    for lang, n in sizes.items():
-        part = F.when(F.col("lang") == lang, F.lit(1_000_000 * SAMPLE // n)).otherwise(part)
-    some = rows.where(F.pmod(F.xxhash64(F.lit("lang"), "doc_id"), F.lit(1_000_000)) < part)
-
-    def run(batches):
-        for batch in batches:
-            by: dict[str, list] = {}
-            for lang, text in zip(column(batch, "lang"), column(batch, "text")):
-                by.setdefault(lang, []).append(grams(text))
-            for lang, found in by.items():
-                g, n = np.unique(np.concatenate(found), return_counts=True)
-                g, n = g[n > 1], n[n > 1]
-                yield pa.record_batch([pa.array([lang] * len(g)), pa.array(g.view(np.int64)), pa.array(n)], names=["lang", "gram", "n"])
-
-    counted = some.select("lang", "text").mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    counted = durable(counted)
-    totals = {r.lang: r.n for r in counted.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-    sets = {}
-    for lang in names:  # KEPT rows of each language
-        top = counted.where(F.col("lang") == lang).orderBy(F.desc("n"), "gram").limit(KEPT).select("gram", "n").collect()
-        sets[lang] = {r.gram: r.n / totals[lang] for r in top}
-    most: dict[int, float] = {}
-    for s in sets.values():
-        for g, x in s.items():
-            most[g] = max(x, most.get(g, 0))
-    kept = [np.array([g for g, x in sets[lang].items() if x >= SHARE * most[g]], np.int64).view(U64) for lang in names]
-    return Filters(names, np.array([sizes[x] for x in names]), kept)
+    limits = [(lang, limit(SAMPLE / n)) for lang, n in sizes.items()]
+    limits = docs.sparkSession.createDataFrame(limits, "lang string, below long")
+    some = rows.join(F.broadcast(limits), "lang").where(F.xxhash64(F.lit("lang"), "doc_id", "text") <= F.col("below"))
+    # rows that are equal are chosen together, so they count once
+    some = some.groupBy("lang", "doc_id", F.xxhash64("text").alias("h")).agg(F.min("text").alias("text"))
+    scratch = Scratch(docs.sparkSession)
+    found = scratch.write(some.select("lang", "text").mapInArrow(counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
+    found = found.join(F.broadcast(found.groupBy("lang").agg(F.sum("n").alias("all"))), "lang").withColumn("share", F.col("n") / F.col("all")).where(F.col("share") >= FREQUENT)
+    most = found.groupBy("gram").agg(F.max("share").alias("most"))
+    kept = found.join(most, "gram").where(F.col("share") >= SHARE * F.col("most"))
+    sets = {r.lang: r.grams for r in kept.groupBy("lang").agg(F.collect_list("gram").alias("grams")).collect()}
+    scratch.close()
+    return Filters(names, np.array([sizes[x] for x in names]), [np.array(sorted(sets.get(x, ())), np.int64).view(U64) for x in names])
 
 
 def identify(docs: DataFrame) -> DataFrame:

@@ -1,7 +1,8 @@
-"""Operator 2: line dedup by prefix doubling over line ids."""
+"""Operator 2: line dedup by a suffix array over line ids, built by prefix doubling."""
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,7 @@ from .common import Scratch, column, durable, table
 #: Words that a repeated run must have to be deleted.
 MIN_WORDS = 5
 AT = ["doc", "h"]
+PLACE = ["doc", "h", "i"]
 
 
 def line_rows(docs: DataFrame) -> DataFrame:
@@ -33,60 +35,121 @@ def line_rows(docs: DataFrame) -> DataFrame:
     return docs.select("doc", "h", "text").mapInArrow(run, "doc long, h long, at int, i int, line long, words int")
 
 
-def repeated(named: DataFrame) -> DataFrame:
-    """Rows (doc, h, i, name, words) whose name is there more than once, with `later`: whether an earlier row has it."""
-    place = F.struct("doc", "h", "i")
-    groups = named.groupBy("name").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").select("name", "first")
-    return named.join(durable(groups), "name").select("doc", "h", "i", "name", "words", (place > F.col("first")).alias("later"))
+def ranked(keyed: DataFrame, keys: list[str], scratch: Scratch) -> DataFrame:
+    """(keys, rank, first) of the keys that more than one row has: their place in the keys' order, and their first row."""
+    groups = keyed.groupBy(*keys).agg(F.count("*").alias("members"), F.min(F.struct(*PLACE)).alias("first")).where("members > 1")
+    return scratch.write(groups.orderBy(*keys).select(*keys, F.monotonically_increasing_id().alias("rank"), "first"), "groups")
 
 
-def repeated_runs(lines: DataFrame, min_words: int) -> DataFrame:
-    """(doc, h, i, n): runs of n lines that are a later copy of an equal run and have min_words words.
+def doubled(lines: DataFrame, scratch: Scratch) -> list[DataFrame]:
+    """For k = 0, 1, ...: (doc, h, i, rank, later) of the suffixes whose first 2^k lines are there more than once.
 
-    The rank of a suffix by its first 2^k lines is the name that it shares with the suffixes which
-    begin alike: those of one name are an interval of suffixes with a common prefix of 2^k lines or
-    more. Each round names pairs of ranks 2^k lines apart and drops suffixes that are alone, until
-    none is left; so the longest repeated run needs as many rounds as its length has binary digits.
+    rank is the place of these lines in the order of all such beginnings, and so that of the suffix
+    in the suffix array, as far as 2^k lines tell; later: whether an earlier suffix begins alike.
+    Each round ranks the pairs of ranks 2^k lines apart. Suffixes that are alone drop out, so there
+    are as many rounds as the longest repeated run's length has binary digits.
     """
-    active = durable(repeated(lines.select("doc", "h", "i", F.col("line").alias("name"), "words")))
-    runs, size = None, 1
+    place = F.struct(*PLACE)
+    levels, keyed, keys = [], lines.select(*PLACE, F.col("line").alias("one")), ["one"]
     while True:
-        found = active.where(F.col("later") & (F.col("words") >= min_words)).select("doc", "h", "i", F.lit(size).alias("n"))
-        runs = found if runs is None else runs.unionByName(found)
-        if not active.limit(1).count():
-            return runs
-        ahead = active.select("doc", "h", (F.col("i") - size).alias("i"), F.col("name").alias("next"), F.col("words").alias("more"))
-        pairs = active.join(ahead, ["doc", "h", "i"]).select("doc", "h", "i", F.xxhash64("name", "next").alias("name"), (F.col("words") + F.col("more")).alias("words"))
-        active = durable(repeated(durable(pairs)))
-        size *= 2
+        groups = ranked(keyed, keys, scratch)
+        level = scratch.write(keyed.join(groups, keys).select(*PLACE, "rank", (place > F.col("first")).alias("later")))
+        if not level.limit(1).count():
+            return levels
+        levels.append(level)
+        ahead = level.select("doc", "h", (F.col("i") - (1 << len(levels) - 1)).alias("i"), F.col("rank").alias("two"))
+        keyed, keys = scratch.write(level.join(ahead, PLACE).select(*PLACE, F.col("rank").alias("one"), "two"), "pairs"), ["one", "two"]
+
+
+def longest_matches(levels: list[DataFrame], scratch: Scratch) -> DataFrame:
+    """(doc, h, i, n): how many lines of each suffix are the longest that an earlier suffix begins with, too; n > 1.
+
+    That is the depth of the deepest LCP interval in which the suffix isn't the first. Suffixes that
+    are no later copy 2^(k + 1) lines deep are compared in steps of 2^(k - 1), ..., 2, 1 lines: those
+    of an interval with equal ranks so far ahead are an interval of their own, into which all but
+    the first go on; the first stays, and stands for the others, and goes along only as what they
+    are compared with (own = false).
+    """
+    state = None
+    for j in range(len(levels) - 2, -1, -1):
+        # from here on, suffixes whose longest match has 2^(j + 1) lines or more, but fewer than 2^(j + 2)
+        new = levels[j + 1]
+        if j + 2 < len(levels):
+            new = new.join(levels[j + 2].where("later").select(*PLACE), PLACE, "left_anti")
+        new = new.select(*PLACE, F.col("rank").alias("of"), F.lit(2 << j).alias("n"), F.col("later").alias("own"))
+        state = new if state is None else state.unionByName(new)
+        ahead = levels[j].select("doc", "h", F.col("i").alias("at"), F.col("rank").alias("next"))
+        tried = state.withColumn("at", F.col("i") + F.col("n")).join(ahead, ["doc", "h", "at"], "left").drop("at")
+        tried = scratch.write(tried, "tried")
+        groups = ranked(tried.where("next is not null"), ["n", "of", "next"], scratch)
+        met = tried.join(groups, ["n", "of", "next"], "left")
+        ends = F.col("first").isNull() | (F.struct(*PLACE) == F.col("first"))
+        stay = F.when(ends, F.struct("of", "n", "own"))
+        go = F.when(F.col("first").isNotNull(), F.struct(F.col("rank").alias("of"), (F.col("n") + (1 << j)).alias("n"), (F.col("own") & ~ends).alias("own")))
+        met = met.select(*PLACE, F.explode(F.filter(F.array(stay, go), lambda x: x.isNotNull())).alias("x"))
+        state = scratch.write(met.select(*PLACE, "x.*"), f"state{j % 2}")
+    return None if state is None else state.where("own").select(*PLACE, "n")
+
+
+def repeated_runs(lines: DataFrame, min_words: int, scratch: Scratch) -> DataFrame:
+    """(doc, h, i, n): from line i on, the n lines that are the longest run an earlier place has, too."""
+    levels = doubled(lines, scratch)
+    if not levels:
+        return lines.where("false").select(*PLACE, F.lit(1).alias("n"))
+    single = levels[0].where("later")
+    if len(levels) > 1:
+        single = single.join(levels[1].where("later").select(*PLACE), PLACE, "left_anti")
+    # a run of one line that hasn't the words is none; longer runs are counted where their text is
+    runs = single.join(lines.where(F.col("words") >= min_words).select(*PLACE), PLACE).select(*PLACE, F.lit(1).alias("n"))
+    longer = longest_matches(levels, scratch)
+    return runs if longer is None else runs.unionByName(longer)
+
+
+def cut(text: str, starts: list[int], sizes: list[int], min_words: int) -> tuple[str, int]:
+    """The text less the runs (in lines with a word) that have min_words words, and how many lines that is."""
+    lines = text.split("\n")
+    words = np.array([len(x.split()) for x in lines])
+    worded = np.flatnonzero(words)
+    upto = np.r_[0, np.cumsum(words[worded])]
+    a = np.array(starts)
+    b = a + np.array(sizes)
+    enough = upto[b] - upto[a] >= min_words
+    step = np.bincount(a[enough], minlength=len(upto)) - np.bincount(b[enough], minlength=len(upto))
+    gone = set(worded[np.cumsum(step)[:-1] > 0].tolist())
+    return "\n".join(x for k, x in enumerate(lines) if k not in gone), len(gone)
 
 
 def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """docs with the text less its later copies of repeated line runs, and `removed`, how many lines that was.
 
-    Lines are equal if their words are; lines without words stay, and stand between no others. A run
-    of 2^k lines with min_words words or more is deleted if an equal run begins earlier, in this or
-    another document; longer runs are covered by such runs, so all of a maximal repeated run goes
-    but its first copy. Documents come in order of doc_id, null last, then of a hash of their text.
-    Rows with equal doc_id and equal text are one document: each gets the same result. Null text
-    stays null, removed 0. All columns are kept; a column named `removed` is replaced. No rows: no rows.
+    Lines are equal if their words are; lines without words stay, and stand between no others. A
+    maximal repeated run, one that can't be made longer at either end, is deleted where it has
+    min_words words or more and an equal run begins earlier, in this or another document; so all
+    copies go but the first. Documents come in order of doc_id, null last, then of a hash of their
+    text. Rows with equal doc_id and equal text are one document: each gets the same result. Null
+    text stays null, removed 0. All columns are kept; a column named `removed` is replaced. No rows: no rows.
     """
     names = docs.columns
     scratch = Scratch(docs.sparkSession)
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("doc"), F.xxhash64("text").alias("h"), "text")
-    lines = scratch.write(line_rows(keyed).dropDuplicates(["doc", "h", "i"]))
-    runs = repeated_runs(lines, min_words)
-    cover = runs.select("doc", "h", F.explode(F.sequence(F.col("i"), F.col("i") + F.col("n") - 1)).alias("i")).distinct()
-    gone = lines.select("doc", "h", "i", "at").join(cover, ["doc", "h", "i"])
-    gone = durable(gone.groupBy("doc", "h").agg(F.collect_set("at").alias("gone")))
+    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
+    keyed = docs.select(doc.alias("doc"), F.xxhash64("text").alias("h"), "text")
+    lines = scratch.write(line_rows(keyed).dropDuplicates(PLACE))
+    runs = repeated_runs(lines, min_words, scratch)
+    # no more runs for a document than it has lines
+    gone = scratch.write(runs.groupBy(*AT).agg(F.collect_list(F.struct("i", "n")).alias("gone")))
+
+    @F.arrow_udf("text string, removed int")
+    def less(text: pa.Array, gone: pa.Array) -> pa.Array:
+        out = [None if t is None else dict(zip(("text", "removed"), cut(t, [r["i"] for r in g], [r["n"] for r in g], min_words))) for t, g in zip(text.to_pylist(), gone.to_pylist())]
+        return pa.array(out, pa.struct([("text", pa.string()), ("removed", pa.int32())]))
+
+    whole = docs.select(F.struct(*names).alias("row"), doc.alias("doc"), F.xxhash64("text").alias("h")).join(gone, AT, "left")
+    # texts without a run don't go to Python
+    whole = whole.select("row", less(F.when(F.col("gone").isNotNull(), F.col("row.text")), "gone").alias("new"))
+    out = [F.coalesce("new.text", "row.text").alias("text") if c == "text" else F.col("row").getField(c).alias(c) for c in names if c != "removed"]
+    out = durable(whole.select(*out, F.coalesce("new.removed", F.lit(0)).alias("removed")))
     scratch.close()
-    whole = docs.select(F.struct(*names).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("doc"), F.xxhash64("text").alias("h"))
-    whole = whole.join(gone, AT, "left")
-    parts = F.split(F.col("row.text"), "\n", -1)
-    kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), "gone")
-    text = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(parts, i)), "\n"))
-    out = [text.alias("text") if c == "text" else F.col("row").getField(c).alias(c) for c in names if c != "removed"]
-    return whole.select(*out, F.coalesce(F.size("gone"), F.lit(0)).alias("removed"))
+    return out
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,8 +12,10 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
 SHARE, MOST = 1.5, 2
 SEED = "mix-1"
-#: Rows of a source that one task orders.
-ROWS_A_BUCKET = 200
+#: Rows of a source that one task orders, and ranges at most into which a source's order is cut.
+ROWS_A_BUCKET, BUCKETS = 200, 1 << 20
+#: Ranges into which virtual time is cut, to find the one in which the budget is used up.
+RANGES = 1 << 16
 
 
 def source_targets(totals: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
@@ -49,11 +51,11 @@ def source_targets(totals: DataFrame, weights=WEIGHTS, share: float = SHARE, mos
 def mix(docs: DataFrame, seed: str = SEED, weights=WEIGHTS, share: float = SHARE, most: int = MOST, carry: tuple = ()) -> DataFrame:
     """Which documents a mix of share * all words takes, and in which order.
 
-    Within its source a document's place is that of a seeded hash of its id. It is finished at the
-    virtual time (words of its source up to its own end) / weight, and once more for each further
-    pass over the source. All documents are range-sorted by that time; the mix ends where the
-    budget is used up. The document at the end of a source's target is taken in part, so that each
-    source gives the whole words of its target.
+    Within its source a document's place is that of a seeded hash of its id and text. It is finished
+    at the virtual time (words of its source up to its own end) / weight, and once more for each
+    further pass over the source, `most` in all. The mix takes passes over documents in order of that
+    time until the whole words of share * all words are used up; of the pass at the cut it takes
+    what is left. So sources come near their targets, which say where the cut leaves them.
 
     Needs doc_id, text and source of docs, whose other columns are ignored. Null text: size 0,
     taken 0. Null source: a source of its own, the last. Rows with equal or null doc_id are
@@ -61,16 +63,16 @@ def mix(docs: DataFrame, seed: str = SEED, weights=WEIGHTS, share: float = SHARE
     finish (of the first pass), taken, and the columns of docs named in carry.
     """
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
+    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce("text", F.lit(""))).cast("binary"))
     rows = docs.select("doc_id", "source", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("of"), size.alias("size"), key.alias("key"), *carry)
     rows = durable(rows)
     totals = durable(rows.groupBy("of", "source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")))
     largest = totals.agg(F.max("n")).first()[0] or 0
     buckets = 1
-    while buckets * ROWS_A_BUCKET < largest and buckets < 1 << 16:
+    while buckets * ROWS_A_BUCKET < largest and buckets < BUCKETS:
         buckets *= 2
     # a source's order is cut into ranges of the hash, so that no task orders a whole source
-    rows = rows.withColumn("bucket", F.expr(f"cast(conv(substr(key, 1, 4), 16, 10) as int) * {buckets} div 65536"))
+    rows = rows.withColumn("bucket", F.expr(f"cast(conv(substr(key, 1, 5), 16, 10) as long) * {buckets} div {BUCKETS}"))
     ranges = rows.groupBy("of", "bucket").agg(F.sum("size").alias("words"))
     upto = Window.partitionBy("of").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     ranges = ranges.select("of", "bucket", F.coalesce(F.sum("words").over(upto), F.lit(0)).alias("earlier"))
@@ -79,28 +81,56 @@ def mix(docs: DataFrame, seed: str = SEED, weights=WEIGHTS, share: float = SHARE
     ranges = durable(ranges.join(targets, "of"))
     within = Window.partitionBy("of", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("end", F.sum("size").over(within)).join(ranges, ["of", "bucket"])
-    rows = rows.withColumn("end", F.col("end") + F.col("earlier"))
-    goal, begin = F.floor("target"), F.col("end") - F.col("size")
-    taken = [F.least(F.col("size"), F.greatest(goal - begin - F.lit(e) * F.col("source_size"), F.lit(0))) for e in range(most)]
-    out = rows.select(
-        "doc_id", "source", "size", "source_size", "target", (F.col("end") / F.col("weight")).alias("finish"), sum(taken[1:], taken[0]).cast("long").alias("taken"), *carry
-    )
-    return out.orderBy("finish", "doc_id")
+    rows = durable(rows.withColumn("end", F.col("end") + F.col("earlier")).withColumn("finish", F.col("end") / F.col("weight")))
+
+    names = ["time", "of", "key", "doc_id", "size", "pass"]
+    passes = [((F.col("end") + F.lit(e) * F.col("source_size")) / F.col("weight")).alias("time") for e in range(most)]
+    each = rows.where("size > 0").select("of", "key", "doc_id", "size", F.posexplode(F.array(*passes)).alias("pass", "time"))
+    whole, size = totals.agg(F.floor(F.sum("source_size") * F.lit(share)), F.max("source_size")).first()
+    taken = taken_upto(each, names, whole or 0, most * (size or 1) / min(weights) / RANGES)
+    parts = []
+    for e, passed in enumerate(passes):
+        mine = F.struct(passed, "of", "key", "doc_id", "size", F.lit(e).alias("pass"))
+        parts.append(taken(mine))
+    return rows.select("doc_id", "source", "size", "source_size", "target", "finish", F.when(F.col("size") > 0, sum(parts[1:], parts[0])).otherwise(F.lit(0)).cast("long").alias("taken"), *carry)
+
+
+def taken_upto(each: DataFrame, names: list[str], budget: int, width: float):
+    """The words that a budget takes of a pass, given as a struct of `names`, in order of which it is used up.
+
+    Sums over ranges of the first name say in which range the budget ends; only that range's passes are put in
+    order one by one. The pass at the cut gives what is left.
+    """
+    each = each.withColumn("range", F.floor(F.col(names[0]) / F.lit(width)).cast("long"))
+    upto = F.sum("words").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, 0))
+    summed = each.groupBy("range").agg(F.sum("size").alias("words")).withColumn("upto", upto)
+    cut = summed.where(F.col("upto") >= budget).orderBy("range").first() if budget else None
+    if cut is None:
+        return lambda mine: mine["size"] if budget else F.lit(0)
+    left = budget - cut.upto + cut.words
+    begun = F.coalesce(F.sum("size").over(Window.orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    last = each.where(F.col("range") == cut.range).withColumn("begun", begun).where(F.col("begun") < left)
+    end = last.orderBy(*[F.desc(c) for c in names]).first()
+    kinds = dict(each.dtypes)
+    theirs = F.struct(*[F.lit(end[c]).cast(kinds[c]).alias(c) for c in names])
+    part = min(end.size, left - end.begun)
+    return lambda mine: F.when(mine < theirs, mine["size"]).when(mine == theirs, F.lit(part)).otherwise(F.lit(0))
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "finish", "taken")
 
 
 def mixed_documents(docs: DataFrame, **kinds) -> DataFrame:
-    """The mix itself: columns of mix() for documents of which some words are taken, with the number of passes."""
-    return mix(docs, **kinds).where("taken > 0").withColumn("passes", F.ceil(F.col("taken") / F.col("size")).cast("int"))
+    """The mix itself, in its order: columns of mix() for documents of which some words are taken, with the number of passes."""
+    found = mix(docs, **kinds).where("taken > 0").withColumn("passes", F.ceil(F.col("taken") / F.col("size")).cast("int"))
+    return found.orderBy("finish", "doc_id")
 
 
 def mixed_texts(docs: DataFrame, **kinds) -> DataFrame:
     """mixed_documents() with each document's text, in the order of the mix.
 
-    taken adds up to the whole words of every source's target. The text is whole; of the last pass
+    taken adds up to the budget. The text is whole; of the last pass
     the mix has its first taken - (passes - 1) * size words.
     """
     named = docs.withColumn("text_hash", F.xxhash64("text"))
@@ -112,7 +142,7 @@ def mixed_texts(docs: DataFrame, **kinds) -> DataFrame:
 
 SQL = f"""
 with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::bigint as size,
-        md5('{SEED}:' || coalesce(doc_id::varchar, '')) as key from documents),
+        md5('{SEED}:' || coalesce(doc_id::varchar, '') || ':' || coalesce(text, '')) as key from documents),
 t as (select source, sum(size)::bigint as source_size from d group by source),
 w as (select *, [3, 1, 2][(row_number() over (order by source nulls last) - 1) % 3 + 1]::double as weight from t),
 h as (select *, coalesce(sum(2.0::double * source_size) over f, 0) as held, sum(weight) over () - coalesce(sum(weight) over f, 0) as open,
@@ -121,10 +151,13 @@ h as (select *, coalesce(sum(2.0::double * source_size) over f, 0) as held, sum(
 s as (select *, 2.0::double * source_size * open <= (budget - held) * weight as stops,
         row_number() over (order by source_size / weight, source nulls last) as place from h),
 r as (select (budget - held) as lft, open as opn from s where place = (select count(*) filter (stops) + 1 from s)),
-g as (select source, source_size, case when stops then 2.0::double * source_size else (select lft from r) * weight / (select opn from r) end as target from s),
-e as (select d.*, g.source_size, g.target, sum(size) over (partition by d.source order by key, doc_id, size rows unbounded preceding) - size as begin
-    from d join g on d.source is not distinct from g.source)
-select doc_id, size, source_size, target,
-    (least(size, greatest(floor(target) - begin, 0)) + least(size, greatest(floor(target) - begin - source_size, 0)))::bigint as taken
-from e
+g as (select source, source_size, weight, case when stops then 2.0::double * source_size else (select lft from r) * weight / (select opn from r) end as target from s),
+e as (select d.*, g.source_size, g.target, g.weight, sum(size) over (partition by d.source order by key, doc_id, size rows unbounded preceding) as ends
+    from d join g on d.source is not distinct from g.source),
+p as (select *, (ends + pass * source_size) / weight as t from e, (values (0), (1)) as x(pass) where size > 0),
+b as (select *, coalesce(sum(size) over (order by t, source nulls first, key, doc_id nulls first, size, pass rows between unbounded preceding and 1 preceding), 0) as begun,
+        floor((select sum(source_size) from t) * 1.5::double) as budget from p),
+k as (select doc_id, key, source, sum(least(size, greatest(budget - begun, 0))) as taken from b group by all)
+select e.doc_id, size, source_size, target, ends / weight as finish, coalesce(taken, 0)::bigint as taken
+from e left join k on e.doc_id is not distinct from k.doc_id and e.key = k.key and e.source is not distinct from k.source
 """

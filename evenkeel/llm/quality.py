@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column, durable, held_out, table
+from .common import column, held_out, sampled, table
 
 #: Labelled rows that the densities are fitted to, at most (about; taken by a hash of the id).
 SAMPLE = 20_000
@@ -87,8 +87,7 @@ def labelled_ids(labels: DataFrame, label: str, folds: int, fold: int, most: int
     """(doc_id, label) of about `most` labelled rows outside the fold, chosen by a hash of the id; all, if there are fewer."""
     rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where("doc_id is not null and label in (0, 1)")
     rows = rows.where(~held_out(F.col("doc_id"), folds, fold)).groupBy("doc_id").agg(F.max("label").alias("label"))
-    n = rows.count()
-    return rows.where(F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1_000_000)) < F.lit(1_000_000 * most // max(n, 1)))
+    return sampled(rows, most / max(rows.count(), 1), "sample", "doc_id")
 
 
 def with_statistics(docs: DataFrame) -> DataFrame:
@@ -105,7 +104,8 @@ def fitted(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, fold: int = F
     """Fitted to the statistics of at most about `most` labelled documents; only those numbers reach the driver."""
     ids = labelled_ids(labels, "quality", folds, fold, most)
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids.select("doc_id")), "doc_id", "left_semi")
-    rows = durable(with_statistics(chosen)).join(F.broadcast(ids), "doc_id").orderBy("doc_id").limit(2 * most).collect()
+    # a document of several rows counts with one of them, so there are no more rows than sampled ids
+    rows = with_statistics(chosen).groupBy("doc_id").agg(F.min("x").alias("x")).join(F.broadcast(ids), "doc_id").orderBy("doc_id").collect()
     x = np.array([r.x for r in rows], float).reshape(len(rows), len(STATISTICS))
     return Discriminant(x, np.array([r.label for r in rows], int))
 
@@ -114,8 +114,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, fold:
     """held_out, score (label 1 likelier the higher) and predicted of every document.
 
     Inputs of a score are statistics of the whole text alone. Null or empty text: the statistics
-    are zeros, scored like any others. Rows with equal or null doc_id each get a row. A document
-    labelled more than once counts once, with its largest label; labels other than 0 and 1 are left
+    are zeros, scored like any others. Rows with equal or null doc_id each get a row; of rows with
+    one labelled doc_id the least by its statistics is learned from. A document labelled more than once counts once, with its largest label; labels other than 0 and 1 are left
     out. If one class has fewer than two rows, every score is the mean label (0.5 without labels).
     Other columns are ignored. No rows: no rows.
     """

@@ -10,13 +10,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column, durable, table
+from .common import Scratch, column, sampled, table
 
 TOKENIZER = "piece_bpe_32k.model"
 LIMIT = 4096
 #: Documents, about, whose pre-tokens are looked through for common ones; how many of those every
-#: worker holds at most; the longest of them in bytes.
-SAMPLE, COMMON, COMMON_BYTES = 10_000, 200_000, 48
+#: worker holds at most, and of how many bytes together.
+SAMPLE, COMMON, COMMON_BYTES = 10_000, 200_000, 8 << 20
+#: Bytes over which a pre-token isn't dealt out but tokenized where it is; how many bytes of such a task remembers.
+LONG, REMEMBERED = 1 << 10, 16 << 20
 #: Distinct pre-tokens that a task of the sample holds before it hands them on.
 HELD = 100_000
 
@@ -75,7 +77,7 @@ def frequent_pieces(docs: DataFrame, most: int) -> list[str]:
         held: Counter = Counter()
 
         def flush():
-            names = [x for x in held if len(x.encode()) <= COMMON_BYTES]
+            names = [x for x in held if len(x.encode()) <= LONG]
             out = pa.record_batch([pa.array(names, pa.string()), pa.array([held[x] for x in names], pa.int64())], names=["piece", "n"])
             held.clear()
             return out
@@ -89,28 +91,32 @@ def frequent_pieces(docs: DataFrame, most: int) -> list[str]:
         if held:
             yield flush()
 
-    n = docs.count()
-    some = docs.where(F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1_000_000)) < F.lit(1_000_000 * SAMPLE // max(n, 1))).select("text")
-    counted = durable(some.mapInArrow(run, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n")).where("n > 1"))
-    # the least count that leaves at most `most` of them, from counts by powers of two
-    by = sorted(((r.p, r["count"]) for r in counted.groupBy(F.floor(F.log2("n")).alias("p")).count().collect()), reverse=True)
-    least, total = 62, 0
-    for p, count in by:
-        if total + count > most:
+    scratch = Scratch(docs.sparkSession)
+    some = sampled(docs, SAMPLE / max(docs.count(), 1), "sample", "doc_id", "text").select("text")
+    counted = scratch.write(some.mapInArrow(run, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n")).where("n > 1"))
+    # the least count that leaves few enough of them, from counts by powers of two
+    by = counted.groupBy(F.floor(F.log2("n")).alias("p")).agg(F.count("*").alias("count"), F.sum(F.octet_length("piece")).alias("size"))
+    least, total, size = 62, 0, 0
+    for r in sorted(by.collect(), reverse=True):
+        total, size = total + r["count"], size + r["size"]
+        if total > most or size > COMMON_BYTES:
             break
-        least, total = p, total + count
-    return [r.piece for r in counted.where(F.col("n") >= F.lit(1 << least)).select("piece").collect()]
+        least = r.p
+    found = [r.piece for r in counted.where(F.col("n") >= F.lit(1 << least)).select("piece").collect()]
+    scratch.close()
+    return found
 
 
 def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
     """n_bytes, n_tokens and over_limit of each document, as the tokenizer's library gives them.
 
-    Common pre-tokens (COMMON at most, each of COMMON_BYTES at most) are tokenized once and go to
+    Common pre-tokens (COMMON at most, of COMMON_BYTES together at most) are tokenized once and go to
     every worker, which sums them document by document. The other pre-tokens of a document are dealt
     out by pre-token with their frequency, so that each distinct one is tokenized once, and their
-    counts are summed by document. No ids are kept. Needs doc_id and text; other columns are
-    ignored. Null text counts as empty: 0 bytes, 0 tokens. Rows with equal doc_id, and repeated
-    rows, each get a row; texts of one doc_id are told apart by a 64-bit hash. No rows: no rows.
+    counts are summed by document; one of more than LONG bytes is tokenized by the task that finds it.
+    No ids are kept. Needs doc_id and text; other columns are ignored. Null text counts as empty:
+    0 bytes, 0 tokens. Rows with equal or null doc_id, and repeated rows, each get a row; rows are
+    told apart by a 128-bit digest of doc_id and text. No rows: no rows.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -119,7 +125,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
     del names
 
     def scan(batches):
-        common = known.value
+        common, count, memo, held = known.value, None, {}, 0
         for batch in batches:
             ids, texts = column(batch, "doc_id"), column(batch, "text")
             for start in range(0, len(ids), 500):
@@ -129,18 +135,24 @@ def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
                     tokens, rest = 0, {}
                     for p in pieces_of(text or ""):
                         n = common.get(p)
-                        if n is None:
+                        if n is not None:
+                            tokens += n
+                        elif len(p) <= LONG // 4 or len(p.encode()) <= LONG:
                             rest[p] = rest.get(p, 0) + 1
                         else:
-                            tokens += n
-                    h = xxhash.xxh3_64_intdigest(raw) - (1 << 63)
-                    rows.append((None, doc_id, h, tokens, len(raw)))
-                    rows += [(p, doc_id, h, n, None) for p, n in rest.items()]
-                piece, doc, h, n, size = zip(*rows)
-                yield pa.record_batch(
-                    [pa.array(piece, pa.string()), pa.array(doc, pa.int64()), pa.array(h, pa.int64()), pa.array(n, pa.int64()), pa.array(size, pa.int64())],
-                    names=["piece", "doc_id", "h", "n", "n_bytes"],
-                )
+                            if p not in memo:
+                                count = count or load(path)
+                                held += len(p)
+                                if held > REMEMBERED:
+                                    memo, held = {}, len(p)
+                                memo[p] = count([p])[0]
+                            tokens += memo[p]
+                    h = xxhash.xxh3_128_intdigest(f"{doc_id} ".encode() + raw)
+                    g, h = (h >> 64) - (1 << 63), (h & (1 << 64) - 1) - (1 << 63)
+                    rows.append((None, g, h, tokens, len(raw), doc_id))
+                    rows += [(p, g, h, n, None, None) for p, n in rest.items()]
+                piece, g, h, *rest = zip(*rows)
+                yield pa.record_batch([pa.array(piece, pa.string()), *(pa.array(x, pa.int64()) for x in (g, h, *rest))], names=["piece", "g", "h", "n", "n_bytes", "doc_id"])
 
     def tokenize(batches):
         count, last, last_n = load(path), None, 0
@@ -155,15 +167,15 @@ def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
             each = pa.array(fresh, pa.int64()).take(pieces.indices)
             n = pc.multiply(batch.column(3), pc.fill_null(each, 1))
             rows = pc.cast(pc.is_valid(batch.column(4)), pa.int32())
-            yield pa.record_batch([batch.column(1), batch.column(2), n, rows, batch.column(4)], names=["doc_id", "h", "n", "rows", "n_bytes"])
+            yield pa.record_batch([batch.column(1), batch.column(2), n, rows, batch.column(4), batch.column(5)], names=["g", "h", "n", "rows", "n_bytes", "doc_id"])
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    pieces = docs.mapInArrow(scan, "piece string, doc_id long, h long, n long, n_bytes long")
+    pieces = docs.mapInArrow(scan, "piece string, g long, h long, n long, n_bytes long, doc_id long")
     # rows of documents, which have no piece, are dealt out by document
-    dealt = F.when(F.col("piece").isNull(), F.xxhash64("doc_id", "h")).otherwise(F.xxhash64("piece"))
+    dealt = F.when(F.col("piece").isNull(), F.col("g")).otherwise(F.xxhash64("piece"))
     pieces = pieces.repartition(parts, dealt).sortWithinPartitions("piece")
-    every = pieces.mapInArrow(tokenize, "doc_id long, h long, n long, rows int, n_bytes long")
-    every = every.groupBy("doc_id", "h").agg(F.sum("n").alias("n"), F.sum("rows").alias("rows"), F.max("n_bytes").alias("n_bytes"))
+    every = pieces.mapInArrow(tokenize, "g long, h long, n long, rows int, n_bytes long, doc_id long")
+    every = every.groupBy("g", "h").agg(F.sum("n").alias("n"), F.sum("rows").alias("rows"), F.max("n_bytes").alias("n_bytes"), F.max("doc_id").alias("doc_id"))
     # equal rows were added up together: give each its share
     every = every.withColumn("n_tokens", F.expr("n div rows")).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))
     return every.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

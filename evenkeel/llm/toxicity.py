@@ -10,13 +10,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column, held_out, table
+from .common import Scratch, column, held_out, parts_by_bytes, sampled, table
 from .quality import labelled_ids
 
 FOLDS, FOLD = 4, 2
 CUT = 0.3
 #: Labelled documents of each class that the field is trained on, at most (about; by a hash of the id).
 SAMPLE = 3_000
+#: Bytes of text that are learned from, at most (about); longer ones than LONGEST aren't.
+SAMPLE_BYTES, LONGEST = 48 << 20, 1 << 20
 #: Tokens of a training window, windows of each class; weights nearer to zero than LEAST are left out.
 WINDOW, WINDOWS, LEAST = 48, 2_500, 0.02
 #: Weight of the squares in the fit of documents.
@@ -250,9 +252,14 @@ def fitted(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Field:
         part = labelled_ids(labels.where(F.col("toxic") == y), "toxic", FOLDS, FOLD, most)
         ids = part if ids is None else ids.unionByName(part)
     ids = ids.groupBy("doc_id").agg(F.max("label").alias("label"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id").where("text is not null")
-    rows = rows.select("doc_id", "text", "label").limit(4 * most).collect()
-    return train(sorted((r.text, r.label) for r in rows))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id").where(f"octet_length(text) <= {LONGEST}")
+    scratch = Scratch(docs.sparkSession)
+    # a document of several rows counts with one of them, so there are no more rows than sampled ids
+    rows = scratch.write(rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label")))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    found = sampled(rows, SAMPLE_BYTES / max(size, 1), "bytes", "doc_id").select("text", "label").collect()
+    scratch.close()
+    return train(sorted((r.text, r.label) for r in found))
 
 
 def tag_documents(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, cut: float = CUT) -> DataFrame:
@@ -261,8 +268,8 @@ def tag_documents(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, cut: f
     The field tags every token of the whole text; marginals make the score (0 to 1, label 1 likelier
     the higher), runs of tokens over one half make the spans [begin, end) in characters. Null text
     counts as empty: the score of a document without tokens, no spans. Rows with equal or null
-    doc_id each get a row; a document labelled more than once counts once, with its largest label;
-    labels other than 0 and 1 are left out. If the sample has one class only, all scores are its
+    doc_id each get a row; a document labelled more than once counts once, with its largest label,
+    one of several rows counts with its least text; labels other than 0 and 1 are left out. If the sample has one class only, all scores are its
     share. Other columns are ignored. No rows: no rows.
     """
     field = docs.sparkSession.sparkContext.broadcast(fitted(docs, labels, most))
@@ -271,11 +278,11 @@ def tag_documents(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, cut: f
     def run(batches):
         model = field.value
         for batch in batches:
-            ids, texts = column(batch, "doc_id"), [t or "" for t in column(batch, "text")]
-            for i in range(0, len(texts), 500):
-                _, parts = model.tag(texts[i : i + 500])
-                spans = [[{"begin": a, "end": b} for a, b in model.spans(t, m)] for t, m in zip(texts[i : i + 500], parts)]
-                yield pa.record_batch([pa.array(ids[i : i + 500], pa.int64()), pa.array(model.score(parts)), pa.array(spans, span)], names=["doc_id", "score", "spans"])
+            for part in parts_by_bytes(batch):
+                texts = [t or "" for t in column(part, "text")]
+                _, found = model.tag(texts)
+                spans = [[{"begin": a, "end": b} for a, b in model.spans(t, m)] for t, m in zip(texts, found)]
+                yield pa.record_batch([part.column(0), pa.array(model.score(found), pa.float64()), pa.array(spans, span)], names=["doc_id", "score", "spans"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double, spans array<struct<begin: int, end: int>>")
     return rows.select("doc_id", held_out(F.col("doc_id"), FOLDS, FOLD).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"), "spans")

@@ -60,6 +60,9 @@ def test_stages(spark, tmp_path):
             assert leaked and {r.doc_id for r in after} == {r.doc_id for r in before} - leaked
             assert {r.doc_id for r in before if r.text and item in r.text} <= leaked
         else:
-            assert sorted(r.doc_id for r in after if r.doc_id is not None) == sorted(r.doc_id for r in before if r.doc_id is not None)
+            texts = {(r.doc_id, r.text) for r in before}
+            budget = sum(len((r.text or "").split()) for r in before) * 3 // 2
+            assert sum(r.taken for r in after) == budget
+            assert all((r.doc_id, r.text) in texts and 0 < r.taken <= 2 * r.size and r.passes == -(-r.taken // r.size) for r in after)
         now = out
     assert sorted(map(str, P.run(spark, at).collect())) == sorted(map(str, now.collect()))

@@ -20,8 +20,8 @@ def test_counts_add_up():
 def test_documents(spark, monkeypatch):
     monkeypatch.setattr(tokens, "COMMON", 3)
     model = sentencepiece.SentencePieceProcessor(model_file=PATH)
-    texts = [None, "", " ", "hello world", "hello world", "a\n\nb  c", "é中😀 <s>", "word " * 30_000, "x" * 20_000]
-    rows = [(i, t) for i, t in enumerate(texts)] + [(3, "hello world"), (3, "hello"), (None, "null id")]
+    texts = [None, "", " ", "hello world", "hello world", "a\n\nb  c", "é中😀 <s>", "word " * 30_000, "x" * 20_000, "again " + "y" * 9000, "y" * 9000 + " again " + "y" * 9000]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(3, "hello world"), (3, "hello"), (None, "null id"), (None, "another null id"), (None, "null id")]
     frame = spark.createDataFrame([(d, t, 1, "k") for d, t in rows], "doc_id long, text string, n_tokens int, piece string")
     got = tokens.count_tokens(frame, PATH).collect()
     want = [(d, len((t or "").encode()), len(model.encode(t or "")), len(model.encode(t or "")) > 4096) for d, t in rows]

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from evenkeel.llm import vectors
 
 
@@ -51,9 +52,16 @@ def test_brute_force(spark):
     assert vectors.near_vectors(frame.limit(0)).count() == 0
 
 
-def test_recall_at_the_threshold_with_two_values():
+def test_lengths_that_differ_are_linked_with_nothing(spark):
+    rows = [(1, [1.0, 0.0], 0), (2, [1.0, 0.0, 0.0], 0), (3, [1.0, 0.001], 0), (4, [1.0, 0.0, 0.001], 0), (5, [2.0], 0), (6, [3.0], 0)]
+    got = vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()
+    assert sorted(map(tuple, got)) == [(1, 1, 1, True), (2, 1, 2, True), (3, 1, 1, False), (4, 1, 2, False), (5, 1, 5, True), (6, 1, 5, False)]
+
+
+@pytest.mark.parametrize("dims,n", [(64, 3000), (384, 200), (768, 100)])
+def test_recall_at_the_threshold(dims, n):
     rng = np.random.default_rng(2)
-    x = rng.normal(size=(3000, 64))
+    x = rng.normal(size=(n, dims))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     y = rng.normal(size=x.shape)
     y -= (x * y).sum(1, keepdims=True) * x
