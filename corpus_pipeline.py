@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from evenkeel.llm import decontaminate, jaccard, lines, mixing, quality
 from evenkeel.llm.common import Scratch, durable, table
@@ -26,7 +25,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix(docs)
+    return mixing.mixed_texts(docs)
 
 
 STAGES = [
@@ -53,16 +52,8 @@ def cleaned(spark: SparkSession, sf_dir: str, scratch: Scratch) -> DataFrame:
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents that all stages keep, with their place and words in the mix; also those past the cut (taken 0)."""
+    """The documents that all stages keep, up to the mix's budget: texts as the stages left them, and passes over each."""
     scratch = Scratch(spark)
     out = durable(STAGES[-1][1](spark, cleaned(spark, sf_dir, scratch), sf_dir))
     scratch.close()
     return out
-
-
-def training_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of run() up to the cut, each with its text as the stages left it and its number of passes."""
-    scratch = Scratch(spark)
-    out = durable(mixing.mixed_texts(cleaned(spark, sf_dir, scratch)))
-    scratch.close()
-    return out
