@@ -40,8 +40,10 @@ def split_violations(assignment: DataFrame, group: str) -> DataFrame:
     return assignment.groupBy(group).agg(F.countDistinct("split").alias("n_splits")).where("n_splits <> 1")
 
 
-def collapse_rare(df: DataFrame, label: str, least: int = 10, other: str = "other") -> Column:
-    return F.when(F.count("*").over(Window.partitionBy(label)) < least, F.lit(other)).otherwise(F.col(label))
+def collapse_rare(df: DataFrame, label: str, least: int = 10, other: str = "other") -> DataFrame:
+    """df with labels that fewer than `least` rows have under one name; counts are joined, so no row of a frequent label moves for them."""
+    rare = df.groupBy(label).agg(F.count("*").alias("_n")).where(F.col("_n") < least).select(label, F.lit(True).alias("_rare"))
+    return df.join(rare, label, "left").withColumn(label, F.when(F.col("_rare"), F.lit(other)).otherwise(F.col(label))).select(*df.columns)
 
 
 def frequencies(train: DataFrame, column: str) -> DataFrame:
@@ -61,14 +63,19 @@ def encode(train: DataFrame, test: DataFrame, numeric: list[str], categorical: l
     `most_levels`, else by training frequency. Levels are those of both tables, or of the training rows when strict."""
     from evenkeel.functions.scalars import category, finite
 
-    medians = train.agg(*[F.percentile(finite(F.col(c).cast("double")), F.lit(0.5)).alias(c) for c in numeric]).first() if numeric else None
+    medians = {}
+    if numeric:
+        from .relational import exact_quantiles
+
+        numbers = train.select(*[finite(F.col(c).cast("double")).alias(c) for c in numeric])
+        medians = {r.column: r.value for r in exact_quantiles(numbers, numeric, [0.5]).collect()}
     out = []
     levels, counts = {}, {}
     for c in categorical:
         rows = train.select(category(F.col(c)).alias("v")) if strict else train.select(category(F.col(c)).alias("v")).union(test.select(category(F.col(c)).alias("v")))
         levels[c] = sorted(r.v for r in rows.distinct().limit(most_levels + 1).collect())
     for df in (train, test):
-        cols = [F.coalesce(finite(F.col(c).cast("double")), F.lit(medians[c] if medians[c] is not None else 0.0)).alias(c) for c in numeric]
+        cols = [F.coalesce(finite(F.col(c).cast("double")), F.lit(medians.get(c) or 0.0)).alias(c) for c in numeric]
         for c in categorical:
             if len(levels[c]) <= most_levels:
                 cols += one_hot(c, levels[c])
@@ -120,6 +127,48 @@ def register(name: str):
     return put
 
 
+class _Line:
+    """Least squares on one feature, in closed form: one aggregate of the training rows."""
+
+    def __init__(self, feature: str, label: str):
+        self.feature, self.label = feature, label
+
+    def fit(self, df: DataFrame) -> "_Line":
+        x, y = F.col(self.feature).cast("double"), F.col(self.label).cast("double")
+        fitted = _Line(self.feature, self.label)
+        fitted.slope, fitted.start = df.agg(F.regr_slope(y, x), F.regr_intercept(y, x)).first()
+        if fitted.slope is None:
+            fitted.slope, fitted.start = 0.0, df.agg(F.avg(y)).first()[0] or 0.0
+        return fitted
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return df.withColumn("prediction", F.col(self.feature).cast("double") * self.slope + self.start)
+
+
+@register("line")
+def _line(features: list[str], label: str):
+    return _Line(features[0], label)
+
+
+@register("classes")
+def _classes(features: list[str], label: str):
+    """A logistic model with any number of classes, each with the same weight altogether."""
+    from pyspark.ml import Estimator, Pipeline
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import StandardScaler, VectorAssembler
+
+    stages: list[Estimator] = [VectorAssembler(inputCols=features, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="features", withMean=True)]
+    model = Pipeline(stages=[*stages, LogisticRegression(labelCol=label, weightCol="_weight", maxIter=50, regParam=0.01)])
+
+    class Balanced:
+        def fit(self, df: DataFrame):
+            counts = df.groupBy(label).agg(F.count("*").alias("_n"))
+            weights = counts.select(label, (F.lit(1.0) / F.col("_n")).alias("_weight"))
+            return model.fit(df.join(F.broadcast(weights), label))
+
+    return Balanced()
+
+
 @register("logistic")
 def _logistic(features: list[str], label: str):
     from pyspark.ml import Pipeline

@@ -58,19 +58,44 @@ def facets(df: DataFrame, columns: list[str]) -> DataFrame:
     return out.where("value is not null").select("facet", "value", "n")
 
 
+def exact_quantiles(df: DataFrame, columns: list[str], points: list[float], near: float = 1e-3) -> DataFrame:
+    """(column, point, value): exact quantiles, linear between neighbours, of whole tables; no row for a column without values.
+
+    Approximate quantiles on either side of each point say between which values it lies, and only
+    values in between are put in order. So no task holds, or orders, more than some thousandths of a column.
+    """
+    spark = df.sparkSession
+    cast = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    ends = [x for p in points for x in (max(p - near, 0.0), min(p + near, 1.0))]
+    row = cast.agg(*[F.percentile_approx(c, ends, 10_000).alias(c) for c in columns]).first()
+    ranges = [(c, p, row[c][2 * k], row[c][2 * k + 1]) for c in columns if row[c] for k, p in enumerate(points)]
+    if not ranges:
+        return spark.createDataFrame([], "column string, point double, value double")
+    long = cast.unpivot([], columns, "column", "v").where("v is not null")
+    near_values = long.join(F.broadcast(spark.createDataFrame(ranges, "column string, point double, low double, high double")), "column")
+    inside = F.col("v").between(F.col("low"), F.col("high"))
+    counts = near_values.groupBy("column", "point").agg(F.count("*").alias("n"), F.count_if(F.col("v") < F.col("low")).alias("below"))
+    some = near_values.where(inside).groupBy("column", "point", "v").agg(F.count("*").alias("k"))
+    upto = Window.partitionBy("column", "point").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    placed = some.join(counts, ["column", "point"]).withColumn("upto", F.col("below") + F.sum("k").over(upto))
+    rank = (F.col("n") - 1) * F.col("point")
+    # the value at a rank (from 0) is the least one with more rows up to it
+    low, high = F.floor(rank), F.ceil(rank)
+    found = placed.groupBy("column", "point").agg(
+        F.min(F.when(F.col("upto") > low, F.col("v"))).alias("a"), F.min(F.when(F.col("upto") > high, F.col("v"))).alias("b"), F.first(rank - low).alias("share")
+    )
+    return found.select("column", "point", (F.col("a") + (F.col("b") - F.col("a")) * F.col("share")).alias("value"))
+
+
 def describe(df: DataFrame, columns: list[str], digits: int = 3) -> DataFrame:
     """(column, n, mean, std, min, p5, p25, p50, p75, p95, max), exact, a row for each column."""
     points = [0.05, 0.25, 0.5, 0.75, 0.95]
-    parts = []
-    for c in columns:
-        parts += [F.count(c).alias(f"{c}|n"), F.avg(c).alias(f"{c}|mean"), F.stddev_samp(c).alias(f"{c}|std"), F.min(c).alias(f"{c}|min"), F.percentile(c, F.array(*map(F.lit, points))).alias(f"{c}|q"), F.max(c).alias(f"{c}|max")]
-    row = df.agg(*parts)
+    row = df.agg(*[x for c in columns for x in (F.count(c).alias(f"{c}|n"), F.avg(c).alias(f"{c}|mean"), F.stddev_samp(c).alias(f"{c}|std"), F.min(c).alias(f"{c}|min"), F.max(c).alias(f"{c}|max"))])
     r = lambda x: F.round(x.cast("double"), digits)
-    each = [
-        F.struct(F.lit(c).alias("column"), F.col(f"{c}|n").alias("n"), *[r(F.col(f"{c}|{k}")).alias(k) for k in ("mean", "std", "min")], *[r(F.col(f"{c}|q")[k]).alias(f"p{int(p * 100)}") for k, p in enumerate(points)], r(F.col(f"{c}|max")).alias("max"))
-        for c in columns
-    ]
-    return row.select(F.explode(F.array(*each)).alias("r")).select("r.*")
+    each = [F.struct(F.lit(c).alias("column"), F.col(f"{c}|n").alias("n"), *[r(F.col(f"{c}|{k}")).alias(k) for k in ("mean", "std", "min", "max")]) for c in columns]
+    plain = row.select(F.explode(F.array(*each)).alias("r")).select("r.*")
+    found = exact_quantiles(df, columns, points).groupBy("column").agg(*[r(F.max(F.when(F.col("point") == p, F.col("value")))).alias(f"p{int(p * 100)}") for p in points])
+    return plain.join(found, "column", "left").select("column", "n", "mean", "std", "min", *[f"p{int(p * 100)}" for p in points], "max")
 
 
 def average_rank(column: str, keys: list[str]) -> Column:

@@ -24,6 +24,31 @@ SMOOTH_5 = [
 ]
 
 
+def decision_times(window: float, stride: float, least_lead: float = 0.0, most_lead: float | None = None, start: float = -10.0) -> list[float]:
+    """Times at which windows end, from the farthest lead to the nearest, `stride` apart; a window fits after `start`.
+
+    A time is never after 0, the moment that is foretold; its lead is less its sign. An error where
+    no window fits or a bound makes no sense.
+    """
+    most_lead = -start - window if most_lead is None else most_lead
+    if not (0 < window < -start and stride > 0 and 0 <= least_lead <= most_lead):
+        raise ValueError(f"window {window}, stride {stride}, leads {least_lead} to {most_lead} don't fit {-start} s")
+    first, last = max(start + window, -most_lead), -least_lead
+    if first > last + 1e-9:
+        raise ValueError("no window fits between the leads")
+    return [round(first + stride * k, 6) + 0.0 for k in range(int((last - first) / stride + 1e-9) + 1)]
+
+
+def build_windows(df: DataFrame, time: str, times: list[float], window: float) -> DataFrame:
+    """A row for each decision time whose closed window [s - window, s] holds the row, with decision_t_s, lead_s and window_s.
+
+    The times are few and the same for all keys, so membership is worked out row by row.
+    """
+    inside = F.filter(F.array(*map(F.lit, times)), lambda s: F.col(time).between(s - window - 1e-9, s + 1e-9))
+    out = df.withColumn("decision_t_s", F.explode(inside))
+    return out.withColumn("lead_s", -F.col("decision_t_s") + F.lit(0.0)).withColumn("window_s", F.lit(float(window)))
+
+
 def sliding(df: DataFrame, tick: str, width: int, stride: int, first: int, last: int) -> DataFrame:
     """A row for each window that holds the row: window j is the closed range [j * stride - width, j * stride].
 

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from evenkeel.operators import evaluation as V
+from evenkeel.operators import modelling as M
 
 from .base import query, table
 
@@ -21,9 +22,27 @@ G = f"g as (select l.doc_id, d.lang, l.quality as truth, {GUESS} as pred from la
 CLASSES = "c as (select v.cls as class, count(*) filter (truth = v.cls and pred = v.cls) as h, count(*) filter (truth = v.cls) as s, count(*) filter (pred = v.cls) as p from g, (select distinct unnest([truth, pred]) as cls from g) v group by 1), m as (select class, case when p = 0 then 0 else h::double / p end as precision, case when s = 0 then 0 else h::double / s end as recall, case when s + p = 0 then 0 else 2.0::double * h / (s + p) end as f1, s as support, h from c)"
 
 
-@query("q_group_split")
+def greedy_sql(group: str, parts: dict[str, float], name: str) -> str:
+    """The greedy split row by row: largest group first, each to the part that is least filled against its target."""
+    cols = [f"p{k}" for k in range(len(parts))]
+    ratio = [f"{c} / ({f!r}::double * total)" for c, f in zip(cols, parts.values())]
+    pick = "case " + " ".join(f"when {' and '.join(f'{ratio[k]} <= {r}' for r in ratio)} then {k}" for k in range(len(parts) - 1)) + f" else {len(parts) - 1} end"
+    add = ", ".join(f"{c} + case when w = {k} then n else 0 end" for k, c in enumerate(cols))
+    label = "case w " + " ".join(f"when {k} then '{p}'" for k, p in enumerate(parts)) + " end"
+    return (
+        f"with recursive s as (select {group} as g, count(*) as n, row_number() over (order by count(*) desc, {group}::varchar) as i, sum(count(*)) over ()::bigint as total from orders group by 1), "
+        f"r as (select 0::bigint as i, null::bigint as g, 0::bigint as n, null::int as w, {', '.join(f'0::bigint as {c}' for c in cols)} "
+        f"union all select i, g, n, w, {add} from (select s.i, s.g, s.n, ({pick})::int as w, {', '.join(cols)} from r join s on s.i = r.i + 1)) "
+        f"select g as {group}, {label if name == 'split' else 'w'} as {name}{', n as n_rows' if name == 'split' else ''} from r where i > 0"
+    )
+
+
+PARTS = {"train": 0.6, "val": 0.2, "test": 0.2}
+
+
+@query("q_group_split", greedy_sql("o_custkey", PARTS, "split"))
 def group_split(spark, sf):
-    return V.assign_groups(table(spark, sf, "orders"), "o_custkey", {"train": 0.6, "val": 0.2, "test": 0.2})
+    return V.assign_groups(table(spark, sf, "orders"), "o_custkey", PARTS)
 
 
 @query("q_split_disjoint", "select 0::bigint as violations, count(distinct o_custkey) as n_groups, count(*) as n_rows from orders")
@@ -33,7 +52,7 @@ def split_disjoint(spark, sf):
     return bad.crossJoin(a.agg(F.count("*").alias("n_groups"), F.sum("n_rows").alias("n_rows")))
 
 
-@query("q_group_kfold")
+@query("q_group_kfold", greedy_sql("o_custkey", {str(k): 1.0 for k in range(5)}, "fold"))
 def group_kfold(spark, sf):
     return V.group_folds(table(spark, sf, "orders"), "o_custkey", 5)
 
@@ -46,10 +65,9 @@ def logo_folds(spark, sf):
     return rows.withColumn("n_train", F.sum("n_test").over(Window.partitionBy()) - F.col("n_test"))
 
 
-@query("q_rare_collapse", "select p_partkey, case when count(*) over (partition by p_type, p_size) < 8 then 'other' else p_type end as label from part")
+@query("q_rare_collapse", "select p_partkey, case when count(*) over (partition by p_type) < 14 then 'other' else p_type end as label from part")
 def rare_collapse(spark, sf):
-    n = F.count("*").over(Window.partitionBy("p_type", "p_size"))
-    return table(spark, sf, "part").select("p_partkey", F.when(n < 8, F.lit("other")).otherwise(F.col("p_type")).alias("label"))
+    return V.collapse_rare(table(spark, sf, "part").select("p_partkey", F.col("p_type").alias("label")), "label", 14)
 
 
 @query("q_one_hot", "select event_id, (event_type = 'click')::int::double as click, (event_type = 'error')::int::double as error, (event_type = 'view')::int::double as view from events", "event_id")
@@ -122,3 +140,53 @@ def batch_score(spark, sf):
     rows = customer_features(spark, sf)
     model = V.MODELS["ridge"](["n_orders", "c_acctbal"], "mean_price").fit(rows.where("fold <> 0"))
     return model.transform(rows.where("fold = 0")).select("c_custkey", "prediction")
+
+
+LINE = "f as (select c.c_custkey, c.c_mktsegment as g, count(*)::double as x, avg(o.o_totalprice) as y from customer c join orders o on o.o_custkey = c.c_custkey group by 1, 2)"
+FITS = f"{LINE}, k as (select g, dense_rank() over (order by g) - 1 as fold from (select distinct g from f)), w as (select k.fold, regr_slope(f.y, f.x) as b, regr_intercept(f.y, f.x) as a from f, k where f.g <> k.g group by 1)"
+
+
+def segments(spark, sf):
+    rows = customer_features(spark, sf).join(table(spark, sf, "customer").select("c_custkey", "c_mktsegment"), "c_custkey")
+    return rows, M.Features(("n_orders", "absent"), (), "c_mktsegment")
+
+
+@query("q_leave_one_out", "select g as c_mktsegment, (dense_rank() over (order by g) - 1)::int as fold from (select distinct c_mktsegment as g from customer)")
+def leave_one_out(spark, sf):
+    return M.leave_one_out(table(spark, sf, "customer"), "c_mktsegment")
+
+
+@query(
+    "q_evaluate",
+    f"""with {FITS}, p as (select k.fold, f.y, w.a + w.b * f.x as p from f join k using (g) join w using (fold)),
+    m as (select fold, avg(abs(y - p)) as mae, 1 - sum((y - p) * (y - p)) / (sum(y * y) - sum(y) * sum(y) / count(*)) as r2, count(*)::double as n_test from p group by 1)
+    select fold::int as fold, metric, value from m unpivot (value for metric in (mae, r2, n_test))""",
+    "fold metric",
+    4,
+)
+def evaluate(spark, sf):
+    """A closed-form line for each left-out segment, and its errors."""
+    rows, features = segments(spark, sf)
+    found = M.evaluate(M.prepare(rows, features, "mean_price"), M.leave_one_out(rows, "c_mktsegment"), features.of(rows), "line", "regression")
+    return found.rows(spark)
+
+
+@query("q_score_line", f"with {LINE}, w as (select regr_slope(y, x) as b, regr_intercept(y, x) as a from f where g <> 'BUILDING') select c_custkey, a + b * x as prediction from f, w where g = 'BUILDING'", "c_custkey", 4)
+def score_line(spark, sf):
+    rows, features = segments(spark, sf)
+    rows = M.prepare(rows, features, "mean_price", keep=("c_custkey",))
+    scored, _ = M.fit_and_predict(rows.where("c_mktsegment <> 'BUILDING'"), rows.where("c_mktsegment = 'BUILDING'"), features.of(rows), "line")
+    return scored.select("c_custkey", "prediction")
+
+
+@query(
+    "q_split_summary",
+    f"""with r as ({greedy_sql("o_custkey", PARTS, "split")}), d as (select o.*, r.split from orders o join r using (o_custkey)),
+    s as (select split, count(distinct o_custkey) as n_groups, count(*) as n_rows from d group by 1)
+    select s.split, n_groups, n_rows, n_rows / (select count(*) from d) as row_share, o_orderstatus as class, count(*) as n, count(*) / n_rows as class_share
+    from d join s using (split) group by s.split, n_groups, n_rows, o_orderstatus""",
+    "split n_groups n_rows class n",
+)
+def split_summary(spark, sf):
+    o = table(spark, sf, "orders")
+    return M.split_summary(o, V.assign_groups(o, "o_custkey", PARTS), "o_custkey", "o_orderstatus")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from evenkeel.functions import scalars as S
 from evenkeel.operators import evaluation as V
+from evenkeel.operators import frames
 from evenkeel.operators import relational as O
 
 from .base import EV, events, query, table
@@ -297,8 +298,8 @@ def iou(spark, sf):
 
 @query("q_largest_box", f"with b as ({BOXES}) select label, arg_min(vec_id, {{'a': -((x2 - x1) * (y2 - y1)), 'b': vec_id}}) as vec_id from b group by 1")
 def largest_box(spark, sf):
-    b = boxes(spark, sf).groupBy("label").agg(F.collect_list(F.struct((-S.box_area(F.col("box"))).alias("a"), F.col("vec_id").alias("v"))).alias("all"))
-    return b.select("label", F.array_min("all")["v"].alias("vec_id"))
+    b = boxes(spark, sf).groupBy("label").agg(F.min(F.struct((-S.box_area(F.col("box"))).alias("a"), F.col("vec_id").alias("v"))).alias("least"))
+    return b.select("label", F.col("least.v").alias("vec_id"))
 
 
 CORNERS = "struct_pack(x1 := least(e[{0}], e[{2}])::double, y1 := least(e[{1}], e[{3}])::double, x2 := greatest(e[{0}], e[{2}])::double, y2 := greatest(e[{1}], e[{3}])::double)"
@@ -319,10 +320,8 @@ RATIO = f"coalesce({MEET} / nullif({AREA.format('r.kept')} + {AREA.format('b')}
 def carried_lead(spark, sf):
     e = lambda k: F.get("embedding", F.lit(k)).cast("double")
     box = lambda k: F.struct(F.least(e(k), e(k + 2)).alias("x1"), F.least(e(k + 1), e(k + 3)).alias("y1"), F.greatest(e(k), e(k + 2)).alias("x2"), F.greatest(e(k + 1), e(k + 3)).alias("y2"))
-    rows = table(spark, sf, "embeddings").select("label", F.struct("vec_id", F.array(box(0), box(4), box(8)).alias("d")).alias("f"))
-    rows = rows.groupBy("label").agg(F.array_sort(F.collect_list("f")).alias("f"))
-    rows = rows.select(F.explode(F.arrays_zip(F.transform("f", lambda x: x["vec_id"]).alias("vec_id"), S.carried_boxes(F.transform("f", lambda x: x["d"])).alias("box"))).alias("z"))
-    return rows.select("z.vec_id", "z.box.*")
+    rows = table(spark, sf, "embeddings").select("label", "vec_id", F.array(box(0), box(4), box(8)).alias("boxes"))
+    return frames.carried_leads(rows, "label", "vec_id", "boxes").select("vec_id", "lead.*")
 
 
 @query("q_label_order", "select label, row_number() over (order by case label when 'view' then 1 when 'click' then 2 else 3 end, label) as place from (select distinct event_type as label from events)")
