@@ -251,10 +251,9 @@ def drop_leaks_of(docs: DataFrame, items: DataFrame) -> DataFrame:
     key = "key"
     while key in docs.columns:
         key += "_"
-    gone = leaking(docs, items, scratch).select(F.col("key").alias(key)).distinct()
-    out = durable(docs.withColumn(key, F.xxhash64("doc_id", "text")).join(scratch.write(gone), key, "left_anti").select(*docs.columns))
+    gone = durable(leaking(docs, items, scratch).select(F.col("key").alias(key)).distinct())
     scratch.close()
-    return out
+    return docs.withColumn(key, F.xxhash64("doc_id", "text")).join(gone, key, "left_anti").select(*docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

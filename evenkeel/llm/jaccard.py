@@ -509,13 +509,12 @@ def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """
     scratch = Scratch(docs.sparkSession)
     heads = similar_rows(docs, words, percent, False, scratch).where("kept and n_shingles > 0 and doc_id is not null")
-    heads = heads.select(F.col("doc_id").alias("kept_id"), F.col("h").alias("kept_h")).distinct()
+    heads = durable(heads.select(F.col("doc_id").alias("kept_id"), F.col("h").alias("kept_h")).distinct())
+    scratch.close()
     worded = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]") & F.col("doc_id").isNotNull()
     key = "h"
     while key in docs.columns:
         key += "_"
     marked = docs.withColumn(key, F.xxhash64("text"))
     kept = marked.where(worded).join(heads, (F.col("doc_id") == F.col("kept_id")) & (F.col(key) == F.col("kept_h")), "left_semi")
-    out = durable(kept.dropDuplicates(["doc_id", key]).drop(key).unionByName(docs.where(~worded)))
-    scratch.close()
-    return out
+    return kept.dropDuplicates(["doc_id", key]).drop(key).unionByName(docs.where(~worded))

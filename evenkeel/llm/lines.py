@@ -136,7 +136,8 @@ def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     lines = scratch.write(line_rows(keyed).dropDuplicates(PLACE))
     runs = repeated_runs(lines, min_words, scratch)
     # no more runs for a document than it has lines
-    gone = scratch.write(runs.groupBy(*AT).agg(F.collect_list(F.struct("i", "n")).alias("gone")))
+    gone = durable(runs.groupBy(*AT).agg(F.collect_list(F.struct("i", "n")).alias("gone")))
+    scratch.close()
 
     @F.arrow_udf("text string, removed int")
     def less(text: pa.Array, gone: pa.Array) -> pa.Array:
@@ -147,9 +148,7 @@ def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     # texts without a run don't go to Python
     whole = whole.select("row", less(F.when(F.col("gone").isNotNull(), F.col("row.text")), "gone").alias("new"))
     out = [F.coalesce("new.text", "row.text").alias("text") if c == "text" else F.col("row").getField(c).alias(c) for c in names if c != "removed"]
-    out = durable(whole.select(*out, F.coalesce("new.removed", F.lit(0)).alias("removed")))
-    scratch.close()
-    return out
+    return whole.select(*out, F.coalesce("new.removed", F.lit(0)).alias("removed"))
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
