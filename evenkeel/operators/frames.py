@@ -78,7 +78,7 @@ def _equal(states: Column, state: str) -> Column:
 def lead_columns(lead: Column, width: Column, height: Column) -> dict[str, Column]:
     """What the lead's box says of a frame; nulls without one."""
     return {
-        "lead": lead.isNotNull(), "conf": lead["conf"], "area": S.box_area(lead) / (width * height),
+        "lead": lead.isNotNull(), "conf": lead["conf"], "area": F.when(lead.isNotNull(), S.box_area(lead) / (width * height)),
         "cx": ((lead["x1"] + lead["x2"]) / 2 - width / 2) / width, "y2": lead["y2"] / height,
     }
 

@@ -8,9 +8,9 @@ from pyspark.sql import types as T
 
 from evenkeel.functions.scalars import finite, to_flag, to_number
 
-#: Optional fields of a recording's side-car file.
+#: Optional fields of a recording's side-car file (names of the file format).
 META = "log_kind string, log_hz double, vid_kind string, camera_fps double, clip_dur_s double, clip_start_s double, video_time_s double, event_mono long"
-#: Continuous and boolean columns of each topic (fixed names).
+#: Continuous and boolean columns of each topic (names of the file format).
 TOPICS = {
     "carState": (["vEgo", "aEgo", "steeringAngleDeg", "steeringTorque", "cruiseState.speed"], ["steeringPressed", "brakePressed", "gasPressed", "cruiseState.enabled", "standstill"]),
     "controlsState": (["curvature", "desiredCurvature", "vCruise"], ["enabled", "active"]),
@@ -36,19 +36,47 @@ def clip_index(spark: SparkSession, root: str) -> DataFrame:
     return rows.where("clip_id_pub is not null").select(*KEY, "meta.*")
 
 
+def topic_lines(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """(key, path, header, line): the lines of one topic's files, each with its own file's header.
+
+    A file is a recording's stretch of some seconds, and is read whole. Files that can't be read are
+    left out; there may be none.
+    """
+    reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", f"{name}.csv").option("ignoreCorruptFiles", True)
+    files = reader.text(root, wholetext=True).withColumn("path", F.input_file_name())
+    files = with_key(files).withColumn("lines", F.split(F.regexp_replace("value", "^\ufeff", ""), "\r?\n"))
+    fields = lambda line: F.transform(F.split(line, ","), lambda x: F.trim(F.btrim(F.trim(x), F.lit('"'))))
+    rows = files.select(*KEY, "path", fields(F.get("lines", F.lit(0))).alias("header"), F.explode_outer(F.slice("lines", 2, 2**31 - 2)).alias("line"))
+    return rows.withColumn("line", F.when(F.trim("line") != "", fields(F.col("line"))))
+
+
 def topic(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """Rows of one topic of all recordings: key, time_s, continuous columns as numbers and flags as 0/1; dots become
-    underscores, columns that no file has are null, rows without a time are left out."""
+    """Rows of one topic of all recordings: key, time_s, continuous columns as numbers and flags as 0/1.
+
+    Columns are found by each file's own header: files may have others, or have them in another
+    order. Dots become underscores, columns that a file hasn't are null, rows without a time are left out;
+    no file of the topic: no rows.
+    """
     numbers, flags = TOPICS[name]
-    raw = spark.read.option("header", True).option("mode", "PERMISSIVE").option("enforceSchema", False).option("recursiveFileLookup", True).option("pathGlobFilter", f"{name}.csv").csv(root)
-    names = [c.replace(".", "_") for c in raw.columns]
-    raw = with_key(raw.toDF(*names))
-    if "time_s" not in names:
-        raw = raw.withColumn("time_s", F.lit(None).cast("string"))
-    out = [c for c in KEY] + [to_number(F.col("time_s")).alias("time_s")]
-    out += [(to_number(F.col(c.replace(".", "_"))) if c.replace(".", "_") in names else F.lit(None).cast("double")).alias(c.replace(".", "_")) for c in numbers]
-    out += [(to_flag(F.col(c.replace(".", "_"))) if c.replace(".", "_") in names else F.lit(None).cast("double")).alias(c.replace(".", "_")) for c in flags]
-    return raw.select(*out).where("time_s is not null")
+    rows = topic_lines(spark, root, name).where("line is not null")
+
+    def value(c: str):
+        at = F.array_position("header", c)
+        return F.when(at > 0, F.get("line", (at - 1).cast("int")))
+
+    has = lambda c: F.array_contains("header", c)
+    out = [F.col(c) for c in KEY] + [to_number(value("time_s")).alias("time_s")]
+    out += [to_number(value(c)).alias(c.replace(".", "_")) for c in numbers]
+    out += [F.when(has(c), to_flag(value(c))).alias(c.replace(".", "_")) for c in flags]
+    return rows.select(*out).where("time_s is not null")
+
+
+def topic_report(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """(key, path, n_lines, n_rows, readable): of each file, how many lines have a time; readable if there is a time column."""
+    rows = topic_lines(spark, root, name)
+    at = F.array_position("header", "time_s")
+    timed = (at > 0) & to_number(F.get("line", (at - 1).cast("int"))).isNotNull()
+    return rows.groupBy(*KEY, "path").agg(F.count("line").alias("n_lines"), F.count_if(timed).alias("n_rows"), F.max(F.array_contains("header", "time_s")).alias("readable"))
 
 
 def lookup(spark: SparkSession, path: str, schema: str) -> DataFrame:

@@ -23,14 +23,24 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def replace_parquet(df: DataFrame, path: str) -> None:
-    """Overwrites a table, also one that df reads: the new files are complete before the old ones go."""
+    """Overwrites a table, also one that df reads.
+
+    The new files are complete before the old ones move, and the old ones stay beside them until the
+    new ones are in place; where that fails they are moved back.
+    """
     spark = df.sparkSession
-    new = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
+    new, old = (f"{path.rstrip('/')}.{uuid.uuid4().hex}" for _ in range(2))
     df.write.parquet(new)
     fs, at = _fs(spark, path)
-    fs.delete(at, True)
-    if not fs.rename(spark._jvm.org.apache.hadoop.fs.Path(new), at):
+    place = spark._jvm.org.apache.hadoop.fs.Path
+    there = fs.exists(at)
+    if there and not fs.rename(at, place(old)):
+        raise OSError(f"cannot move {path} aside")
+    if not fs.rename(place(new), at):
+        if there:
+            fs.rename(place(old), at)
         raise OSError(f"cannot move {new} to {path}")
+    fs.delete(place(old), True)
 
 
 def csv(df: DataFrame, path: str, single: bool = False) -> None:
@@ -38,19 +48,36 @@ def csv(df: DataFrame, path: str, single: bool = False) -> None:
     (df.coalesce(1) if single else df).write.mode("overwrite").option("header", True).csv(path)
 
 
+def _safe(c, kind: T.DataType):
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        return finite(c)
+    if isinstance(kind, T.ArrayType):
+        return F.transform(c, lambda x: _safe(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        return F.transform_values(c, lambda _, v: _safe(v, kind.valueType))
+    if isinstance(kind, T.StructType) and len(kind):
+        return F.when(c.isNotNull(), F.struct(*[_safe(c[f.name], f.dataType).alias(f.name) for f in kind]))
+    return c
+
+
 def json_safe(df: DataFrame) -> DataFrame:
-    """Non-finite doubles as null, also inside arrays and maps."""
-    out = []
-    for f in df.schema:
-        c = F.col(f"`{f.name}`")
-        if isinstance(f.dataType, T.DoubleType):
-            c = finite(c)
-        elif isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.DoubleType):
-            c = F.transform(c, finite)
-        elif isinstance(f.dataType, T.MapType) and isinstance(f.dataType.valueType, T.DoubleType):
-            c = F.transform_values(c, lambda _, v: finite(v))
-        out.append(c.alias(f.name))
-    return df.select(*out)
+    """Non-finite numbers as null, at any depth."""
+    return df.select(*[_safe(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema])
+
+
+def json_report(df: DataFrame, path: str) -> None:
+    """A small report of one row as a JSON file for people: indented, and what JSON has no kind for as text."""
+    import json
+
+    row = json_safe(df).limit(2).collect()
+    if len(row) != 1:
+        raise ValueError("a report has one row")
+    fs, at = _fs(df.sparkSession, path)
+    out = fs.create(at, True)
+    try:
+        out.write(bytearray(json.dumps(row[0].asDict(recursive=True), indent=2, default=str, ensure_ascii=False).encode()))
+    finally:
+        out.close()
 
 
 def json_rows(df: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import uuid
 from collections.abc import Callable
 
@@ -36,15 +37,78 @@ def sessions(stream: DataFrame, time: Column, gap: str, late: str, keys: list[st
 
 
 def drained(stream: DataFrame, mode: str = "complete") -> DataFrame:
-    """All that is there now, as a table; for catalogues and tests, since the result is kept in memory."""
-    name = f"drained_{uuid.uuid4().hex}"
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return stream.sparkSession.table(name)
+    """All that is there now, as a table: the last batch's result, in Parquet files in the warehouse folder until the session ends."""
+    spark = stream.sparkSession
+    path = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/drained-{uuid.uuid4().hex}"
+
+    def put(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(path)
+
+    def clear() -> None:
+        if spark.sparkContext._jsc is not None:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+    atexit.register(clear)
+    stream.writeStream.outputMode(mode).foreachBatch(put).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(path)
+
+
+def stepped(stream: DataFrame, key: str, order: str, output: str, state: str, start: Callable, step: Callable) -> DataFrame:
+    """A stream's rows with what a state that goes from row to row of a key says of each.
+
+    start() gives a key's first state, a tuple; step(state, row) the next state and the values of the
+    output columns, a tuple. Rows of a batch are taken in order; batches are taken as they come.
+    """
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    names = stream.columns
+    added = [f.split()[0] for f in output.split(", ")]
+
+    def run(_, frames, held):
+        now = held.get if held.exists else start()
+        rows = pd.concat(frames).sort_values(order, kind="stable")
+        out = []
+        for row in rows.to_dict("records"):
+            now, values = step(now, row)
+            out.append(values)
+        held.update(now)
+        yield rows.assign(**{c: [v[k] for v in out] for k, c in enumerate(added)})[[*names, *added]]
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema)
+    return stream.groupBy(key).applyInPandasWithState(run, f"{schema}, {output}", state, "append", GroupStateTimeout.NoTimeout)
+
+
+def onsets(stream: DataFrame, key: str, order: str, value: str, rows: int, factor: float, floor: float) -> DataFrame:
+    """The stream with `onset`: the value rises over factor * the median of the rows before it (and itself) and over floor."""
+    from statistics import median
+
+    def step(now, row):
+        above_before, recent = now
+        recent = [*recent[-rows:], row[value]]
+        above = row[value] > max(factor * median(recent), floor)
+        return (above, recent), (bool(above and not above_before),)
+
+    return stepped(stream, key, order, "onset boolean", "above boolean, recent array<double>", lambda: (False, []), step)
+
+
+def carried(stream: DataFrame, key: str, order: str, value: str) -> DataFrame:
+    """The stream with `last`: the value of the row, or where it has none that of the last one before."""
+
+    def step(now, row):
+        last = now[0] if row[value] is None or row[value] != row[value] else row[value]
+        return (last,), (last,)
+
+    return stepped(stream, key, order, "last double", "last double", lambda: (None,), step)
+
 
+def to_table(stream: DataFrame, path: str, checkpoint: str, keys: list[str], key_time: Callable[[DataFrame], DataFrame] | None = None, late: tuple[str, str] | None = None):
+    """Appends a stream to Parquet, what is there now; each file once, across restarts with one checkpoint.
 
-def to_table(stream: DataFrame, path: str, checkpoint: str, keys: list[str], key_time: Callable[[DataFrame], DataFrame] | None = None):
-    """Appends a stream to Parquet, what is there now; each file once, across restarts with one checkpoint."""
+    `late` (a time column and how late a repeat may come) bounds how long keys are remembered; without it all are.
+    """
     rows = key_time(stream) if key_time else stream
-    q = rows.dropDuplicates(keys).writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+    rows = rows.withWatermark(*late).dropDuplicatesWithinWatermark(keys) if late else rows.dropDuplicates(keys)
+    q = rows.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()

@@ -45,3 +45,61 @@ def test_stream_into_table_resumes(spark, tmp_path):
     spark.range(3, 8).withColumnRenamed("id", "k").write.mode("append").parquet(source)
     streaming.to_table(streaming.read_table(spark, str(tmp_path), "events"), path, check, ["k"])
     assert sorted(r.k for r in spark.read.parquet(path).collect()) == list(range(8))
+
+
+def test_topic_files_differ(spark, tmp_path):
+    files = {
+        "1": "time_s,vEgo,standstill\n2,3.5,True\n",
+        "2": 'vEgo, "time_s" ,gasPressed,other\n7.5,1,yes,z\n,3\n\n8.5,2',
+        "3": "\ufefftime_s,aEgo\r\n0.5,-1\r\n",
+        "4": "nothing here",
+        "5": "",
+    }
+    for clip, text in files.items():
+        at = tmp_path / "m" / "d" / "r" / clip
+        at.mkdir(parents=True)
+        (at / "carState.csv").write_text(text, newline="")
+    got = sorted((r.clip_id_pub, r.time_s, r.vEgo, r.aEgo, r.standstill, r.gasPressed) for r in readers.topic(spark, str(tmp_path), "carState").collect())
+    assert got == [(1, 2.0, 3.5, None, 1.0, None), (2, 1.0, 7.5, None, None, 1.0), (2, 2.0, 8.5, None, None, 0.0), (2, 3.0, None, None, None, 0.0), (3, 0.5, None, -1.0, None, None)]
+    report = {r.clip_id_pub: (r.n_rows, r.readable) for r in readers.topic_report(spark, str(tmp_path), "carState").collect()}
+    assert report == {1: (1, True), 2: (3, True), 3: (1, True), 4: (0, False), 5: (0, False)}
+    none = readers.topic(spark, str(tmp_path), "radarState")
+    assert none.count() == 0 and "leadOne_dRel" in none.columns
+
+
+def test_replacing_a_table_that_is_read(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(3).write.parquet(path)
+    writers.replace_parquet(spark.read.parquet(path).where("id > 0"), path)
+    assert sorted(r.id for r in spark.read.parquet(path).collect()) == [1, 2]
+    assert [p.name for p in tmp_path.iterdir()] == ["t"]
+
+
+def test_json_report(spark, tmp_path):
+    df = spark.createDataFrame([(float("nan"), (1.0, float("inf")))], "x double, s struct<a: double, b: float>").withColumn("d", F.to_date(F.lit("2024-01-02")))
+    writers.json_report(df, str(tmp_path / "r.json"))
+    text = (tmp_path / "r.json").read_text()
+    assert json.loads(text) == {"x": None, "s": {"a": 1.0, "b": None}, "d": "2024-01-02"} and "\n  " in text
+
+
+def test_states_go_from_batch_to_batch(spark, tmp_path):
+    source = str(tmp_path / "events.parquet")
+    rows = [("a", 1, 9.0), ("a", 2, 1.0), ("a", 3, None), ("b", 1, None)]
+    kinds = "k string, t long, v double"
+    spark.createDataFrame(rows, kinds).coalesce(1).write.parquet(source)
+    spark.createDataFrame([("a", 4, None), ("b", 2, 5.0)], kinds).coalesce(1).write.mode("append").parquet(source)
+    out = streaming.carried(streaming.read_table(spark, str(tmp_path), "events", 1), "k", "t", "v")
+    got = {(r.k, r.t): r.last for r in streaming.drained(out, "append").collect()}
+    assert got == {("a", 1): 9.0, ("a", 2): 1.0, ("a", 3): 1.0, ("b", 1): None, ("a", 4): 1.0, ("b", 2): 5.0}
+
+
+def test_onsets_of_a_stream_are_those_of_the_table(spark, tmp_path):
+    from evenkeel.operators import timeline
+
+    values = [9.0, 1.0, 1.0, 1.0, 8.0, 9.0, 1.0, 2.0, 9.0, 9.0]
+    table = spark.createDataFrame([(k, i, v) for k in (1, 2) for i, v in enumerate(values[k:])], "k int, t long, v double")
+    want = {(r.k, r.t): r.onset for r in timeline.onsets(table, "k", "t", "t", "v", 4, 1.8, 1.0).collect()}
+    for half in ("t < 5", "t >= 5"):
+        table.where(half).coalesce(1).write.mode("append").parquet(str(tmp_path / "events.parquet"))
+    out = streaming.onsets(streaming.read_table(spark, str(tmp_path), "events", 1), "k", "t", "v", 4, 1.8, 1.0)
+    assert {(r.k, r.t): r.onset for r in streaming.drained(out, "append").collect()} == want
