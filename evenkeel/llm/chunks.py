@@ -56,15 +56,16 @@ def without_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
     Chunks whose bytes a chunk before them has too, in this or another document, are repeated; a run
     of repeated chunks is deleted if it holds min_words words or more. The first copy stays.
-    Documents come in order of doc_id, null last; those with an equal one aren't copies of each
-    other. `spans` are [begin, end) in
+    Documents come in order of doc_id (below 2^62), null last and these by a hash of their text; rows
+    with an equal doc_id, or with none and an equal text, aren't copies of each other. `spans` are [begin, end) in
     bytes of the text's UTF-8, cut where characters begin. Null text stays null and empty text empty: no
     spans, 0 words. All columns are kept; columns named `spans` or `removed_words` are replaced.
     No rows: no rows.
     """
     names = [c for c in docs.columns if c not in ("spans", "removed_words")]
     scratch = Scratch(docs.sparkSession)
-    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
+    # documents without an id come last, by their texts' hashes
+    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(1 << 62) + F.pmod(F.xxhash64("text"), F.lit(1 << 62)))
     keyed = docs.select(doc.alias("doc"), F.xxhash64("text").alias("h"), "text")
 
     def run(batches):

@@ -55,3 +55,12 @@ def test_characters_stay_whole(spark):
     other = "ünd " + text + "früher 中"
     got = {r.doc_id: r.text for r in chunks.without_passages(spark.createDataFrame([(1, text), (2, other)], "doc_id long, text string")).collect()}
     assert len(got[2]) < len(other) / 2
+
+
+def test_documents_without_an_id_are_copies_of_others(spark):
+    rng = random.Random(12)
+    passage = " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(200))
+    rows = [(None, "one " + passage), (None, "two " + passage), (5, "three " + passage)]
+    got = chunks.without_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [r.removed_words for r in got if r.doc_id == 5] == [0]
+    assert all(r.removed_words > 180 for r in got if r.doc_id is None)

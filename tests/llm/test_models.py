@@ -74,8 +74,8 @@ def test_shares_of_very_large_tables():
         assert abs(part * n - min(n, 3000)) < 1e-3 * 3000 and common.limit(3000 / n) > -(1 << 63)
 
 
-def plain_discriminant(x, y, pool, ridge):
-    """Log density differences by the textbook: inverse and determinant of each shrunken covariance."""
+def plain_discriminant(x, y, pool, ridge, at=None):
+    """Log density differences (of the rows `at`, or of x) by the textbook: inverse and determinant of each shrunken covariance."""
     mid, scale = x.mean(0), x.std(0) + 1e-6
     z = (x - mid) / scale
     out = []
@@ -84,7 +84,7 @@ def plain_discriminant(x, y, pool, ridge):
     for c in (0, 1):
         s = (1 - pool) * covs[c] + pool * both
         s = (1 - ridge) * s + ridge * np.trace(s) / len(s) * np.eye(len(s)) + 1e-9 * np.eye(len(s))
-        d = z - z[y == c].mean(0)
+        d = (z if at is None else (at - mid) / scale) - z[y == c].mean(0)
         out.append(-0.5 * np.einsum("ij,jk,ik->i", d, np.linalg.inv(s), d) - 0.5 * np.linalg.slogdet(s)[1] + np.log(np.mean(y == c)))
     return out[1] - out[0]
 
