@@ -57,7 +57,11 @@ def group_kfold(spark, sf):
     return V.group_folds(table(spark, sf, "orders"), "o_custkey", 5)
 
 
-@query("q_logo_folds", "select a.n_name as held_out, count(*) filter (b.n_name = a.n_name) as n_test, count(*) filter (b.n_name <> a.n_name) as n_train from nation a, (select n_name from customer join nation on c_nationkey = n_nationkey) b group by 1")
+@query(
+    "q_logo_folds",
+    "select a.n_name as held_out, count(*) filter (b.n_name = a.n_name) as n_test, count(*) filter (b.n_name <> a.n_name) as n_train "
+    "from nation a, (select n_name from customer join nation on c_nationkey = n_nationkey) b group by 1",
+)
 def logo_folds(spark, sf):
     n = table(spark, sf, "nation")
     sizes = table(spark, sf, "customer").groupBy("c_nationkey").agg(F.count("*").alias("n"))
@@ -70,12 +74,22 @@ def rare_collapse(spark, sf):
     return V.collapse_rare(table(spark, sf, "part").select("p_partkey", F.col("p_type").alias("label")), "label", 14)
 
 
-@query("q_one_hot", "select event_id, (event_type = 'click')::int::double as click, (event_type = 'error')::int::double as error, (event_type = 'view')::int::double as view from events", "event_id")
+@query(
+    "q_one_hot",
+    "select event_id, (event_type = 'click')::int::double as click, (event_type = 'error')::int::double as error, "
+    "(event_type = 'view')::int::double as view from events",
+    "event_id",
+)
 def one_hot(spark, sf):
     return table(spark, sf, "events").select("event_id", *[c.alias(n) for c, n in zip(V.one_hot("event_type", ["click", "error", "view"]), ("click", "error", "view"))])
 
 
-@query("q_median_impute", "with m as (select median(value) as m from events where event_id % 3 = 0 and event_type <> 'error') select event_id, case when event_type = 'error' then (select m from m) else value end as value from events where event_id % 3 <> 0", "event_id")
+@query(
+    "q_median_impute",
+    "with m as (select median(value) as m from events where event_id % 3 = 0 and event_type <> 'error') "
+    "select event_id, case when event_type = 'error' then (select m from m) else value end as value from events where event_id % 3 <> 0",
+    "event_id",
+)
 def median_impute(spark, sf):
     e = table(spark, sf, "events").select("event_id", F.when(F.col("event_type") != "error", F.col("value")).alias("value"))
     _, test = V.encode(e.where("event_id % 3 = 0"), e.where("event_id % 3 <> 0"), ["value"], [])
@@ -92,7 +106,12 @@ def per_class(spark, sf):
     return V.per_class(guesses(spark, sf), "truth", "pred")
 
 
-@query("q_cls_metrics", f"with {G}, {CLASSES} select avg(recall) filter (support > 0) as balanced_acc, avg(f1) as macro_f1, sum(h)::double / sum(support) as acc, sum(support)::bigint as n_test from m", "n_test")
+@query(
+    "q_cls_metrics",
+    f"with {G}, {CLASSES} select avg(recall) filter (support > 0) as balanced_acc, avg(f1) as macro_f1, "
+    "sum(h)::double / sum(support) as acc, sum(support)::bigint as n_test from m",
+    "n_test",
+)
 def cls_metrics(spark, sf):
     return V.class_metrics(guesses(spark, sf), "truth", "pred")
 
@@ -100,7 +119,13 @@ def cls_metrics(spark, sf):
 REG = "r as (select o_orderstatus as fold, o_totalprice as y, avg(o_totalprice) over (partition by o_orderpriority) as p from orders)"
 
 
-@query("q_reg_metrics", f"with {REG} select fold, avg(abs(y - p)) as mae, 1 - sum((y - p) * (y - p)) / (sum(y * y) - sum(y) * sum(y) / count(*)) as r2 from r group by 1", "fold", 4)
+@query(
+    "q_reg_metrics",
+    f"with {REG} select fold, avg(abs(y - p)) as mae, 1 - sum((y - p) * (y - p)) / (sum(y * y) - sum(y) * sum(y) / count(*)) as r2 "
+    "from r group by 1",
+    "fold",
+    4,
+)
 def reg_metrics(spark, sf):
     return regression(spark, sf).groupBy("fold").agg(*V.regression_metrics(F.col("y"), F.col("p")))
 
@@ -111,7 +136,13 @@ def regression(spark, sf):
     return o.join(means, "o_orderpriority").select(F.col("o_orderstatus").alias("fold"), F.col("o_totalprice").alias("y"), "p")
 
 
-@query("q_fold_mean_vs_pooled", f"with {REG}, f as (select fold, avg(abs(y - p)) as mae from r group by 1) select (select avg(mae) from f) as fold_mean, avg(abs(y - p)) as pooled from r", "-", 4)
+@query(
+    "q_fold_mean_vs_pooled",
+    f"with {REG}, f as (select fold, avg(abs(y - p)) as mae from r group by 1) select (select avg(mae) "
+    "from f) as fold_mean, avg(abs(y - p)) as pooled from r",
+    "-",
+    4,
+)
 def fold_mean(spark, sf):
     r = regression(spark, sf)
     mae = F.avg(F.abs(F.col("y") - F.col("p")))
@@ -151,7 +182,10 @@ def segments(spark, sf):
     return rows, M.Features(("n_orders", "absent"), (), "c_mktsegment")
 
 
-@query("q_leave_one_out", "select g as c_mktsegment, (dense_rank() over (order by g) - 1)::int as fold from (select distinct c_mktsegment as g from customer)")
+@query(
+    "q_leave_one_out",
+    "select g as c_mktsegment, (dense_rank() over (order by g) - 1)::int as fold from (select distinct c_mktsegment as g from customer)",
+)
 def leave_one_out(spark, sf):
     return M.leave_one_out(table(spark, sf, "customer"), "c_mktsegment")
 
@@ -171,7 +205,13 @@ def evaluate(spark, sf):
     return found.rows(spark)
 
 
-@query("q_score_line", f"with {LINE}, w as (select regr_slope(y, x) as b, regr_intercept(y, x) as a from f where g <> 'BUILDING') select c_custkey, a + b * x as prediction from f, w where g = 'BUILDING'", "c_custkey", 4)
+@query(
+    "q_score_line",
+    f"with {LINE}, w as (select regr_slope(y, x) as b, regr_intercept(y, x) as a from f where g <> 'BUILDING') "
+    "select c_custkey, a + b * x as prediction from f, w where g = 'BUILDING'",
+    "c_custkey",
+    4,
+)
 def score_line(spark, sf):
     rows, features = segments(spark, sf)
     rows = M.prepare(rows, features, "mean_price", keep=("c_custkey",))

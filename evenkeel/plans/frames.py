@@ -100,7 +100,11 @@ def build_windows(spark, sf):
     return out.groupBy("decision_t_s", "window_s").agg(F.count("*").alias("n"), F.sum("v").alias("total"))
 
 
-@query("q_first_off", f"with {EV}, n as (select *, row_number() over (partition by k order by u, id) - 1 as i from ev) select k, min(i) filter (v < 100) as first_off, max((v is not null)::int) as has_values, count(*) as n from n group by 1")
+@query(
+    "q_first_off",
+    f"with {EV}, n as (select *, row_number() over (partition by k order by u, id) - 1 as i from ev) "
+    "select k, min(i) filter (v < 100) as first_off, max((v is not null)::int) as has_values, count(*) as n from n group by 1",
+)
 def first_off(spark, sf):
     """For each key the first place of a series under a bound (null: none), and whether the series has a value at all."""
     series = events(spark, sf).groupBy("k").agg(F.array_sort(F.collect_list(F.struct("u", "id", "v"))).alias("a"))
@@ -108,13 +112,20 @@ def first_off(spark, sf):
     return series.select("k", F.when(off > 0, off - 1).alias("first_off"), F.exists("a", lambda x: x["v"].isNotNull()).cast("int").alias("has_values"), F.size("a").cast("long").alias("n"))
 
 
-@query("q_intersect", "select o_custkey from orders where o_orderpriority = '1-URGENT' intersect select o_custkey from orders where o_orderstatus = 'F'")
+@query(
+    "q_intersect",
+    "select o_custkey from orders where o_orderpriority = '1-URGENT' intersect select o_custkey from orders where o_orderstatus = 'F'",
+)
 def intersect(spark, sf):
     o = table(spark, sf, "orders")
     return o.where("o_orderpriority = '1-URGENT'").select("o_custkey").intersect(o.where("o_orderstatus = 'F'").select("o_custkey"))
 
 
-@query("q_superseded_columns", "select o_orderkey, 3.5::double as window_s, -0.0::double + 0.0::double as lead_s, o_totalprice / 2 as o_totalprice from orders", "o_orderkey")
+@query(
+    "q_superseded_columns",
+    "select o_orderkey, 3.5::double as window_s, -0.0::double + 0.0::double as lead_s, o_totalprice / 2 as o_totalprice from orders",
+    "o_orderkey",
+)
 def superseded_columns(spark, sf):
     """Columns worked out anew take the place of old ones; constants go along with every row."""
     old = table(spark, sf, "orders").select("o_orderkey", F.col("o_totalprice").alias("old_totalprice"))
@@ -122,7 +133,11 @@ def superseded_columns(spark, sf):
     return new.drop("old_totalprice")
 
 
-@query("q_failures", "select user_id % 10 as part, count(*) filter (event_type = 'error') as failed, count(*) filter (event_type <> 'error') as kept, min(event_id) filter (event_type = 'error') as first_failed from events group by 1")
+@query(
+    "q_failures",
+    "select user_id % 10 as part, count(*) filter (event_type = 'error') as failed, count(*) filter (event_type <> 'error') as kept, "
+    "min(event_id) filter (event_type = 'error') as first_failed from events group by 1",
+)
 def failures(spark, sf):
     """What can't be read is told apart and counted, and the rest goes on."""
     rows = table(spark, sf, "events").withColumn("number", F.when(F.col("event_type") == "error", F.lit("none")).otherwise(F.col("value").cast("string")))

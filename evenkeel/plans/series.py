@@ -24,7 +24,12 @@ def asof(spark, sf):
     return L.as_of(events(spark, sf), points(spark, sf), "k", "u", F.col("v"), "id").select("k", "i", "value")
 
 
-@query("q_asof_ffill_backfill", f"with {EV}, {GRID}, f as (select k, arg_min(v, u) as first from ev group by 1) select g.k, g.i, coalesce(ev.v, f.first) as value from g asof left join ev on g.k = ev.k and ev.u <= g.g join f on f.k = g.k", "k i")
+@query(
+    "q_asof_ffill_backfill",
+    f"with {EV}, {GRID}, f as (select k, arg_min(v, u) as first from ev group by 1) select g.k, g.i, coalesce(ev.v, f.first) as value "
+    "from g asof left join ev on g.k = ev.k and ev.u <= g.g join f on f.k = g.k",
+    "k i",
+)
 def asof_backfill(spark, sf):
     return L.as_of(events(spark, sf), points(spark, sf), "k", "u", F.col("v"), "id", backfill=True).select("k", "i", "value")
 
@@ -54,7 +59,13 @@ def range_join(spark, sf):
     return windows(spark, sf).groupBy(*KJ).agg(F.count("*").alias("n"))
 
 
-@query("q_scaffold_zero_inflated", f"with {WIN}, s as (select k, j from (select distinct k from ev), d) select s.k, s.j, count(v) as n, coalesce(avg(v), 0) as mean, coalesce(max(v), 0) as top, (count(v) > 0)::int as filled from s left join win using (k, j) group by all", "k j n filled")
+@query(
+    "q_scaffold_zero_inflated",
+    f"with {WIN}, s as (select k, j from (select distinct k from ev), d) "
+    "select s.k, s.j, count(v) as n, coalesce(avg(v), 0) as mean, coalesce(max(v), 0) as top, (count(v) > 0)::int as filled from s "
+    "left join win using (k, j) group by all",
+    "k j n filled",
+)
 def zero_inflated(spark, sf):
     s = L.scaffold(events(spark, sf).select("k").distinct(), FIRST, LAST)
     a = windows(spark, sf).groupBy(*KJ).agg(F.count("v").alias("n"), F.avg("v").alias("mean"), F.max("v").alias("top"))
@@ -67,23 +78,42 @@ def window_stats(spark, sf):
     return windows(spark, sf).groupBy(*KJ).agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"), F.avg("v").alias("mean"))
 
 
-@query("q_window_percentiles", f"with {WIN} select k, j, quantile_cont(v, 0.05) as p5, quantile_cont(v, 0.5) as p50, quantile_cont(v, 0.95) as p95 from win group by all", "k j")
+@query(
+    "q_window_percentiles",
+    f"with {WIN} select k, j, quantile_cont(v, 0.05) as p5, quantile_cont(v, 0.5) as p50, quantile_cont(v, 0.95) as p95 from win "
+    "group by all",
+    "k j",
+)
 def window_percentiles(spark, sf):
     return windows(spark, sf).groupBy(*KJ).agg(*[R.quantile(F.col("v"), p).alias(f"p{int(p * 100)}") for p in (0.05, 0.5, 0.95)])
 
 
-@query("q_window_first_last_delta", f"with {WIN} select k, j, arg_min(v, u) as first, arg_max(v, u) as last, case when count(*) >= 2 then arg_max(v, u) - arg_min(v, u) end as delta from win group by all", "k j")
+@query(
+    "q_window_first_last_delta",
+    f"with {WIN} select k, j, arg_min(v, u) as first, arg_max(v, u) as last, case when count(*) >= 2 then arg_max(v, u) - arg_min(v, "
+    "u) end as delta from win group by all",
+    "k j",
+)
 def window_first_last(spark, sf):
     return windows(spark, sf).groupBy(*KJ).agg(R.first_value(F.col("v"), F.col("u")).alias("first"), R.last_value(F.col("v"), F.col("u")).alias("last"), R.change(F.col("v"), F.col("u")).alias("delta"))
 
 
-@query("q_window_argextreme", f"with {WIN} select k, j, arg_min(u, {{'v': round(v / 50), 'u': u}}) as least_at, arg_min(u, {{'v': -round(v / 50), 'u': u}}) as most_at from win group by all")
+@query(
+    "q_window_argextreme",
+    f"with {WIN} select k, j, arg_min(u, {{'v': round(v / 50), 'u': u}}) as least_at, arg_min(u, "
+    f"{{'v': -round(v / 50), 'u': u}}) as most_at from win group by all",
+)
 def window_argextreme(spark, sf):
     v = F.round(F.col("v") / 50)
     return windows(spark, sf).groupBy(*KJ).agg(R.when_least(v, F.col("u")).alias("least_at"), R.when_most(v, F.col("u")).alias("most_at"))
 
 
-@query("q_window_slope", f"with {WIN} select k, j, case when count(*) >= 3 and max(u) > min(u) then regr_slope(v, u / {HOUR}.0::double) end as slope from win group by all", "k j")
+@query(
+    "q_window_slope",
+    f"with {WIN} select k, j, case when count(*) >= 3 and max(u) > min(u) then regr_slope(v, u / {HOUR}.0::double) end as slope "
+    "from win group by all",
+    "k j",
+)
 def window_slope(spark, sf):
     return windows(spark, sf).groupBy(*KJ).agg(R.slope(F.col("v"), F.col("u") / float(HOUR)).alias("slope"))
 
@@ -93,13 +123,23 @@ def window_std(spark, sf):
     return windows(spark, sf).groupBy(*KJ).agg(F.stddev_pop("v").alias("spread"))
 
 
-@query("q_exposure_severity", f"with {WIN} select k, j, count(*) filter (v < 100) * 0.05 as under, sum(greatest(100 - v, 0)) * 0.05 as severity, max((e = 'error')::int) as any_error, avg((v > 250)::int::double) as high_rate from win group by all", "k j any_error")
+@query(
+    "q_exposure_severity",
+    f"with {WIN} select k, j, count(*) filter (v < 100) * 0.05 as under, sum(greatest(100 - v, 0)) * 0.05 as severity, "
+    "max((e = 'error')::int) as any_error, avg((v > 250)::int::double) as high_rate from win group by all",
+    "k j any_error",
+)
 def exposure(spark, sf):
     v = F.col("v")
     return windows(spark, sf).groupBy(*KJ).agg(R.time_under(v, 100, 0.05).alias("under"), R.severity(v, 100, 0.05).alias("severity"), R.ever(F.col("e") == "error").alias("any_error"), R.rate(v > 250).alias("high_rate"))
 
 
-@query("q_transitions", f"with {WIN}, f as (select *, lag(v > 100) over (partition by k, j order by u) as p from win) select k, j, count(*) filter (p and not v > 100) as falls, count(*) filter (v > 100 and not coalesce(p, false)) as rises from f group by all")
+@query(
+    "q_transitions",
+    f"with {WIN}, f as (select *, lag(v > 100) over (partition by k, j order by u) as p from win) "
+    "select k, j, count(*) filter (p and not v > 100) as falls, count(*) filter (v > 100 and not coalesce(p, false)) as rises from f "
+    "group by all",
+)
 def transitions(spark, sf):
     order = Window.partitionBy(*KJ).orderBy("u", "id")
     flag = F.col("v") > 100
@@ -123,7 +163,13 @@ def spearman(spark, sf):
     return O.rank_correlation(events(spark, sf).select("e", "v", "u"), ["e"], "v", "u")
 
 
-@query("q_decile_rate", f"with {EV}, q as (select k % 7 as part, *, quantile_cont(v, 0.9) over (partition by k % 7) as cut from ev) select part, avg((e = 'error')::int::double) filter (v >= cut) as high, avg((e = 'error')::int::double) filter (v < cut) as rest from q group by 1", "part")
+@query(
+    "q_decile_rate",
+    f"with {EV}, q as (select k % 7 as part, *, quantile_cont(v, 0.9) over (partition by k % 7) as cut from ev) "
+    "select part, avg((e = 'error')::int::double) filter (v >= cut) as high, avg((e = 'error')::int::double) filter (v < cut) as rest "
+    "from q group by 1",
+    "part",
+)
 def decile_rate(spark, sf):
     rows = events(spark, sf).withColumn("part", F.col("k") % 7)
     cuts = rows.groupBy("part").agg(R.quantile(F.col("v"), 0.9).alias("cut"))
@@ -131,13 +177,23 @@ def decile_rate(spark, sf):
     return rows.join(cuts, "part").groupBy("part").agg(F.avg(F.when(F.col("v") >= F.col("cut"), hit)).alias("high"), F.avg(F.when(F.col("v") < F.col("cut"), hit)).alias("rest"))
 
 
-@query("q_gate", f"{RANKS}, r as (select e, corr(a, b) as rho from x group by 1) select median(rho) as middle, avg((rho < 0)::int::double) as negative, (median(rho) < 0.5)::int as passed from r", "passed")
+@query(
+    "q_gate",
+    f"{RANKS}, r as (select e, corr(a, b) as rho from x group by 1) "
+    "select median(rho) as middle, avg((rho < 0)::int::double) as negative, (median(rho) < 0.5)::int as passed from r",
+    "passed",
+)
 def gate(spark, sf):
     r = O.rank_correlation(events(spark, sf).select("e", "v", "u"), ["e"], "v", "u")
     return r.agg(F.median("rho").alias("middle"), R.rate(F.col("rho") < 0).alias("negative"), (F.median("rho") < 0.5).cast("int").alias("passed"))
 
 
-@query("q_native_rate", f"with {EV}, x as (select k, u - lag(u) over (partition by k order by u) as d from ev) select k, case when count(*) > 2 and median(d) > 0 then 1e9 / median(d) end as rate_mhz from x group by 1", "k")
+@query(
+    "q_native_rate",
+    f"with {EV}, x as (select k, u - lag(u) over (partition by k order by u) as d from ev) "
+    "select k, case when count(*) > 2 and median(d) > 0 then 1e9 / median(d) end as rate_mhz from x group by 1",
+    "k",
+)
 def native_rate(spark, sf):
     return L.native_rate(events(spark, sf), "k", "u", "id").select("k", (F.col("rate_hz") * 1000).alias("rate_mhz"))
 
@@ -161,7 +217,13 @@ def onset(spark, sf):
     return with_onsets(spark, sf).select("id", F.col("above").cast("int").alias("above"), F.col("onset").cast("int").alias("onset"))
 
 
-@query("q_time_since_onset", f"{ONSETS}, s as (select k, j, j * {STRIDE}::bigint as s from (select distinct k from ev), (select unnest(range({FIRST}, {LAST + 1})) as j)) select s.k, s.j, coalesce(s.s - max(o.u), s.s + {10 * HOUR}::bigint)::bigint as since from s left join o on o.k = s.k and o.onset and o.u <= s.s group by s.k, s.j, s.s")
+@query(
+    "q_time_since_onset",
+    f"{ONSETS}, s as (select k, j, j * {STRIDE}::bigint as s from (select distinct k "
+    f"from ev), (select unnest(range({FIRST}, {LAST + 1})) as j)) "
+    f"select s.k, s.j, coalesce(s.s - max(o.u), s.s + {10 * HOUR}::bigint)::bigint as since from s left "
+    "join o on o.k = s.k and o.onset and o.u <= s.s group by s.k, s.j, s.s",
+)
 def time_since_onset(spark, sf):
     rows = with_onsets(spark, sf)
     s = L.scaffold(rows.select("k").distinct(), FIRST, LAST).withColumn("g", F.col("j") * STRIDE).withColumnRenamed("j", "i")
@@ -170,7 +232,12 @@ def time_since_onset(spark, sf):
     return last.select("k", F.col("i").alias("j"), F.coalesce(F.col("g") - F.col("value").cast("long"), F.col("g") + 10 * HOUR).alias("since"))
 
 
-@query("q_recent_onset", f"{ONSETS}, d as (select unnest(range({FIRST}, {LAST + 1})) as j) select k, j, count(*) filter (onset) as onsets, max((onset and u >= j * {STRIDE}::bigint - {12 * HOUR}::bigint)::int) as recent from o join d on u between j * {STRIDE}::bigint - {WIDTH} and j * {STRIDE}::bigint group by all")
+@query(
+    "q_recent_onset",
+    f"{ONSETS}, d as (select unnest(range({FIRST}, {LAST + 1})) as j) "
+    f"select k, j, count(*) filter (onset) as onsets, max((onset and u >= j * {STRIDE}::bigint - {12 * HOUR}::bigint)::int) as recent "
+    f"from o join d on u between j * {STRIDE}::bigint - {WIDTH} and j * {STRIDE}::bigint group by all",
+)
 def recent_onset(spark, sf):
     rows = L.sliding(with_onsets(spark, sf), "u", WIDTH, STRIDE, FIRST, LAST)
     return rows.groupBy(*KJ).agg(F.count_if("onset").alias("onsets"), R.ever(F.col("onset") & (F.col("u") >= F.col("j") * STRIDE - 12 * HOUR)).alias("recent"))
@@ -198,18 +265,34 @@ def savgol(spark, sf):
     return smoothed_windows(spark, sf).select(*KJ, F.explode(F.arrays_zip("u", "s")).alias("z")).select(*KJ, F.col("z.u").alias("u"), F.col("z.s").alias("s"))
 
 
-@query("q_derivative_peak", f"with {WIN}, {SMOOTH}, r as (select k, j, n, abs(lead(s) over (partition by k, j order by i) - s) / 0.05 as x from sm) select k, j, max(x) as top, quantile_cont(x, 0.95) as p95 from r where n >= 5 group by all", "k j")
+@query(
+    "q_derivative_peak",
+    f"with {WIN}, {SMOOTH}, r as (select k, j, n, abs(lead(s) over (partition by k, j order by i) - s) / 0.05 as x from sm) "
+    "select k, j, max(x) as top, quantile_cont(x, 0.95) as p95 from r where n >= 5 group by all",
+    "k j",
+)
 def derivative_peak(spark, sf):
     rows = smoothed_windows(spark, sf).select(*KJ, F.explode(L.step_rates(F.col("s"), 0.05)).alias("x"))
     return rows.groupBy(*KJ).agg(F.max("x").alias("top"), R.quantile(F.col("x"), 0.95).alias("p95"))
 
 
-@query("q_sustained_switch", f"with {EV}, f as (select *, (v > 150)::int as f from ev), x as (select *, lag(f) over (partition by k order by u) as p, avg(f) over (partition by k order by u rows between 1 following and 3 following) as nx from f) select k, min(u) filter (p = 1 and f = 0 and nx < 0.5) as switch from x group by 1")
+@query(
+    "q_sustained_switch",
+    f"with {EV}, f as (select *, (v > 150)::int as f from ev), x as (select *, lag(f) over (partition by k "
+    "order by u) as p, avg(f) over (partition by k order by u rows between 1 following and 3 following) as nx from f) "
+    "select k, min(u) filter (p = 1 and f = 0 and nx < 0.5) as switch from x group by 1",
+)
 def sustained_switch(spark, sf):
     return L.sustained_switch(events(spark, sf), "k", "u", "id", F.col("v") > 150, 3, 0.5)
 
 
-@query("q_pre_post_rate", f"with {EV} select k, avg((e = 'view')::int::double) filter (u < {300 * HOUR}::bigint) as pre, avg((e = 'view')::int::double) filter (u > {400 * HOUR}::bigint) as post, avg((v > 100)::int::double) * 100 as percent from ev group by 1", "k")
+@query(
+    "q_pre_post_rate",
+    f"with {EV} select k, avg((e = 'view')::int::double) filter (u < {300 * HOUR}::bigint) as pre, "
+    f"avg((e = 'view')::int::double) filter (u > {400 * HOUR}::bigint) as post, avg((v > 100)::int::double) * 100 as percent from ev "
+    "group by 1",
+    "k",
+)
 def pre_post(spark, sf):
     hit = (F.col("e") == "view").cast("double")
     return events(spark, sf).groupBy("k").agg(F.avg(F.when(F.col("u") < 300 * HOUR, hit)).alias("pre"), F.avg(F.when(F.col("u") > 400 * HOUR, hit)).alias("post"), (R.rate(F.col("v") > 100) * 100).alias("percent"))

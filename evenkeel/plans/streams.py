@@ -9,7 +9,14 @@ from evenkeel import streaming as X
 from .base import query
 
 
-@query("q_stream_sliding", "select strftime(w, '%Y-%m-%d %H:%M:%S') as start, event_type, count(*) as n, sum(value) as total from (select *, unnest([time_bucket(interval '12 hours', ts), time_bucket(interval '12 hours', ts) - interval '12 hours']) as w from events) group by all", "start event_type n", 4)
+@query(
+    "q_stream_sliding",
+    "select strftime(w, '%Y-%m-%d %H:%M:%S') as start, event_type, count(*) as n, sum(value) as total "
+    "from (select *, unnest([time_bucket(interval '12 hours', ts), time_bucket(interval '12 hours', ts) - interval '12 hours']) as w "
+    "from events) group by all",
+    "start event_type n",
+    4,
+)
 def stream_sliding(spark, sf):
     rows = X.sliding_counts(X.read_table(spark, sf, "events"), F.col("ts"), "24 hours", "12 hours", "1 hour", ["event_type"])
     return X.drained(rows).select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n", "total")

@@ -39,12 +39,20 @@ def filter_interval(spark, sf):
     return events(spark, sf).where(F.col("u").between(36000000000, 360000000000)).select("id", "u")
 
 
-@query("q_clean_cast", "select doc_id, try_cast(regexp_extract(source, '[0-9]+') as double) as source_no, try_cast(lang as double) as lang_no from documents")
+@query(
+    "q_clean_cast",
+    "select doc_id, try_cast(regexp_extract(source, '[0-9]+') as double) as source_no, try_cast(lang as double) as lang_no "
+    "from documents",
+)
 def clean_cast(spark, sf):
     return table(spark, sf, "documents").select("doc_id", S.to_number(F.regexp_extract("source", "[0-9]+", 0)).alias("source_no"), S.to_number(F.col("lang")).alias("lang_no"))
 
 
-@query("q_bool_parse", "select doc_id, (lower(trim(lang)) in ('true', '1', '1.0', 'yes'))::double as lang_flag, (lower(trim((doc_id % 3)::varchar)) in ('true', '1', '1.0', 'yes'))::double as id_flag from documents")
+@query(
+    "q_bool_parse",
+    "select doc_id, (lower(trim(lang)) in ('true', '1', '1.0', 'yes'))::double as lang_flag, "
+    "(lower(trim((doc_id % 3)::varchar)) in ('true', '1', '1.0', 'yes'))::double as id_flag from documents",
+)
 def bool_parse(spark, sf):
     return table(spark, sf, "documents").select("doc_id", S.to_flag(F.col("lang")).alias("lang_flag"), S.to_flag(F.col("doc_id") % 3).alias("id_flag"))
 
@@ -77,7 +85,14 @@ def left_join_complete(spark, sf):
     return O.join_complete(table(spark, sf, "orders").select("o_orderkey", "o_custkey"), c, ["o_custkey"]).select("o_orderkey", "c_name", "c_mktsegment")
 
 
-@query("q_star_join", "select r_name, n_name, count(*) as n_orders, round(sum(o_totalprice), 2) as total from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey group by all", "r_name n_name n_orders", 2)
+@query(
+    "q_star_join",
+    "select r_name, n_name, count(*) as n_orders, round(sum(o_totalprice), 2) as total from orders "
+    "join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey "
+    "group by all",
+    "r_name n_name n_orders",
+    2,
+)
 def star_join(spark, sf):
     o, c, n, r = (table(spark, sf, x) for x in ("orders", "customer", "nation", "region"))
     rows = o.groupBy("o_custkey").agg(F.count("*").alias("n"), F.sum("o_totalprice").alias("s"))
@@ -135,7 +150,12 @@ def value_counts(spark, sf):
     return O.value_counts(table(spark, sf, "events"), "event_type")
 
 
-@query("q_freq_encode", "with f as (select p_brand, count(*)::double / sum(count(*)) over () as freq from part where p_partkey % 2 = 0 group by 1) select p_partkey, coalesce(freq, 0) as freq from part left join f using (p_brand) where p_partkey % 2 = 1", "p_partkey")
+@query(
+    "q_freq_encode",
+    "with f as (select p_brand, count(*)::double / sum(count(*)) over () as freq from part where p_partkey % 2 = 0 group by 1) "
+    "select p_partkey, coalesce(freq, 0) as freq from part left join f using (p_brand) where p_partkey % 2 = 1",
+    "p_partkey",
+)
 def freq_encode(spark, sf):
     p = table(spark, sf, "part")
     f = V.frequencies(p.where("p_partkey % 2 = 0"), "p_brand")
@@ -147,7 +167,11 @@ def distinct_counts(spark, sf):
     return table(spark, sf, "events").groupBy("event_type").agg(F.countDistinct("user_id").alias("users"), F.countDistinct("props").alias("kinds"))
 
 
-@query("q_facets_grouping_sets", "select 'p_brand' as facet, p_brand as value, count(*) as n from part group by p_brand union all select 'p_type', p_type, count(*) from part group by p_type union all select 'p_size', p_size::varchar, count(*) from part group by p_size")
+@query(
+    "q_facets_grouping_sets",
+    "select 'p_brand' as facet, p_brand as value, count(*) as n from part group by p_brand union all select 'p_type', p_type, count(*) "
+    "from part group by p_type union all select 'p_size', p_size::varchar, count(*) from part group by p_size",
+)
 def facets(spark, sf):
     return O.facets(table(spark, sf, "part"), ["p_brand", "p_type", "p_size"])
 
@@ -167,7 +191,11 @@ def topk(spark, sf):
     return O.value_counts(table(spark, sf, "part"), "p_brand").orderBy(F.desc("n"), "p_brand").limit(10)
 
 
-@query("q_limit_total", "select event_id, (select count(*) from events where event_type = 'error') as total from events where event_type = 'error' order by event_id limit 300")
+@query(
+    "q_limit_total",
+    "select event_id, (select count(*) from events where event_type = 'error') as total from events where event_type = 'error' "
+    "order by event_id limit 300",
+)
 def limit_total(spark, sf):
     e = table(spark, sf, "events")
     page, total = O.search(e.orderBy("event_id").select("event_id", "event_type"), event_type="error")
@@ -185,7 +213,10 @@ def seeded_sample(spark, sf):
     return table(spark, sf, "events").select("event_id").orderBy(key, "event_id").limit(100)
 
 
-@query("q_union_all", "select o_orderkey as id from orders where o_orderstatus = 'F' union all select o_orderkey from orders where o_totalprice > 400000")
+@query(
+    "q_union_all",
+    "select o_orderkey as id from orders where o_orderstatus = 'F' union all select o_orderkey from orders where o_totalprice > 400000",
+)
 def union_all(spark, sf):
     o = table(spark, sf, "orders")
     return o.where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("id")).unionByName(o.where("o_totalprice > 400000").select(F.col("o_orderkey").alias("id")))
@@ -212,12 +243,22 @@ def duplicates(spark, sf):
     return O.duplicates(table(spark, sf, "part"), ["p_name", "p_brand"])
 
 
-@query("q_unpivot_metrics", "unpivot (select l_returnflag, avg(l_quantity) as quantity, avg(l_discount) as discount from lineitem group by 1) on quantity, discount into name metric value value", "l_returnflag metric")
+@query(
+    "q_unpivot_metrics",
+    "unpivot (select l_returnflag, avg(l_quantity) as quantity, avg(l_discount) as discount from lineitem "
+    "group by 1) on quantity, discount into name metric value value",
+    "l_returnflag metric",
+)
 def unpivot_metrics(spark, sf):
     return table(spark, sf, "lineitem").groupBy("l_returnflag").agg(F.avg("l_quantity").alias("quantity"), F.avg("l_discount").alias("discount")).unpivot("l_returnflag", ["quantity", "discount"], "metric", "value")
 
 
-@query("q_pivot_metrics", "select l_returnflag, avg(l_quantity) filter (l_linestatus = 'F') as \"F\", avg(l_quantity) filter (l_linestatus = 'O') as \"O\" from lineitem group by 1", "l_returnflag")
+@query(
+    "q_pivot_metrics",
+    "select l_returnflag, avg(l_quantity) filter (l_linestatus = 'F') as \"F\", avg(l_quantity) filter (l_linestatus = 'O') as \"O\" "
+    "from lineitem group by 1",
+    "l_returnflag",
+)
 def pivot_metrics(spark, sf):
     return table(spark, sf, "lineitem").groupBy("l_returnflag").pivot("l_linestatus", ["F", "O"]).agg(F.avg("l_quantity"))
 
@@ -235,7 +276,11 @@ def arrays_roundtrip(spark, sf):
     return rows.select("user_id", F.explode(F.arrays_zip("ids", "values")).alias("z")).select("user_id", F.col("z.ids").alias("event_id"), F.col("z.values").alias("value"))
 
 
-@query("q_decimate", "select l_orderkey, l_linenumber, l_suppkey from (select *, row_number() over (partition by l_suppkey order by l_orderkey, l_linenumber, l_partkey, l_extendedprice) as n from lineitem) where (n - 1) % 4 = 0")
+@query(
+    "q_decimate",
+    "select l_orderkey, l_linenumber, l_suppkey from (select *, row_number() over (partition by l_suppkey "
+    "order by l_orderkey, l_linenumber, l_partkey, l_extendedprice) as n from lineitem) where (n - 1) % 4 = 0",
+)
 def decimate(spark, sf):
     from evenkeel.operators.timeline import every_kth
 
@@ -280,7 +325,13 @@ def boxes(spark, sf):
     return table(spark, sf, "embeddings").select("vec_id", "label", F.struct(F.least(e(0), e(2)).alias("x1"), F.least(e(1), e(3)).alias("y1"), F.greatest(e(0), e(2)).alias("x2"), F.greatest(e(1), e(3)).alias("y2")).alias("box"), e(4).alias("cx"), e(5).alias("cy"))
 
 
-@query("q_box_grid", f"with b as ({BOXES}) select label, (case when cy < 1.0::double/3 then 0 when cy < 2.0::double/3 then 1 else 2 end) * 3 + (case when cx < 1.0::double/3 then 0 when cx < 2.0::double/3 then 1 else 2 end) as cell, count(*) as n, sum((x2 - x1) * (y2 - y1)) as area from b group by all", "label cell n")
+@query(
+    "q_box_grid",
+    f"with b as ({BOXES}) select label, (case when cy < 1.0::double/3 then 0 when cy < 2.0::double/3 then 1 else 2 end) * 3 + (case "
+    "when cx < 1.0::double/3 then 0 when cx < 2.0::double/3 then 1 else 2 end) as cell, count(*) as n, "
+    "sum((x2 - x1) * (y2 - y1)) as area from b group by all",
+    "label cell n",
+)
 def box_grid(spark, sf):
     return boxes(spark, sf).groupBy("label", S.grid_cell(F.col("cx"), F.col("cy")).alias("cell")).agg(F.count("*").alias("n"), F.sum(S.box_area(F.col("box"))).alias("area"))
 
@@ -296,7 +347,10 @@ def iou(spark, sf):
     return b.join(b.select((F.col("vec_id") - 1).alias("vec_id"), F.col("box").alias("other")), "vec_id").select("vec_id", S.overlap_ratio(F.col("box"), F.col("other")).alias("iou"))
 
 
-@query("q_largest_box", f"with b as ({BOXES}) select label, arg_min(vec_id, {{'a': -((x2 - x1) * (y2 - y1)), 'b': vec_id}}) as vec_id from b group by 1")
+@query(
+    "q_largest_box",
+    f"with b as ({BOXES}) select label, arg_min(vec_id, {{'a': -((x2 - x1) * (y2 - y1)), 'b': vec_id}}) as vec_id from b group by 1",
+)
 def largest_box(spark, sf):
     b = boxes(spark, sf).groupBy("label").agg(F.min(F.struct((-S.box_area(F.col("box"))).alias("a"), F.col("vec_id").alias("v"))).alias("least"))
     return b.select("label", F.col("least.v").alias("vec_id"))
@@ -324,7 +378,11 @@ def carried_lead(spark, sf):
     return frames.carried_leads(rows, "label", "vec_id", "boxes").select("vec_id", "lead.*")
 
 
-@query("q_label_order", "select label, row_number() over (order by case label when 'view' then 1 when 'click' then 2 else 3 end, label) as place from (select distinct event_type as label from events)")
+@query(
+    "q_label_order",
+    "select label, row_number() over (order by case label when 'view' then 1 when 'click' then 2 else 3 end, label) as place "
+    "from (select distinct event_type as label from events)",
+)
 def label_order(spark, sf):
     rows = table(spark, sf, "events").select(F.col("event_type").alias("label")).distinct()
     return rows.withColumn("place", F.row_number().over(Window.orderBy(*S.label_order(F.col("label"), ["view", "click"]))).cast("long"))
