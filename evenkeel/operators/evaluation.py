@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from hashlib import md5
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def greedy_split(sizes: Iterable[tuple[object, int]], fractions: dict[str, float]) -> dict[object, str]:
-    """Largest group first, each to the part that is least filled against its target; ties by the parts' order, then by group."""
-    sizes = sorted(sizes, key=lambda x: (-x[1], str(x[0])))
+def greedy_split(sizes: Iterable[tuple[object, int]], fractions: dict[str, float], seed: int | None = None) -> dict[object, str]:
+    """Largest group first, each to the part that is least filled against its target; ties by the parts' order, then by group.
+
+    With a seed, groups of one size come in an order that it decides.
+    """
+    tie = (lambda g: str(g)) if seed is None else lambda g: md5(f"{seed}:{g}".encode()).hexdigest()
+    sizes = sorted(sizes, key=lambda x: (-x[1], tie(x[0])))
     total = sum(n for _, n in sizes)
     filled = dict.fromkeys(fractions, 0)
     out = {}
@@ -21,10 +26,10 @@ def greedy_split(sizes: Iterable[tuple[object, int]], fractions: dict[str, float
     return out
 
 
-def assign_groups(df: DataFrame, group: str, fractions: dict[str, float]) -> DataFrame:
+def assign_groups(df: DataFrame, group: str, fractions: dict[str, float], seed: int | None = None) -> DataFrame:
     """(group, split, n_rows). The greedy order is sequential, so the group sizes, one number a group, go to the driver."""
     sizes = {r[0]: r[1] for r in df.where(F.col(group).isNotNull()).groupBy(group).count().collect()}
-    split = greedy_split(sizes.items(), fractions)
+    split = greedy_split(sizes.items(), fractions, seed)
     kind = df.schema[group].dataType.simpleString()
     return df.sparkSession.createDataFrame([(g, split[g], n) for g, n in sizes.items()], f"{group} {kind}, split string, n_rows long")
 

@@ -186,6 +186,12 @@ def predict_one(df: DataFrame, key: dict, features: Features, target: str, model
     return out
 
 
+def status(assignment: DataFrame) -> dict:
+    """Which models there are, and how many groups and rows each split has."""
+    rows = assignment.groupBy("split").agg(F.count("*").alias("groups"), F.sum("n_rows").alias("rows")).collect()
+    return {"models": sorted(V.MODELS), "splits": {r["split"]: {"groups": r["groups"], "rows": r["rows"]} for r in rows}}
+
+
 def split_summary(df: DataFrame, assignment: DataFrame, group: str, target: str) -> DataFrame:
     """(split, n_groups, n_rows, row_share, class, n, class_share) of a split's rows, class by class."""
     rows = df.join(assignment.select(group, "split"), group)
