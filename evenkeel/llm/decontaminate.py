@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, Scratch, WordIds, column, durable, mixed, shingles, table
+from .common import U64, Scratch, WordIds, column, durable, mixed, parts_by_bytes, shingles, table
 
 WORDS, SIMILAR = 5, 0.8
 #: Fingerprints of windows that are 0.8 alike differ in 10 of 64 bits, give or take 3.
@@ -28,7 +28,7 @@ BLOCK_BITS = 64 // BLOCKS
 #: What a value of a block is changed by to reach all values within RADIUS // BLOCKS bits.
 NEAR = np.array([sum(1 << b for b in c) for r in range(RADIUS // BLOCKS + 1) for c in combinations(range(BLOCK_BITS), r)], np.int64)
 #: Bits of the filter for each shingle of the benchmark, and at least and at most altogether.
-BITS, LEAST_BITS, MOST_BITS = 32, 1 << 18, 1 << 28
+BITS, LEAST_BITS, MOST_BITS = 256, 1 << 18, 1 << 28
 EDGES = b".,;:!?\"'()[]{}*#%$&|-_<>/\\"
 
 
@@ -66,7 +66,15 @@ def fingerprint(grams: np.ndarray) -> int:
 
 def places(grams: np.ndarray, size: int, bits: int) -> np.ndarray:
     """Where the filter has shingles of items with so many words; 0: of any item."""
-    return (mixed(grams + U64(size) * U64(0x9E3779B97F4A7C15)) % U64(bits)).astype(np.int64)
+    if size:
+        grams = mixed(grams + U64(size * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
+    return (grams & U64(bits - 1)).astype(np.int64)
+
+
+def known(grams: np.ndarray, size: int, seen: np.ndarray) -> np.ndarray:
+    """Which of the shingles the filter has."""
+    at = places(grams, size, 8 * len(seen))
+    return np.flatnonzero(seen[at >> 3] >> (at & 7).astype(np.uint8) & 1)
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -111,11 +119,10 @@ def shingle_filter(items: DataFrame) -> tuple[np.ndarray, list[int]]:
 
     at = items.select("size", "grams").mapInArrow(run, "at long")
     at = at.groupBy(F.expr("bitmap_bucket_number(at)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(at))").alias("bits"))
-    out = np.zeros(bits, bool)
+    out = np.zeros(bits // 8, np.uint8)
     for r in at.collect():
-        part = np.unpackbits(np.frombuffer(r.bits, np.uint8), bitorder="little")
-        begin = (r.bucket - 1) * len(part)
-        out[begin : begin + len(part)] = part[: bits - begin]
+        begin = (r.bucket - 1) * len(r.bits)
+        out[begin : begin + len(r.bits)] = np.frombuffer(r.bits, np.uint8)[: len(out) - begin]
     return out, sorted(r.size for r in items.select("size").distinct().collect())
 
 
@@ -125,14 +132,14 @@ def windows_of(words: np.ndarray, seen: np.ndarray, sizes: list[int]):
     for k in sorted({min(WORDS, s) for s in sizes}):
         # a text shorter than a shingle is a window of its own
         grams = shingles(words, k)
-        inside = np.flatnonzero(seen[places(grams, 0, len(seen))])
+        inside = known(grams, 0, seen)
         if not len(inside):
             continue
         for size in (s for s in sizes if min(WORDS, s) == k):
             whole = size - k + 1
             if len(inside) < SIMILAR * whole:
                 continue
-            mine = inside[seen[places(grams[inside], size, len(seen))]]
+            mine = inside[known(grams[inside], size, seen)]
             if len(mine) < SIMILAR * whole:
                 continue
             # at either end of the text a window may hang over
@@ -152,14 +159,14 @@ def windows_of(words: np.ndarray, seen: np.ndarray, sizes: list[int]):
 
 def windows(docs: DataFrame, seen: np.ndarray, sizes: list[int]) -> DataFrame:
     """(row, doc_id, key, size, first, n, mark, grams) of the documents' windows; row tells documents apart."""
-    known = docs.sparkSession.sparkContext.broadcast((seen, sizes))
+    held = docs.sparkSession.sparkContext.broadcast((seen, sizes))
 
     def run(batches):
         ids = PlainWords()
-        for batch in batches:
+        for batch in (part for whole in batches for part in parts_by_bytes(whole)):
             out = []
             for row, doc_id, key, text in zip(*(column(batch, c) for c in ("row", "doc_id", "key", "text"))):
-                for w in windows_of(word_ids(text, ids), *known.value):
+                for w in windows_of(word_ids(text, ids), *held.value):
                     out.append((row, doc_id, key, *w))
                     if len(out) >= 5000:
                         yield as_batch(out)
@@ -191,15 +198,15 @@ def index(items: DataFrame) -> DataFrame:
     return items.select("item", "size", "mark").mapInArrow(run, "size int, block int, value long, item long, other long")
 
 
-def near_items(found: DataFrame, items: DataFrame) -> DataFrame:
-    """(row, size, first, n, item) of the windows and items whose fingerprints are within RADIUS."""
+def near_items(found: DataFrame, listed: DataFrame) -> DataFrame:
+    """(row, size, first, n, item) of the windows, and items of an index(), whose fingerprints are within RADIUS."""
     blocks = F.array(*[F.expr(f"shiftright(mark, {BLOCK_BITS * k}) & {(1 << BLOCK_BITS) - 1}") for k in range(BLOCKS)])
     looked = found.select("row", "size", "first", "n", "mark", F.posexplode(blocks).alias("block", "value"))
-    met = looked.join(index(items), ["size", "block", "value"]).where(F.expr(f"bit_count(mark ^ other) <= {RADIUS}"))
+    met = looked.join(listed, ["size", "block", "value"]).where(F.expr(f"bit_count(mark ^ other) <= {RADIUS}"))
     return met.select("row", "size", "first", "n", "item").distinct()
 
 
-def alike(found: DataFrame, items: DataFrame) -> DataFrame:
+def alike(found: DataFrame, items: DataFrame, scratch: Scratch) -> DataFrame:
     """(row, doc_id, key, item_id, first_word, n_words, similarity) of the windows that are similar enough to an item."""
     kinds = "row long, doc_id long, key long, item_id long, first_word int, n_words int, similarity double"
 
@@ -209,7 +216,9 @@ def alike(found: DataFrame, items: DataFrame) -> DataFrame:
             keep = pa.array(np.array(near, np.float64) >= SIMILAR, pa.bool_())
             yield pa.record_batch([*batch.columns[:6], pa.array(near, pa.float64())], names=["row", "doc_id", "key", "item_id", "first_word", "n_words", "similarity"]).filter(keep)
 
-    pairs = near_items(found, items).join(found.select("row", "size", "first", "n", "doc_id", "key", "grams"), ["row", "size", "first", "n"])
+    # written, so that Spark knows its size before it picks a join
+    listed = scratch.write(index(items))
+    pairs = near_items(found, listed).join(found.select("row", "size", "first", "n", "doc_id", "key", "grams"), ["row", "size", "first", "n"])
     pairs = pairs.join(items.select("item", "item_id", F.col("grams").alias("theirs")), "item")
     return pairs.select("row", "doc_id", "key", "item_id", "first", "n", "grams", "theirs").mapInArrow(run, kinds)
 
@@ -218,7 +227,7 @@ def leaking(docs: DataFrame, items: DataFrame, scratch: Scratch) -> DataFrame:
     prepared = fingerprinted(items).withColumn("item", F.monotonically_increasing_id())
     items = scratch.write(prepared)
     found = scratch.write(windows(docs, *shingle_filter(items)))
-    return alike(found, items)
+    return alike(found, items, scratch)
 
 
 def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:

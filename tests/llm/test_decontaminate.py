@@ -60,7 +60,7 @@ def test_index_finds_all_within_radius_and_few_others(spark):
         probes.append((k, 40, 0, 40, mark))
         want |= {(k, x.item) for x in rows if bin((x.mark ^ mark) & (1 << 64) - 1).count("1") <= d.RADIUS}
     found = spark.createDataFrame(probes, "row long, size int, first int, n int, mark long")
-    assert {(r.row, r.item) for r in d.near_items(found, items).collect()} == want
+    assert {(r.row, r.item) for r in d.near_items(found, d.index(items)).collect()} == want
     # what the index offers, before the distance is looked at, is a small share of all pairs
     blocks = [(k, b, mark >> 16 * b & 0xFFFF) for k, _, _, _, mark in probes for b in range(d.BLOCKS)]
     near = set(d.NEAR.tolist())
