@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column, held_out, sampled, table
+from .common import column, held_out, parts_by_bytes, sampled, table
 
 #: Labelled rows that the densities are fitted to, at most (about; taken by a hash of the id).
 SAMPLE = 20_000
@@ -92,7 +92,7 @@ def labelled_ids(labels: DataFrame, label: str, folds: int, fold: int, most: int
 
 def with_statistics(docs: DataFrame) -> DataFrame:
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in parts_by_bytes(whole)):
             rows = [statistics(t) for t in column(batch, "text")]
             x = pa.FixedSizeListArray.from_arrays(pa.array(np.array(rows, float).ravel()), len(STATISTICS)) if rows else pa.array([], pa.list_(pa.float64()))
             yield pa.record_batch([batch.column(0), x.cast(pa.list_(pa.float64()))], names=["doc_id", "x"])
@@ -122,7 +122,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, fold:
     model = docs.sparkSession.sparkContext.broadcast(fitted(docs, labels, folds, fold, most))
 
     def whole(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in parts_by_bytes(whole)):
             rows = [statistics(t) for t in column(batch, "text")]
             yield pa.record_batch([batch.column(0), pa.array(model.value.score(np.array(rows, float).reshape(-1, len(STATISTICS))))], names=["doc_id", "score"])
 
@@ -139,7 +139,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = spark.sparkContext.broadcast(fitted(docs, table(spark, sf_dir, "labels")))
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in parts_by_bytes(whole)):
             x = np.array([statistics(t) for t in column(batch, "text")], float).reshape(-1, len(STATISTICS))
             yield batch.filter(pa.array(model.value.score(x) >= CUT))
 
