@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, column, durable, table
+from .common import Scratch, column, durable, parts_by_bytes, table
 
 #: Words that a repeated run must have to be deleted.
 MIN_WORDS = 5
@@ -20,7 +20,7 @@ def line_rows(docs: DataFrame) -> DataFrame:
     """(doc, h, at, i, line, words): the lines with a word, their place among all lines and among these."""
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in parts_by_bytes(whole)):
             out = []
             for doc, h, text in zip(column(batch, "doc"), column(batch, "h"), column(batch, "text")):
                 i = 0
@@ -35,10 +35,11 @@ def line_rows(docs: DataFrame) -> DataFrame:
     return docs.select("doc", "h", "text").mapInArrow(run, "doc long, h long, at int, i int, line long, words int")
 
 
-def ranked(keyed: DataFrame, keys: list[str], scratch: Scratch) -> DataFrame:
-    """(keys, rank, first) of the keys that more than one row has: their place in the keys' order, and their first row."""
+def ranked(keyed: DataFrame, keys: list[str], scratch: Scratch, in_order: bool = True) -> DataFrame:
+    """(keys, rank, first) of the keys that more than one row has: their place in the keys' order (or else any number of their own), and their first row."""
     groups = keyed.groupBy(*keys).agg(F.count("*").alias("members"), F.min(F.struct(*PLACE)).alias("first")).where("members > 1")
-    return scratch.write(groups.orderBy(*keys).select(*keys, F.monotonically_increasing_id().alias("rank"), "first"), "groups")
+    groups = groups.orderBy(*keys) if in_order else groups
+    return scratch.write(groups.select(*keys, F.monotonically_increasing_id().alias("rank"), "first"), "groups")
 
 
 def doubled(lines: DataFrame, scratch: Scratch) -> list[DataFrame]:
@@ -61,8 +62,15 @@ def doubled(lines: DataFrame, scratch: Scratch) -> list[DataFrame]:
         keyed, keys = scratch.write(level.join(ahead, PLACE).select(*PLACE, F.col("rank").alias("one"), "two"), "pairs"), ["one", "two"]
 
 
-def longest_matches(levels: list[DataFrame], scratch: Scratch) -> DataFrame:
-    """(doc, h, i, n): how many lines of each suffix are the longest that an earlier suffix begins with, too; n > 1.
+def deepest(levels: list[DataFrame], k: int) -> DataFrame:
+    """The suffixes of a level that are no later copy twice as deep."""
+    if k + 1 == len(levels):
+        return levels[k]
+    return levels[k].join(levels[k + 1].where("later").select(*PLACE), PLACE, "left_anti")
+
+
+def longest_matches(levels: list[DataFrame], top: int, scratch: Scratch) -> DataFrame | None:
+    """(doc, h, i, n): how many lines of a suffix are the longest that an earlier suffix begins with, too; 1 < n < 2^top.
 
     That is the depth of the deepest LCP interval in which the suffix isn't the first. Suffixes that
     are no later copy 2^(k + 1) lines deep are compared in steps of 2^(k - 1), ..., 2, 1 lines: those
@@ -71,17 +79,14 @@ def longest_matches(levels: list[DataFrame], scratch: Scratch) -> DataFrame:
     are compared with (own = false).
     """
     state = None
-    for j in range(len(levels) - 2, -1, -1):
+    for j in range(min(top, len(levels)) - 2, -1, -1):
         # from here on, suffixes whose longest match has 2^(j + 1) lines or more, but fewer than 2^(j + 2)
-        new = levels[j + 1]
-        if j + 2 < len(levels):
-            new = new.join(levels[j + 2].where("later").select(*PLACE), PLACE, "left_anti")
-        new = new.select(*PLACE, F.col("rank").alias("of"), F.lit(2 << j).alias("n"), F.col("later").alias("own"))
+        new = deepest(levels, j + 1).select(*PLACE, F.col("rank").alias("of"), F.lit(2 << j).alias("n"), F.col("later").alias("own"))
         state = new if state is None else state.unionByName(new)
         ahead = levels[j].select("doc", "h", F.col("i").alias("at"), F.col("rank").alias("next"))
         tried = state.withColumn("at", F.col("i") + F.col("n")).join(ahead, ["doc", "h", "at"], "left").drop("at")
         tried = scratch.write(tried, "tried")
-        groups = ranked(tried.where("next is not null"), ["n", "of", "next"], scratch)
+        groups = ranked(tried.where("next is not null"), ["n", "of", "next"], scratch, in_order=False)
         met = tried.join(groups, ["n", "of", "next"], "left")
         ends = F.col("first").isNull() | (F.struct(*PLACE) == F.col("first"))
         stay = F.when(ends, F.struct("of", "n", "own"))
@@ -92,27 +97,32 @@ def longest_matches(levels: list[DataFrame], scratch: Scratch) -> DataFrame:
 
 
 def repeated_runs(lines: DataFrame, min_words: int, scratch: Scratch) -> DataFrame:
-    """(doc, h, i, n): from line i on, the n lines that are the longest run an earlier place has, too."""
+    """(doc, h, i, n): runs of n lines from line i on that an earlier place has, too, and that together make up the longest ones.
+
+    Where a match is so deep that its lines have min_words words whatever they are, the suffix's run is
+    as long as its deepest rank says; the rest of the match belongs to the runs of the suffixes that
+    begin inside it. Shorter matches are followed to their exact length, since their words count.
+    """
     levels = doubled(lines, scratch)
-    if not levels:
-        return lines.where("false").select(*PLACE, F.lit(1).alias("n"))
-    single = levels[0].where("later")
-    if len(levels) > 1:
-        single = single.join(levels[1].where("later").select(*PLACE), PLACE, "left_anti")
-    # a run of one line that hasn't the words is none; longer runs are counted where their text is
-    runs = single.join(lines.where(F.col("words") >= min_words).select(*PLACE), PLACE).select(*PLACE, F.lit(1).alias("n"))
-    longer = longest_matches(levels, scratch)
+    top = max(min_words - 1, 0).bit_length()
+    runs = lines.where("false").select(*PLACE, F.lit(1).alias("n"))
+    for k in range(top, len(levels)):
+        runs = runs.unionByName(deepest(levels, k).where("later").select(*PLACE, F.lit(1 << k).alias("n")))
+    if levels and top:
+        # a run of one line that hasn't the words is none; longer ones are counted where their text is
+        single = deepest(levels, 0).where("later").join(lines.where(F.col("words") >= min_words).select(*PLACE), PLACE)
+        runs = runs.unionByName(single.select(*PLACE, F.lit(1).alias("n")))
+    longer = longest_matches(levels, top, scratch)
     return runs if longer is None else runs.unionByName(longer)
 
 
-def cut(text: str, starts: list[int], sizes: list[int], min_words: int) -> tuple[str, int]:
+def cut(text: str, starts: np.ndarray, sizes: np.ndarray, min_words: int) -> tuple[str, int]:
     """The text less the runs (in lines with a word) that have min_words words, and how many lines that is."""
     lines = text.split("\n")
     words = np.array([len(x.split()) for x in lines])
     worded = np.flatnonzero(words)
     upto = np.r_[0, np.cumsum(words[worded])]
-    a = np.array(starts)
-    b = a + np.array(sizes)
+    a, b = starts, starts + sizes
     enough = upto[b] - upto[a] >= min_words
     step = np.bincount(a[enough], minlength=len(upto)) - np.bincount(b[enough], minlength=len(upto))
     gone = set(worded[np.cumsum(step)[:-1] > 0].tolist())
@@ -136,17 +146,21 @@ def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     lines = scratch.write(line_rows(keyed).dropDuplicates(PLACE))
     runs = repeated_runs(lines, min_words, scratch)
     # no more runs for a document than it has lines
-    gone = durable(runs.groupBy(*AT).agg(F.collect_list(F.struct("i", "n")).alias("gone")))
+    gone = durable(runs.groupBy(*AT).agg(F.collect_list("i").alias("starts"), F.collect_list("n").alias("sizes")))
     scratch.close()
 
     @F.arrow_udf("text string, removed int")
-    def less(text: pa.Array, gone: pa.Array) -> pa.Array:
-        out = [None if t is None else dict(zip(("text", "removed"), cut(t, [r["i"] for r in g], [r["n"] for r in g], min_words))) for t, g in zip(text.to_pylist(), gone.to_pylist())]
-        return pa.array(out, pa.struct([("text", pa.string()), ("removed", pa.int32())]))
-
+    def less(text: pa.Array, starts: pa.Array, sizes: pa.Array) -> pa.Array:
+        (a, x), (b, y) = ((c.offsets.to_numpy(), c.values.to_numpy()) for c in (starts, sizes))
+        out = [None if t is None else cut(t, x[a[k] : a[k + 1]], y[b[k] : b[k + 1]], min_words) for k, t in enumerate(text.to_pylist())]
+        texts, removed = pa.array([r and r[0] for r in out], pa.string()), pa.array([r and r[1] for r in out], pa.int32())
+        return pa.StructArray.from_arrays([texts, removed], ["text", "removed"])
+
+    # else the optimizer would have it done once for each use of its result
+    less = less.asNondeterministic()
     whole = docs.select(F.struct(*names).alias("row"), doc.alias("doc"), F.xxhash64("text").alias("h")).join(gone, AT, "left")
     # texts without a run don't go to Python
-    whole = whole.select("row", less(F.when(F.col("gone").isNotNull(), F.col("row.text")), "gone").alias("new"))
+    whole = whole.select("row", less(F.when(F.col("starts").isNotNull(), F.col("row.text")), "starts", "sizes").alias("new"))
     out = [F.coalesce("new.text", "row.text").alias("text") if c == "text" else F.col("row").getField(c).alias(c) for c in names if c != "removed"]
     return whole.select(*out, F.coalesce("new.removed", F.lit(0)).alias("removed"))
 
