@@ -169,10 +169,10 @@ def column_counts(sets: DataFrame) -> np.ndarray:
     return summed(sets.where("row is not null").select("row"), SLOTS, add)
 
 
-def needed_rows(sets: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, n, row) of the given ids, each once.
+def those(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """rows (id, n, row) less most of those that aren't of the given ids: rows whose id has a slot that no given id has.
 
-    Before rows are moved, those whose id has a slot that no given id has are left where they are.
+    Rows are wide, so they are left where they are rather than moved to a join that drops them.
     """
 
     def add(batches):
@@ -181,14 +181,19 @@ def needed_rows(sets: DataFrame, ids: DataFrame) -> DataFrame:
             total += np.bincount(slots(mixed(batch.column(0).to_numpy().view(U64))), minlength=SLOTS)
         return total
 
-    some = sets.sparkSession.sparkContext.broadcast(summed(ids.select("id"), SLOTS, add) > 0)
+    some = rows.sparkSession.sparkContext.broadcast(summed(ids.select("id"), SLOTS, add) > 0)
 
     def run(batches):
         for batch in batches:
             yield batch.filter(pa.array(some.value[slots(mixed(batch.column(0).to_numpy().view(U64)))]))
 
-    rows = sets.where("row is not null").select("id", "n", "row").mapInArrow(run, "id long, n long, row binary")
-    return rows.join(ids, "id", "left_semi").groupBy("id").agg(F.first("n").alias("n"), F.first("row").alias("row"))
+    return rows.select("id", "n", "row").mapInArrow(run, "id long, n long, row binary")
+
+
+def needed_rows(sets: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, n, row) of the given ids, each once."""
+    rows = those(sets.where("row is not null"), ids).join(ids, "id", "left_semi")
+    return rows.groupBy("id").agg(F.first("n").alias("n"), F.first("row").alias("row"))
 
 
 def columns(sets: DataFrame, order, bound: Bound, often: bool) -> DataFrame:
@@ -257,15 +262,18 @@ def multiplied(gram: np.ndarray, ids: np.ndarray, x: np.ndarray, bound: Bound, b
             yield pa.record_batch([pa.nulls(len(a), pa.int64()), *(pa.array(c) for c in (ids[a], ids[b], x[a], x[b]))], names=names)
 
 
-def linked_pairs(pairs: DataFrame, rows: DataFrame, bound: Bound, scratch: Scratch) -> DataFrame:
+def linked_pairs(pairs: DataFrame, rows: DataFrame, bound: Bound, scratch: Scratch, few: bool = False) -> DataFrame:
     """Of the pairs (a, b), those within the threshold by the product of their whole rows.
 
-    A row is multiplied with PARTNERS others at a time, and moved once for these.
+    A row is multiplied with PARTNERS others at a time, and moved once for these. few: whether the
+    pairs have far fewer rows than there are, so that the others had better stay where they are.
     """
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     many = pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("blocks"))
     dealt = scratch.write(pairs.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), "blocks").alias("block")), "dealt")
     wanted = dealt.select("a", "block", F.col("a").alias("id")).distinct().unionByName(dealt.select("a", "block", F.col("b").alias("id")))
+    if few:
+        rows = those(rows, wanted.select("id").distinct())
     wanted = wanted.join(rows, "id").select("a", "block", (F.col("id") != F.col("a")).alias("other"), "id", "row")
     wanted = wanted.repartition(parts, "a", "block").sortWithinPartitions("a", "block", "other")
 
@@ -341,7 +349,7 @@ def links_of_large_columns(big: DataFrame, linked: DataFrame, tried: DataFrame,
             found = tiles.mapInArrow(lambda x: tile_pairs(x, bound), "a long, b long").distinct()
         found = scratch.write(found.join(tried, ["a", "b"], "left_anti"))
         tried = tried.unionByName(found)
-        linked = linked.unionByName(scratch.write(linked_pairs(found, rows, bound, scratch)))
+        linked = linked.unionByName(scratch.write(linked_pairs(found, rows, bound, scratch, few=True)))
         if last:
             break
     return linked
@@ -398,7 +406,7 @@ def link_counts(parted: DataFrame, times: DataFrame, rows: DataFrame, bound: Bou
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     each = scratch.write(parted.join(rows.select("id", "n"), "id").join(times, "id"), "each")
     sizes = each.groupBy("component").agg(F.ceil(F.greatest(F.count("*") / PRODUCT, F.sum("n") / PRODUCT_GRAMS)).cast("int").alias("tiles"))
-    tiles = scratch.write(each.join(sizes, "component"), "tiles").join(rows.select("id", "row"), "id")
+    tiles = scratch.write(each.join(sizes, "component"), "tiles").join(those(rows, each).select("id", "row"), "id")
     tiles = tiles.withColumn("at", F.pmod(F.xxhash64("id"), "tiles").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     tiles = tiles.select("component", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"), "at", "id", "times", "n", "row")
     tiles = tiles.repartition(parts, "component", "i", "j").sortWithinPartitions("component", "i", "j")
