@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import bisect
+import os
 import re
 import uuid
 from array import array
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +19,7 @@ from .common import Scratch, column, durable, parts_by_bytes, table
 
 TOKENIZER_A, TOKENIZER_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Distinct pairs that a task counts before it hands its counts on; bytes of segments that a task remembers (twice, see pieces).
-PARTIAL, REMEMBERED, LONG = 1 << 20, 48 << 20, 1 << 10
+PARTIAL, REMEMBERED, LONG = 1 << 20, 40 << 20, 1 << 10
 #: Bytes of count shards that a task holds where their store can't be mapped into memory.
 SHARD_BYTES = 256 << 20
 #: Characters of the property White_Space.
@@ -36,6 +38,9 @@ class Tokenizers:
 
     def __init__(self, path_a: str, path_b: str):
         import sentencepiece
+
+        # Spark deals the work out; threads of its own would only hold memory
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.a = Tokenizer.from_file(path_a)
@@ -80,12 +85,13 @@ class Tokenizers:
                     here[s] = known
                     self.remember(s, known)
         if fresh:
-            all_a = self.a.encode_batch(fresh, add_special_tokens=False)
-            # a line feed in front stops the space mark that tokenizing would put before the segment
-            all_b = self.b.encode(["\n" + s for s in fresh], num_threads=1)
-            for s, a, b in zip(fresh, all_a, all_b):
-                here[s] = found = array("i", a.ids).tobytes(), array("i", b[self.base :]).tobytes()
-                self.remember(s, found)
+            for start in range(0, len(fresh), 1000):
+                some = fresh[start : start + 1000]
+                # a line feed in front stops the space mark that tokenizing would put before the segment
+                all_b = self.b.encode(["\n" + s for s in some], num_threads=1)
+                for s, a, b in zip(some, self.a.encode_batch(some, add_special_tokens=False), all_b):
+                    here[s] = found = array("i", a.ids).tobytes(), array("i", b[self.base :]).tobytes()
+                    self.remember(s, found)
         out = []
         for segments in cut:
             found = [here[s] for s in segments]
@@ -150,6 +156,12 @@ class Aligner:
         return numbers, [g[:-1] for g in groups.to_pylist()], pair_ends, keys & (1 << bits) - 1, times
 
 
+@lru_cache(maxsize=1)
+def one_aligner(path_a: str, path_b: str) -> Aligner:
+    """One for all tasks of a worker process."""
+    return Aligner(path_a, path_b)
+
+
 def align(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     """Groups and links of each document, by the library's own tokens.
 
@@ -162,9 +174,9 @@ def align(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     """
 
     def run(batches):
-        aligner = Aligner(path_a, path_b)
+        aligner = one_aligner(path_a, path_b)
         for whole in batches:
-            for batch in parts_by_bytes(whole):
+            for batch in parts_by_bytes(whole, most=1 << 18):
                 numbers, groups, ends, pairs, times = aligner.batch(column(batch, "text"))
                 at = pa.array(np.concatenate([[0], ends]), pa.int32())
                 lists = [pa.ListArray.from_arrays(at, pa.array(x, t)) for x, t in ((pairs, pa.int64()), (times, pa.int32()))]
