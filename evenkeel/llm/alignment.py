@@ -19,7 +19,7 @@ from .common import Scratch, column, durable, parts_by_bytes, table
 
 TOKENIZER_A, TOKENIZER_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Distinct pairs that a task counts before it hands its counts on; bytes of segments that a task remembers (twice, see pieces).
-PARTIAL, REMEMBERED, LONG = 1 << 20, 40 << 20, 1 << 10
+PARTIAL, REMEMBERED, LONG = 1 << 20, 96 << 20, 1 << 10
 #: Bytes of count shards that a task holds where their store can't be mapped into memory.
 SHARD_BYTES = 256 << 20
 #: Characters of the property White_Space.
