@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable
 from hashlib import md5
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -120,7 +121,7 @@ def regression_metrics(truth: Column, pred: Column) -> list[Column]:
     return [F.avg(F.abs(truth - pred)).alias("mae"), F.when((n > 2) & (total > 0), 1 - F.try_divide(error, total)).alias("r2")]
 
 
-#: Makers of pipelines by name, for `cross_validate`; others can be added.
+#: Makers of models by name; others can be added.
 MODELS: dict[str, object] = {}
 
 
@@ -132,6 +133,19 @@ def register(name: str):
     return put
 
 
+#: Names that stand for one model in classifications and for another in regressions.
+BY_TASK = {"auto": ("boosted_classes", "boosted"), "logistic": ("classes", "ridge")}
+
+
+def maker(name: str, task: str | None = None):
+    """The maker of a model by name; `auto` and `logistic` go by the task, where it is told."""
+    if task and name in BY_TASK:
+        name = BY_TASK[name][task != "classification"]
+    if name not in MODELS:
+        raise ValueError(f"unknown model {name!r}: {sorted({*MODELS, *BY_TASK})}")
+    return MODELS[name]
+
+
 class _Line:
     """Least squares on one feature, in closed form: one aggregate of the training rows."""
 
@@ -139,7 +153,7 @@ class _Line:
         self.feature, self.label = feature, label
 
     def fit(self, df: DataFrame) -> "_Line":
-        x, y = F.col(self.feature).cast("double"), F.col(self.label).cast("double")
+        x, y = F.col(f"`{self.feature}`").cast("double"), F.col(f"`{self.label}`").cast("double")
         fitted = _Line(self.feature, self.label)
         fitted.slope, fitted.start = df.agg(F.regr_slope(y, x), F.regr_intercept(y, x)).first()
         if fitted.slope is None:
@@ -147,7 +161,18 @@ class _Line:
         return fitted
 
     def transform(self, df: DataFrame) -> DataFrame:
-        return df.withColumn("prediction", F.col(self.feature).cast("double") * self.slope + self.start)
+        return df.withColumn("prediction", F.col(f"`{self.feature}`").cast("double") * self.slope + self.start)
+
+    def save(self, path: str) -> None:
+        state = json.dumps({"feature": self.feature, "slope": self.slope, "start": self.start})
+        SparkSession.active().createDataFrame([(state,)], "model string").coalesce(1).write.mode("overwrite").text(path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> "_Line":
+        state = json.loads(spark.read.text(path).first()[0])
+        out = cls(state["feature"], "")
+        out.slope, out.start = state["slope"], state["start"]
+        return out
 
 
 @register("line")
@@ -185,11 +210,17 @@ def _logistic(features: list[str], label: str):
 
 @register("ridge")
 def _ridge(features: list[str], label: str):
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import StandardScaler, VectorAssembler
-    from pyspark.ml.regression import LinearRegression
+    """A linear model whose penalty is the one of the least leave-one-out error."""
+    from .ridge import Ridge
+
+    return Ridge(features, label)
+
 
-    return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="features", withMean=True), LinearRegression(labelCol=label, regParam=1.0)])
+@register("boosted_classes")
+def _boosted_classes(features: list[str], label: str):
+    from .boosting import Boosted
+
+    return Boosted(features, label)
 
 
 @register("forest")
@@ -208,15 +239,3 @@ def _boosted(features: list[str], label: str):
     from pyspark.ml.regression import GBTRegressor
 
     return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features"), GBTRegressor(labelCol=label, maxIter=10, seed=1)])
-
-
-def cross_validate(df: DataFrame, features: list[str], label: str, model: str, n_folds: int) -> DataFrame:
-    """df's test rows with fold and prediction, for the column `fold`; folds with under 20 training rows are left out."""
-    out = None
-    for k in range(n_folds):
-        train, test = df.where(F.col("fold") != k), df.where(F.col("fold") == k)
-        if train.limit(20).count() < 20 or not test.limit(1).count():
-            continue
-        part = MODELS[model](features, label).fit(train).transform(test).select(*df.columns, "prediction")
-        out = part if out is None else out.unionByName(part)
-    return df.withColumn("prediction", F.lit(None).cast("double")).limit(0) if out is None else out

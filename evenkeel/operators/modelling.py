@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from evenkeel.functions.scalars import category, finite
 
 from . import evaluation as V
+from .boosting import BoostedModel
+from .encoding import RowEncoder, RowEncoderModel
+from .ridge import RidgeModel
 
 
 @dataclass(frozen=True)
@@ -31,7 +34,7 @@ def prepare(df: DataFrame, features: Features, target: str, keep: tuple[str, ...
     """Rows with a target: the features that there are, categories as text, the group, and the target as `label`."""
     f = features.of(df)
     others = dict.fromkeys([*keep, *([f.group] if f.group else [])])
-    return df.where(F.col(target).isNotNull()).select(*others, *f.numeric, *[category(F.col(c)).alias(c) for c in f.categorical], F.col(target).alias("label"))
+    return df.where(F.col(f"`{target}`").isNotNull()).select(*[F.col(f"`{c}`") for c in (*others, *f.numeric)], *[category(F.col(f"`{c}`")).alias(c) for c in f.categorical], F.col(f"`{target}`").alias("label"))
 
 
 def arm(features: Features, name: str, prefix: str, base: tuple[str, ...] = (), drop: frozenset[str] = frozenset(), groups: dict[str, tuple[str, ...]] | None = None) -> Features | None:
@@ -95,7 +98,7 @@ def evaluate(df: DataFrame, folds: DataFrame, features: Features, model: str, ta
                 train, test = data.where(F.col("fold") != k), data.where(F.col("fold") == k)
                 if task == "classification" and train.select("label").distinct().limit(2).count() < 2:
                     continue
-                scored, _ = fit_and_predict(train, test, features, model)
+                scored, _ = fit_and_predict(train, test, features, model, task)
                 if task == "classification":
                     metrics = V.class_metrics(scored, "label", "prediction").first().asDict()
                 else:
@@ -108,21 +111,58 @@ def evaluate(df: DataFrame, folds: DataFrame, features: Features, model: str, ta
     return found
 
 
-def fit_and_predict(train: DataFrame, test: DataFrame, features: Features, model: str):
-    """test with a prediction, and the fitted model."""
-    a, b = V.encode(train, test, list(features.numeric), list(features.categorical), strict=True)
-    columns = [c for c in a.columns if c not in train.columns]
-    label = a.schema["label"].dataType.simpleString()
-    if label != "string":
-        fitted = V.MODELS[model](columns, "label").fit(a)
-        return fitted.transform(b), fitted
-    # text labels are numbered by the training rows; a label that is only in the test rows is never predicted
-    names = sorted(r.label for r in a.select("label").distinct().collect())
-    number = F.create_map(*[F.lit(x) for pair in ((n, float(k)) for k, n in enumerate(names)) for x in pair])
-    fitted = V.MODELS[model](columns, "_y").fit(a.withColumn("_y", number[F.col("label")]))
-    scored = fitted.transform(b.withColumn("_y", F.coalesce(number[F.col("label")], F.lit(0.0))))
-    back = F.get(F.array(*map(F.lit, names)), F.col("prediction").cast("int"))
-    return scored.withColumn("prediction", back), fitted
+@dataclass
+class Fitted:
+    """A model with the encoder that its raw rows go through, and the text labels that its numbers stand for."""
+
+    encoder: RowEncoderModel
+    model: object
+    labels: list[str] | None = None
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """df with a prediction, for raw rows with the columns of training in any order; further columns stay."""
+        rest = [c for c in df.columns if c.lower() != "prediction"]
+        scored = self.model.transform(self.encoder.transform(df.select(*[F.col(f"`{c}`") for c in rest])))
+        out = F.col("prediction")
+        if self.labels:
+            out = F.get(F.array(*map(F.lit, self.labels)), out.cast("int"))
+        return scored.select(*[F.col(f"`{c}`") for c in rest], out.alias("prediction"))
+
+
+def fit(train: DataFrame, features: Features, model: str, task: str | None = None) -> Fitted:
+    """Encoder and model, learned from rows as prepare() gives them. Text labels are numbered in their order."""
+    # learning goes over the rows many times, what they are made from once
+    train = train.persist()
+    try:
+        encoder = RowEncoder(list(features.numeric), list(features.categorical)).fit(train)
+        rows, label, labels = encoder.transform(train), "label", None
+        if train.schema["label"].dataType.simpleString() == "string":
+            task = task or "classification"
+            labels = sorted(r.label for r in train.select("label").where("label is not null").distinct().collect())
+            number = F.create_map(*[F.lit(x) for pair in ((n, float(k)) for k, n in enumerate(labels)) for x in pair])
+            label = f"{encoder.prefix}label"
+            rows = rows.withColumn(label, number[F.col("label")])
+        return Fitted(encoder, V.maker(model, task)(encoder.columns, label).fit(rows), labels)
+    finally:
+        train.unpersist()
+
+
+def fit_and_predict(train: DataFrame, test: DataFrame, features: Features, model: str, task: str | None = None) -> tuple[DataFrame, Fitted]:
+    """test with a prediction, and what was fitted; a label that is only in the test rows is never predicted."""
+    fitted = fit(train, features, model, task)
+    return fitted.transform(test), fitted
+
+
+def evaluate_ridge(df: DataFrame, features: list[str], label: str, fold: str) -> DataFrame:
+    """(fold, alpha, mae, r2, n_test) of a ridge regression for each fold, all folds in the same few passes."""
+    from . import ridge
+
+    models = ridge.fit_folds(df, features, label, fold)
+    scored = ridge.predict_folds(df.where(F.abs(F.col(f"`{label}`").cast("double")) < float("inf")), models, fold)
+    alpha = F.create_map(*[x for k, m in models.items() for x in (F.lit(k), F.lit(m.alpha))]) if models else F.create_map().cast("map<bigint,double>")
+    y = F.col(f"`{label}`").cast("double")
+    out = scored.groupBy(F.col(f"`{fold}`").cast("long").alias("fold")).agg(*V.regression_metrics(y, F.col("prediction")), F.count("*").alias("n_test"))
+    return out.select("fold", alpha[F.col("fold")].alias("alpha"), "mae", "r2", "n_test")
 
 
 def compare(df: DataFrame, folds: DataFrame, arms: dict[str, Features | None], model: str, task: str) -> DataFrame:
@@ -140,26 +180,54 @@ def compare(df: DataFrame, folds: DataFrame, arms: dict[str, Features | None], m
     return rows.select("fold", "p.arm", "metric", "base", "p.other", (F.col("p.other") - F.col("base")).alias("delta")).where("delta is not null")
 
 
-def keep_model(model, columns: list[str], path: str) -> None:
-    """Writes a fitted pipeline and the columns that it was trained on."""
-    model.write().overwrite().save(f"{path}/model")
-    spark = SparkSession.active()
-    spark.createDataFrame([(json.dumps(list(columns)),)], "columns string").coalesce(1).write.mode("overwrite").json(f"{path}/columns")
+#: Models that write themselves, by the name under which a kept model says what it is.
+KINDS = {"line": V._Line, "ridge": RidgeModel, "boosted": BoostedModel}
 
 
-def kept_model(spark: SparkSession, path: str):
-    """(model, columns) of keep_model()."""
+def keep_model(fitted, columns: list[str] | None = None, path: str = "") -> None:
+    """Writes what fit() gave, encoder included; of a bare model the numeric columns that it was trained on are kept.
+
+    The folder is replaced: its note, without which nothing can be loaded, is written last.
+    """
+    spark = SparkSession.active()
+    if not isinstance(fitted, Fitted):
+        fitted = Fitted(RowEncoderModel(list(columns), dict.fromkeys(columns, 0.0), [], {}, "", None), fitted)
+    kind = next((k for k, c in KINDS.items() if isinstance(fitted.model, c)), "pipeline")
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/note")
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    fitted.encoder.write().overwrite().save(f"{path}/encoder")
+    if kind == "pipeline":
+        fitted.model.write().overwrite().save(f"{path}/model")
+    else:
+        fitted.model.save(f"{path}/model")
+    note = json.dumps({"kind": kind, "labels": fitted.labels, "bare": not fitted.encoder.prefix})
+    spark.createDataFrame([(note,)], "note string").coalesce(1).write.mode("overwrite").text(f"{path}/note")
+
+
+def kept_model(spark: SparkSession, path: str) -> tuple[Fitted, bool]:
+    """What keep_model() wrote, and whether it was a bare model, whose columns go in as they are."""
     from pyspark.ml import PipelineModel
 
-    return PipelineModel.load(f"{path}/model"), json.loads(spark.read.json(f"{path}/columns").first().columns)
+    note = json.loads(spark.read.text(f"{path}/note").first()[0])
+    model = PipelineModel.load(f"{path}/model") if note["kind"] == "pipeline" else KINDS[note["kind"]].load(spark, f"{path}/model")
+    return Fitted(RowEncoderModel.load(f"{path}/encoder"), model, note["labels"]), note["bare"]
 
 
 def predict(spark: SparkSession, path: str, rows: DataFrame) -> DataFrame:
-    """Predictions of a kept model for rows of any columns: those of its training that are missing count as 0."""
-    model, columns = kept_model(spark, path)
-    missing = {c: F.lit(0.0) for c in columns if c not in rows.columns}
-    present = {c: F.coalesce(finite(F.col(c).cast("double")), F.lit(0.0)) for c in columns if c in rows.columns}
-    return model.transform(rows.withColumns(present | missing)).drop("raw", "features")
+    """Predictions of a kept model for raw rows, the same as before it was kept.
+
+    Columns of its training that the rows haven't count as missing; rows with none of them are an
+    error. For a bare model such columns count as 0 and are added.
+    """
+    fitted, bare = kept_model(spark, path)
+    if not bare:
+        return fitted.transform(rows)
+    here, columns = {c.lower() for c in rows.columns}, fitted.encoder.numeric
+    if not any(c.lower() in here for c in columns):
+        raise ValueError(f"rows have none of the columns {columns}")
+    missing = {c: F.lit(0.0) for c in columns if c.lower() not in here}
+    present = {c: F.coalesce(finite(F.col(f"`{c}`").cast("double")), F.lit(0.0)) for c in columns if c.lower() in here}
+    return fitted.model.transform(rows.withColumns(present | missing)).drop("raw", "features")
 
 
 def predict_one(df: DataFrame, key: dict, features: Features, target: str, models: list[str], task: str) -> dict:
@@ -179,7 +247,7 @@ def predict_one(df: DataFrame, key: dict, features: Features, target: str, model
     out: dict = {"key": key, "target": target, "n_train": n, "degenerate": n < 100, "actual": found[0][target], "models": {}}
     for name in models:
         try:
-            scored, _ = fit_and_predict(train, test, features, name)
+            scored, _ = fit_and_predict(train, test, features, name, task)
             out["models"][name] = {"available": True, "prediction": scored.first()["prediction"]}
         except Exception as e:  # noqa: BLE001 - one model must not end the others
             out["models"][name] = {"available": False, "error": f"{type(e).__name__}: {str(e)[:160]}"}

@@ -69,3 +69,9 @@ def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def with_signals(df: DataFrame) -> DataFrame:
     return df.select("*", *[F.expr(x).alias(c) for c, x in SIGNALS.items()])
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """A folder that the driver and all executors share: that of spark.checkpoint.dir, or the warehouse where it is unset."""
+    at = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    return (at or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")

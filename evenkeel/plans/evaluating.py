@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from evenkeel.operators import evaluation as V
 from evenkeel.operators import modelling as M
 
-from .base import query, table
+from .base import query, scratch_dir, table
 
 GUESS = "case when d.n_chars > 1500 then 1 else 0 end"
 
@@ -160,19 +160,93 @@ def customer_features(spark, sf):
     return c.select("c_custkey", "n_orders", "mean_price", "c_acctbal", (F.col("c_nationkey") % 2).cast("double").alias("label"), (F.col("c_nationkey") % 3).alias("fold"))
 
 
-@query("q_cv_models")
+CUSTOMERS = "f as (select c_custkey, count(*)::double as n_orders, avg(o_totalprice) as mean_price, any_value(c_acctbal)::double as c_acctbal, any_value(c_nationkey) % 3 as fold from customer join orders on o_custkey = c_custkey group by 1)"
+
+
+@query(
+    "q_cv_models",
+    f"""with {CUSTOMERS}, w as (select k.fold, regr_slope(mean_price, n_orders) as b, regr_intercept(mean_price, n_orders) as a from f, (select distinct fold from f) k where f.fold <> k.fold group by 1),
+    p as (select mean_price as y, w.a + w.b * n_orders as p from f join w using (fold))
+    select avg(abs(y - p)) as mae, 1 - sum((y - p) * (y - p)) / (sum(y * y) - sum(y) * sum(y) / count(*)) as r2, count(*) as n_test from p""",
+    "n_test",
+    4,
+)
 def cv_models(spark, sf):
-    out = V.cross_validate(customer_features(spark, sf), ["n_orders", "mean_price", "c_acctbal"], "label", "logistic", 3)
-    return V.class_metrics(out, "label", "prediction")
+    """Out-of-fold predictions of a line, all folds pooled."""
+    rows, features = customer_features(spark, sf), M.Features(("n_orders",), (), "fold")
+    out = None
+    for k in range(3):
+        ready = M.prepare(rows, features, "mean_price")
+        part, _ = M.fit_and_predict(ready.where(F.col("fold") != k), ready.where(F.col("fold") == k), features, "line")
+        out = part if out is None else out.unionByName(part)
+    return out.agg(*V.regression_metrics(F.col("label"), F.col("prediction")), F.count("*").alias("n_test"))
+
+
+def ridge_sql(folds: str, train: str) -> str:
+    """Ridge on n_orders and c_acctbal for mean_price, by the normal equations of standardised columns, for each fold of
+    `folds`, from the rows of f that `train` lets in; the penalty by leave-one-out errors with each row's own weight."""
+    return f"""t as (select k.fold as k, f.*, c_acctbal as u, n_orders as v, mean_price as y from f, {folds} k where {train}),
+    m as (select k, count(*) as n, avg(v) as mv, avg(u) as mu, avg(y) as my, stddev_pop(v) as sv, stddev_pop(u) as su from t group by 1),
+    z as (select t.k, (v - mv) / sv as a, (u - mu) / su as b, y - my as y, n from t join m on t.k = m.k),
+    g as (select k, sum(a * a) as aa, sum(a * b) as ab, sum(b * b) as bb, sum(a * y) as ay, sum(b * y) as yb from z group by 1),
+    p as (select g.*, alpha, (aa + alpha) * (bb + alpha) - ab * ab as det from g, (select unnest([0.1, 1.0, 10.0])::double as alpha)),
+    s as (select k, alpha, det, aa + alpha as p, bb + alpha as q, ab, ((bb + alpha) * ay - ab * yb) / det as wa, ((aa + alpha) * yb - ab * ay) / det as wb from p),
+    e as (select s.k, s.alpha, avg(power((y - a * wa - b * wb) / (1 - (1.0::double / n + (a * a * q - 2 * a * b * ab + b * b * p) / det)), 2)) as loo
+        from z join s on z.k = s.k group by 1, 2),
+    best as (select k, arg_min(alpha, loo) as alpha from e group by 1),
+    w as (select s.k as k, s.alpha, wa / sv as wv, wb / su as wu, my - wa / sv * mv - wb / su * mu as w0 from s join best on s.k = best.k and s.alpha = best.alpha join m on s.k = m.k)"""
+
+
+@query(
+    "q_ridge_folds",
+    f"""with {CUSTOMERS}, {ridge_sql("(select distinct fold from f)", "f.fold <> k.fold")},
+    r as (select f.fold, alpha, mean_price as y, w0 + wv * n_orders + wu * c_acctbal as p from f join w on w.k = f.fold)
+    select fold::bigint as fold, any_value(alpha) as alpha, avg(abs(y - p)) as mae, 1 - sum((y - p) * (y - p)) / (sum(y * y) - sum(y) * sum(y) / count(*)) as r2, count(*) as n_test from r group by 1""",
+    "fold n_test",
+    4,
+)
+def ridge_folds(spark, sf):
+    """Each fold's ridge regression, its penalty chosen by leave-one-out error."""
+    return M.evaluate_ridge(customer_features(spark, sf), ["n_orders", "c_acctbal"], "mean_price", "fold")
 
 
-@query("q_batch_score")
+@query("q_batch_score", f"with {CUSTOMERS}, {ridge_sql('(select 0 as fold)', 'f.fold <> 0')} select c_custkey, w0 + wv * n_orders + wu * c_acctbal as prediction from f, w where f.fold = 0", "c_custkey", 4)
 def batch_score(spark, sf):
     rows = customer_features(spark, sf)
     model = V.MODELS["ridge"](["n_orders", "c_acctbal"], "mean_price").fit(rows.where("fold <> 0"))
     return model.transform(rows.where("fold = 0")).select("c_custkey", "prediction")
 
 
+KEPT = f"""{CUSTOMERS}, x as (select f.*, c_mktsegment as seg from f join customer using (c_custkey)),
+    med as (select median(case when c_acctbal > 0 then c_acctbal end) as m from x where fold <> 0),
+    q as (select c_custkey, fold, mean_price as y, coalesce(case when c_acctbal > 0 then c_acctbal end, m) as v from x, med),
+    w as (select regr_slope(y, v) as b, regr_intercept(y, v) as a from q where fold <> 0)"""
+
+
+@query("q_kept_score", f"with {KEPT} select c_custkey, a + b * v as prediction from q, w where fold = 0", "c_custkey", 4)
+def kept_score(spark, sf):
+    """A line with its encoder, fitted, written, loaded, and used on raw rows; the median of training stands for debts."""
+    import uuid
+
+    rows = customer_features(spark, sf).withColumn("balance", F.when(F.col("c_acctbal") > 0, F.col("c_acctbal")))
+    features = M.Features(("balance",), (), "fold")
+    fitted = M.fit(M.prepare(rows, features, "mean_price").where("fold <> 0"), features, "line")
+    path = f"{scratch_dir(spark)}/kept-{uuid.uuid4().hex}"
+    M.keep_model(fitted, path=path)
+    return M.predict(spark, path, rows.where("fold = 0").select("c_custkey", "balance")).select("c_custkey", "prediction")
+
+
+@query("q_boosted_classes")
+def boosted_classes(spark, sf):
+    """The language of held-out documents by trees over shares of letters; no SQL grows trees, tests hold them against a rebuild."""
+    d = table(spark, sf, "documents").where("text is not null and lang is not null")
+    share = lambda letters: (F.length("text") - F.length(F.translate("text", letters, ""))) / F.greatest(F.length("text"), F.lit(1))
+    d = d.select("doc_id", *[share(x).alias(n) for n, x in {"w": "wyk", "umlauts": "äöüß", "cedilla": "çèêà", "tilde": "ñóíá", "e": "e", "o": "o", "n": "n"}.items()], F.col("lang").alias("label"))
+    features = M.Features(("w", "umlauts", "cedilla", "tilde", "e", "o", "n"))
+    scored, _ = M.fit_and_predict(d.where("doc_id % 5 <> 0"), d.where("doc_id % 5 = 0"), features, "auto", "classification")
+    return scored.select("doc_id", F.col("label").alias("lang"), "prediction")
+
+
 LINE = "f as (select c.c_custkey, c.c_mktsegment as g, count(*)::double as x, avg(o.o_totalprice) as y from customer c join orders o on o.o_custkey = c.c_custkey group by 1, 2)"
 FITS = f"{LINE}, k as (select g, dense_rank() over (order by g) - 1 as fold from (select distinct g from f)), w as (select k.fold, regr_slope(f.y, f.x) as b, regr_intercept(f.y, f.x) as a from f, k where f.g <> k.g group by 1)"
 
