@@ -143,3 +143,13 @@ def failures(spark, sf):
     rows = table(spark, sf, "events").withColumn("number", F.when(F.col("event_type") == "error", F.lit("none")).otherwise(F.col("value").cast("string")))
     bad = S.to_number(F.col("number")).isNull()
     return rows.groupBy((F.col("user_id") % 10).alias("part")).agg(F.count_if(bad).alias("failed"), F.count_if(~bad).alias("kept"), F.min(F.when(bad, F.col("event_id"))).alias("first_failed"))
+
+
+@query("q_flow_scalars")
+def flow_scalars(spark, sf):
+    """Motion scalars of 8 x 8 fields: a vector's components across, and those of its mirror image down; tests hold them against loops."""
+    from evenkeel.operators import flow
+
+    e = table(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda x: x * 4).alias("u"), F.reverse(F.transform("embedding", lambda x: x * 4)).alias("v"))
+    rules = flow.Rules(border=0, hood=0.0, step=1, least_points=20)
+    return flow.flow_scalars(e, "u", "v", 8, 8, rules).drop("u", "v")
