@@ -177,3 +177,30 @@ def step_rates(values: Column, step: float) -> Column:
         F.size(values) >= 5,
         F.zip_with(F.slice(values, 2, F.greatest(F.size(values) - 1, F.lit(0))), F.slice(values, 1, F.greatest(F.size(values) - 1, F.lit(0))), lambda b, a: F.abs(b - a) / step),
     )
+
+
+def episodes(df: DataFrame, key: str, tick: str, tie: str, flag: Column, gap: int, least_on: int, least_off: int) -> DataFrame:
+    """(key, start, end, on_span, off_span, switch): stretches with the flag, those less than `gap` ticks apart as one.
+
+    A row's flag (null: not set) holds until the next row. `end` is the first row without the flag, or the
+    key's last row; off_span goes on to the next stretch or the last row. `switch` tells that the flag was on
+    for `least_on` ticks and then off for `least_off`. Only rows where the flag changes are put together.
+    """
+    order = Window.partitionBy(key).orderBy(tick, tie)
+    on = F.coalesce(flag, F.lit(False))
+    rows = df.select(
+        F.col(f"`{key}`").alias("key"), F.col(f"`{tick}`").alias("tick"), on.alias("on"), F.coalesce(F.lag(on).over(order), F.lit(False)).alias("was"),
+        F.row_number().over(order).alias("n"), F.max(tick).over(Window.partitionBy(key)).alias("last"),
+    )
+    by = Window.partitionBy("key").orderBy("n")
+    edges = rows.where(F.col("on") != F.col("was")).withColumn("before", F.lag("tick").over(by))
+    fresh = F.col("on") & (F.col("before").isNull() | (F.col("tick") - F.col("before") >= gap))
+    edges = edges.withColumn("nth", F.sum(fresh.cast("int")).over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    end = F.max_by(F.struct("tick", (~F.col("on")).alias("closed")), "n").alias("end")
+    out = edges.groupBy("key", "nth").agg(F.min("tick").alias("start"), end, F.max("last").alias("last"))
+    # the last edge of a stretch is its end, but where the flag is on to the last row
+    closed = F.when(F.col("end.closed"), F.col("end.tick")).otherwise(F.col("last"))
+    out = out.select("key", "start", closed.alias("end"), "last", "nth", F.col("end.closed").alias("closed"))
+    following = F.coalesce(F.lead("start").over(Window.partitionBy("key").orderBy("nth")), F.col("last"))
+    on, off = F.col("end") - F.col("start"), following - F.col("end")
+    return out.select(F.col("key").alias(key), "start", "end", on.alias("on_span"), off.alias("off_span"), (F.col("closed") & (on >= least_on) & (off >= least_off)).alias("switch"))

@@ -296,3 +296,18 @@ def sustained_switch(spark, sf):
 def pre_post(spark, sf):
     hit = (F.col("e") == "view").cast("double")
     return events(spark, sf).groupBy("k").agg(F.avg(F.when(F.col("u") < 300 * HOUR, hit)).alias("pre"), F.avg(F.when(F.col("u") > 400 * HOUR, hit)).alias("post"), (R.rate(F.col("v") > 100) * 100).alias("percent"))
+
+
+@query(
+    "q_episodes",
+    f"""with {EV}, r as (select k, u, row_number() over w as i, v > 100 as f, coalesce(lag(v > 100) over w, false) as was, max(u) over (partition by k) as last from ev window w as (partition by k order by u, id)),
+    e as (select *, lag(u) over (partition by k order by i) as before from r where f <> was),
+    n as (select *, sum(case when f and (before is null or u - before >= {6 * HOUR}) then 1 else 0 end) over (partition by k order by i rows unbounded preceding) as nth from e),
+    g as (select k, nth, min(u) as a, max(u) as z, arg_max(f, i) as still_on, any_value(last) as last from n group by 1, 2),
+    h as (select k, a, case when still_on then last else z end as b, still_on, last from g),
+    w as (select *, coalesce(lead(a) over (partition by k order by a), last) as following from h)
+    select k, a as start, b as end, b - a as on_span, following - b as off_span, not still_on and b - a >= {24 * HOUR} and following - b >= {24 * HOUR} as switch from w""",
+)
+def episodes(spark, sf):
+    """Stretches of high values; breaks of under six hours don't end one, a day on and a day off make a switch."""
+    return L.episodes(events(spark, sf), "k", "u", "id", F.col("v") > 100, 6 * HOUR, 24 * HOUR, 24 * HOUR)
