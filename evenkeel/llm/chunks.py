@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, column, durable, table
+from .common import Scratch, column, durable, set_aside, table
 
 #: A chunk of LEAST bytes or more ends where this many top bits of the gear hash of the last WINDOW bytes are zero, or at MOST bytes.
 BITS, LEAST, MOST, WINDOW = 5, 12, 160, 16
@@ -59,10 +59,11 @@ def without_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     Documents come in order of doc_id (below 2^62), null last and these by a hash of their text; rows
     with an equal doc_id, or with none and an equal text, aren't copies of each other. `spans` are [begin, end) in
     bytes of the text's UTF-8, cut where characters begin. Null text stays null and empty text empty: no
-    spans, 0 words. All columns are kept; columns named `spans` or `removed_words` are replaced.
+    spans, 0 words. All columns are kept; columns named `spans` or `removed_words`, in any case, are replaced.
     No rows: no rows.
     """
-    names = [c for c in docs.columns if c not in ("spans", "removed_words")]
+    docs, named = set_aside(docs, "doc_id", "text", replaced=("spans", "removed_words"))
+    names = docs.columns
     scratch = Scratch(docs.sparkSession)
     # documents without an id come last, by their texts' hashes
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(1 << 62) + F.pmod(F.xxhash64("text"), F.lit(1 << 62)))
@@ -90,10 +91,7 @@ def without_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     again = durable(again.groupBy("doc", "h").agg(F.collect_set("digest").alias("again")))
     scratch.close()
 
-    mark = "again"
-    while mark in names:
-        mark += "_"
-    key, text_key = f"{mark}_doc", f"{mark}_h"
+    mark, key, text_key = "again", "again_doc", "again_h"
 
     def rebuild(batches):
         for batch in batches:
@@ -109,7 +107,7 @@ def without_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in names)
     marked = docs.select(*names, doc.alias(key), F.xxhash64("text").alias(text_key))
     marked = marked.join(again.select(F.col("doc").alias(key), F.col("h").alias(text_key), F.col("again").alias(mark)), [key, text_key], "left").select(*names, mark)
-    return marked.mapInArrow(rebuild, f"{schema}, spans array<struct<begin: int, end: int>>, removed_words int")
+    return named(marked.mapInArrow(rebuild, f"{schema}, spans array<struct<begin: int, end: int>>, removed_words int"))
 
 
 def remove(text: str | None, earlier: set[int], min_words: int):

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +52,23 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True).coalesce(NO_COALESCE)
 
 
+def set_aside(docs: DataFrame, *own: str, replaced: tuple[str, ...] = ()) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """docs with columns other than `own` under names that clash with nothing, and what gives them their names back.
+
+    Names are told apart without regard to case, as Spark does, and may hold dots. Columns named like
+    one of `replaced` go.
+    """
+    kept = [c for c in docs.columns if c.lower() not in replaced]
+    inner = {c: c.lower() if c.lower() in own else f"_other{k}" for k, c in enumerate(kept)}
+    outer = {v: c for c, v in inner.items()}
+    plain = docs.select(*[F.col(_quoted(c)).alias(n) for c, n in inner.items()])
+    return plain, lambda out: out.select(*[F.col(_quoted(c)).alias(outer.get(c, c)) for c in out.columns])
+
+
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 class Scratch:
     """Parquet tables in the shared folder for the length of one operator call."""
 

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, Scratch, WordIds, column, durable, mixed, parts_by_bytes, shingles, table
+from .common import Scratch, U64, WordIds, column, durable, mixed, parts_by_bytes, set_aside, shingles, table
 
 WORDS, SIMILAR = 5, 0.8
 #: Fingerprints of windows that are 0.8 alike differ in 10 of 64 bits, give or take 3.
@@ -256,13 +256,13 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def drop_leaks_of(docs: DataFrame, items: DataFrame) -> DataFrame:
     """docs less the documents that leaks() would name, with all their columns."""
+    docs, named = set_aside(docs, "doc_id", "text")
     scratch = Scratch(docs.sparkSession)
-    key = "key"
-    while key in docs.columns:
-        key += "_"
-    gone = durable(leaking(docs, items, scratch).select(F.col("key").alias(key)).distinct())
-    scratch.close()
-    return docs.withColumn(key, F.xxhash64("doc_id", "text")).join(gone, key, "left_anti").select(*docs.columns)
+    try:
+        gone = durable(leaking(docs, items, scratch).select("key").distinct())
+    finally:
+        scratch.close()
+    return named(docs.withColumn("key", F.xxhash64("doc_id", "text")).join(gone, "key", "left_anti").select(*docs.columns))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

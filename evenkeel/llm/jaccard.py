@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import PLACES, U64, Scratch, WordIds, column, durable, groups, mixed, parts_by_bytes, shingles, table
+from .common import PLACES, Scratch, U64, WordIds, column, durable, groups, mixed, parts_by_bytes, set_aside, shingles, table
 from .components import components
 
 #: Bytes of an n-gram in a stored row of the matrix.
@@ -515,14 +515,14 @@ def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     Rows with equal doc_id are told apart by their text; of rows equal in both one stays, if their
     document does. Documents without words, and rows with a null doc_id, all stay.
     """
+    docs, named = set_aside(docs, "doc_id", "text")
     scratch = Scratch(docs.sparkSession)
-    heads = similar_rows(docs, words, percent, False, scratch).where("kept and n_shingles > 0 and doc_id is not null")
-    heads = durable(heads.select(F.col("doc_id").alias("kept_id"), F.col("h").alias("kept_h")).distinct())
-    scratch.close()
+    try:
+        heads = similar_rows(docs, words, percent, False, scratch).where("kept and n_shingles > 0 and doc_id is not null")
+        heads = durable(heads.select(F.col("doc_id").alias("kept_id"), F.col("h").alias("kept_h")).distinct())
+    finally:
+        scratch.close()
     worded = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]") & F.col("doc_id").isNotNull()
-    key = "h"
-    while key in docs.columns:
-        key += "_"
-    marked = docs.withColumn(key, F.xxhash64("text"))
-    kept = marked.where(worded).join(heads, (F.col("doc_id") == F.col("kept_id")) & (F.col(key) == F.col("kept_h")), "left_semi")
-    return kept.dropDuplicates(["doc_id", key]).drop(key).unionByName(docs.where(~worded))
+    marked = docs.withColumn("h", F.xxhash64("text"))
+    kept = marked.where(worded).join(heads, (F.col("doc_id") == F.col("kept_id")) & (F.col("h") == F.col("kept_h")), "left_semi")
+    return named(kept.dropDuplicates(["doc_id", "h"]).drop("h").unionByName(docs.where(~worded)))

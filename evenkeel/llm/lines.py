@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, column, durable, parts_by_bytes, table
+from .common import Scratch, column, durable, parts_by_bytes, set_aside, table
 
 #: Words that a repeated run must have to be deleted.
 MIN_WORDS = 5
@@ -137,8 +137,9 @@ def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     min_words words or more and an equal run begins earlier, in this or another document; so all
     copies go but the first. Documents come in order of doc_id, null last, then of a hash of their
     text. Rows with equal doc_id and equal text are one document: each gets the same result. Null
-    text stays null, removed 0. All columns are kept; a column named `removed` is replaced. No rows: no rows.
+    text stays null, removed 0. All columns are kept; a column named `removed`, in any case, is replaced. No rows: no rows.
     """
+    docs, named = set_aside(docs, "doc_id", "text", replaced=("removed",))
     names = docs.columns
     scratch = Scratch(docs.sparkSession)
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
@@ -161,8 +162,8 @@ def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     whole = docs.select(F.struct(*names).alias("row"), doc.alias("doc"), F.xxhash64("text").alias("h")).join(gone, AT, "left")
     # texts without a run don't go to Python
     whole = whole.select("row", less(F.when(F.col("starts").isNotNull(), F.col("row.text")), "starts", "sizes").alias("new"))
-    out = [F.coalesce("new.text", "row.text").alias("text") if c == "text" else F.col("row").getField(c).alias(c) for c in names if c != "removed"]
-    return whole.select(*out, F.coalesce("new.removed", F.lit(0)).alias("removed"))
+    out = [F.coalesce("new.text", "row.text").alias("text") if c == "text" else F.col("row").getField(c).alias(c) for c in names]
+    return named(whole.select(*out, F.coalesce("new.removed", F.lit(0)).alias("removed")))
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -171,5 +172,6 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: texts without later copies of lines; a document of which no word is left goes."""
-    out = without_repeats(docs)
-    return out.where("removed = 0 or text rlike '[^\\\\x20\\\\x09-\\\\x0D]'").select(*docs.columns)
+    plain, named = set_aside(docs, "doc_id", "text")
+    out = without_repeats(plain)
+    return named(out.where("removed = 0 or text rlike '[^\\\\x20\\\\x09-\\\\x0D]'").select(*plain.columns))

@@ -133,7 +133,7 @@ def mixed_texts(docs: DataFrame, **kinds) -> DataFrame:
     taken adds up to the budget. The text is whole; of the last pass
     the mix has its first taken - (passes - 1) * size words.
     """
-    named = docs.withColumn("text_hash", F.xxhash64("text"))
+    named = docs.select("doc_id", "source", "text").withColumn("text_hash", F.xxhash64("text"))
     mixed = durable(mixed_documents(named, carry=("text_hash",), **kinds))
     texts = named.select(F.col("doc_id").alias("id"), F.col("text_hash").alias("h"), "text").dropDuplicates(["id", "h"])
     out = mixed.join(texts, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("h")))

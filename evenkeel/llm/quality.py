@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column, held_out, parts_by_bytes, sampled, table
+from .common import column, held_out, parts_by_bytes, sampled, set_aside, table
 
 #: Labelled rows that the densities are fitted to, at most (about; taken by a hash of the id).
 SAMPLE = 20_000
@@ -136,6 +136,7 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that the classifier doesn't reject, with their columns."""
+    docs, named = set_aside(docs, "doc_id", "text")
     model = spark.sparkContext.broadcast(fitted(docs, table(spark, sf_dir, "labels")))
 
     def run(batches):
@@ -143,4 +144,4 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
             x = np.array([statistics(t) for t in column(batch, "text")], float).reshape(-1, len(STATISTICS))
             yield batch.filter(pa.array(model.value.score(x) >= CUT))
 
-    return docs.mapInArrow(run, docs.schema)
+    return named(docs.mapInArrow(run, docs.schema))
