@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
+from collections import deque
+from math import isfinite
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -204,3 +209,43 @@ def episodes(df: DataFrame, key: str, tick: str, tie: str, flag: Column, gap: in
     following = F.coalesce(F.lead("start").over(Window.partitionBy("key").orderBy("nth")), F.col("last"))
     on, off = F.col("end") - F.col("start"), following - F.col("end")
     return out.select(F.col("key").alias(key), "start", "end", on.alias("on_span"), off.alias("off_span"), (F.col("closed") & (on >= least_on) & (off >= least_off)).alias("switch"))
+
+
+def rolling_medians_by_rate(df: DataFrame, key: str, tick: str, tie: str, value: str, span: float) -> DataFrame:
+    """df with `median` over the row and as many before it as `span` ticks hold at the key's own pace: max(1, round(span / median step)).
+
+    Each key's rows pass once, in order of tick and tie; a list kept in order of the last rows' values gives
+    the median, so a row costs a search in it and not a sort. Nulls and non-finite values keep their places but don't
+    count. A key whose median step isn't above 0 has one row before. A column named `median` is replaced.
+    """
+    step = F.col(f"`{tick}`") - F.lag(f"`{tick}`").over(Window.partitionBy(f"`{key}`").orderBy(f"`{tick}`", f"`{tie}`"))
+    paces = df.select(F.col(f"`{key}`").alias("key"), step.alias("step")).groupBy("key").agg(F.percentile("step", F.lit(0.5)).alias("step"))
+    ahead = F.when(F.col("step") > 0, F.greatest(F.lit(1), F.rint(F.lit(float(span)) / F.col("step")).cast("int"))).otherwise(1)
+    names = [c for c in df.columns if c.lower() != "median"]
+    inner = [f"c{k}" for k in range(len(names))]
+    places = {c.lower(): n for c, n in zip(names, inner)}
+    k, t, e, v = (places[c.lower()] for c in (key, tick, tie, value))
+    rows = df.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(names, inner)])
+    rows = rows.join(paces.select(F.col("key"), ahead.alias("look")), F.col(k).eqNullSafe(F.col("key"))).drop("key")
+    rows = rows.withColumn("number", F.col(v).cast("double")).repartition(k).sortWithinPartitions(k, t, e)
+
+    def run(batches):
+        recent, ordered, last = deque(), [], object()
+        for batch in batches:
+            keys, looks, values = (batch.column(batch.schema.names.index(c)).to_pylist() for c in (k, "look", "number"))
+            out = []
+            for key_now, look, x in zip(keys, looks, values):
+                if key_now != last:
+                    recent, ordered, last = deque(), [], key_now
+                x = x if x is not None and isfinite(x) else None
+                recent.append(x)
+                if x is not None:
+                    insort(ordered, x)
+                if len(recent) > look + 1 and (gone := recent.popleft()) is not None:
+                    del ordered[bisect_left(ordered, gone)]
+                n = len(ordered)
+                out.append(None if not n else (ordered[(n - 1) // 2] + ordered[n // 2]) / 2)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(inner))), pa.array(out, pa.float64())], names=[*inner, "median"])
+
+    schema = rows.select(*inner, F.lit(None).cast("double").alias("median")).schema
+    return rows.mapInArrow(run, schema).toDF(*names, "median")

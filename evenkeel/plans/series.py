@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from evenkeel.functions import reducers as R
+from evenkeel.operators import isolation as I
 from evenkeel.operators import relational as O
 from evenkeel.operators import timeline as L
 
@@ -311,3 +312,40 @@ def pre_post(spark, sf):
 def episodes(spark, sf):
     """Stretches of high values; breaks of under six hours don't end one, a day on and a day off make a switch."""
     return L.episodes(events(spark, sf), "k", "u", "id", F.col("v") > 100, 6 * HOUR, 24 * HOUR, 24 * HOUR)
+
+
+@query(
+    "q_rolling_median_by_rate",
+    f"""with {EV}, s as (select *, u - lag(u) over w as step, row_number() over w as i, array_agg(v) over (partition by k order by u, id rows between unbounded preceding and unbounded following) as vs from ev window w as (partition by k order by u, id)),
+    p as (select k, median(step) as m from s group by 1),
+    l as (select s.*, case when m > 0 then greatest(1, round_even({48 * HOUR}::double / m, 0)::bigint) else 1 end as look from s join p on s.k is not distinct from p.k)
+    select id, list_median(list_slice(vs, greatest(i - look, 1), i)) as med from l""",
+    "id",
+)
+def rolling_median_by_rate(spark, sf):
+    """Two days' trailing median, in rows of each key's own pace."""
+    return L.rolling_medians_by_rate(events(spark, sf), "k", "u", "id", "v", 48 * HOUR).select("id", F.col("median").alias("med"))
+
+
+@query(
+    "q_isolated_blocks",
+    f"""with {EV}, g as (select k, regr_slope(v, u / {HOUR}.0) as slope, arg_min(e, [u, id]) as first, count(*) as n from ev group by k)
+    select k, case when first <> 'error' and n > 1 then slope end as slope, case when first = 'error' then 'ValueError: begins with an error' when n < 2 then 'ValueError: too few rows' end as error from g""",
+    "k error",
+    6,
+)
+def isolated_blocks(spark, sf):
+    """A block that can't be worked out for some keys: those have the reason, the others their slope."""
+    import numpy as np
+
+    def block(rows):
+        rows = rows.sort_by([("u", "ascending"), ("id", "ascending")])
+        if rows.column("e")[0].as_py() == "error":
+            raise ValueError("begins with an error")
+        if rows.num_rows < 2:
+            raise ValueError("too few rows")
+        x, y = rows.column("u").to_numpy() / HOUR, rows.column("v").to_numpy()
+        x = x - x.mean()
+        return {"slope": float(np.dot(x, y - y.mean()) / np.dot(x, x))}
+
+    return I.by_key(events(spark, sf), ["k"], block, "slope double")

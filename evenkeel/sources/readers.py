@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,10 +31,34 @@ def with_key(df: DataFrame, depth_from_end: int = 2) -> DataFrame:
     return df.withColumns({"car_model": part(depth_from_end + 3), "driver": part(depth_from_end + 2), "route": part(depth_from_end + 1), "clip_id_pub": part(depth_from_end).try_cast("long")})
 
 
+#: What stands before a path, with one slash or three for local files.
+SCHEME = "^[A-Za-z0-9+.-]+:/+"
+
+
+def below(spark: SparkSession, root: str, pattern: str) -> DataFrame:
+    """(value, path): files of a name four folders below root, each as one text; an empty root gives none."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(root)
+    whole = re.sub(SCHEME, "", at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString()).rstrip("/")
+    reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).option("ignoreCorruptFiles", True)
+    files = reader.text(root, wholetext=True).withColumn("path", F.input_file_name())
+    return files.where(F.size(F.split(F.regexp_replace("path", SCHEME, ""), "/")) == len(whole.split("/")) + 5)
+
+
+def split_fields(line):
+    """The fields of a line of CSV: commas and doubled quotes inside quotes belong to a field; blanks around it don't."""
+    quoted = F.split(line, r',(?=(?:[^"]*"[^"]*")*[^"]*$)')
+
+    def plain(field):
+        field = F.trim(field)
+        inner = F.regexp_replace(F.substring(field, F.lit(2), F.greatest(F.length(field) - 2, F.lit(0))), '""', '"')
+        return F.trim(F.when(field.startswith('"') & field.endswith('"') & (F.length(field) > 1), inner).otherwise(field))
+
+    return F.when(F.contains(line, F.lit('"')), F.transform(quoted, plain)).otherwise(F.transform(F.split(line, ","), lambda x: F.trim(x)))
+
+
 def clip_index(spark: SparkSession, root: str) -> DataFrame:
     """A row for each side-car file four folders down; one that can't be read gives nulls."""
-    rows = spark.read.text(f"{root}/*/*/*/*/meta.json", wholetext=True)
-    rows = with_key(rows).withColumn("meta", F.from_json("value", T.StructType.fromDDL(META), {"mode": "PERMISSIVE"}))
+    rows = with_key(below(spark, root, "meta.json")).withColumn("meta", F.from_json("value", T.StructType.fromDDL(META), {"mode": "PERMISSIVE"}))
     return rows.where("clip_id_pub is not null").select(*KEY, "meta.*")
 
 
@@ -42,12 +68,9 @@ def topic_lines(spark: SparkSession, root: str, name: str) -> DataFrame:
     A file is a recording's stretch of some seconds, and is read whole. Files that can't be read are
     left out; there may be none.
     """
-    reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", f"{name}.csv").option("ignoreCorruptFiles", True)
-    files = reader.text(root, wholetext=True).withColumn("path", F.input_file_name())
-    files = with_key(files).withColumn("lines", F.split(F.regexp_replace("value", "^\ufeff", ""), "\r?\n"))
-    fields = lambda line: F.transform(F.split(line, ","), lambda x: F.trim(F.btrim(F.trim(x), F.lit('"'))))
-    rows = files.select(*KEY, "path", fields(F.get("lines", F.lit(0))).alias("header"), F.explode_outer(F.slice("lines", 2, 2**31 - 2)).alias("line"))
-    return rows.withColumn("line", F.when(F.trim("line") != "", fields(F.col("line"))))
+    files = with_key(below(spark, root, f"{name}.csv")).withColumn("lines", F.split(F.regexp_replace("value", "^\ufeff", ""), "\r?\n"))
+    rows = files.select(*KEY, "path", split_fields(F.get("lines", F.lit(0))).alias("header"), F.explode_outer(F.slice("lines", 2, 2**31 - 2)).alias("line"))
+    return rows.withColumn("line", F.when(F.trim("line") != "", split_fields(F.col("line"))))
 
 
 def topic(spark: SparkSession, root: str, name: str) -> DataFrame:

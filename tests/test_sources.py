@@ -17,6 +17,24 @@ def test_recordings(spark, tmp_path):
     assert [(r.time_s, r.vEgo, r.standstill, r.cruiseState_speed, r.aEgo, r.gasPressed) for r in rows] == [(1.0, None, 0.0, 9.0, None, None), (2.0, 3.5, 1.0, None, None, None)]
 
 
+def test_topic_files_are_csv(spark, tmp_path):
+    at = tmp_path / "M" / "d" / "r" / "7"
+    at.mkdir(parents=True)
+    (at / "carState.csv").write_text('"note","time_s", vEgo ,"cruiseState.speed"\n"a,b",1,2.5,"9"\n"say ""x"", y",2,"3.5",\n"",3,,4\n')
+    for aside in (tmp_path, at / "deeper"):
+        aside.mkdir(exist_ok=True)
+        (aside / "carState.csv").write_text("time_s,vEgo\n9,9\n")
+    rows = readers.topic(spark, str(tmp_path), "carState").orderBy("time_s").collect()
+    assert [(r.clip_id_pub, r.time_s, r.vEgo, r.cruiseState_speed) for r in rows] == [(7, 1.0, 2.5, 9.0), (7, 2.0, 3.5, None), (7, 3.0, None, 4.0)]
+    lines = spark.createDataFrame([('a, "b,c" ,"d ""e""",',), ("x,y",), ("",), ('"',)], "line string")
+    assert [r[0] for r in lines.select(readers.split_fields(F.col("line"))).collect()] == [["a", "b,c", 'd "e"', ""], ["x", "y"], [""], ['"']]
+
+
+def test_an_empty_root(spark, tmp_path):
+    assert readers.clip_index(spark, str(tmp_path)).count() == 0
+    assert readers.topic(spark, str(tmp_path), "carState").count() == 0
+
+
 def test_retained_frames(spark):
     df = spark.range(0, 401).select(F.col("id").alias("frame_idx"), F.lit(20.0).alias("fps"))
     rows = readers.retained_frames(df, "fps", 5.0).collect()
