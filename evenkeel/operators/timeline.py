@@ -82,8 +82,38 @@ def _with_grid(df: DataFrame, points: DataFrame, key: str, tick: str, value: Col
     return seen.unionByName(asked)
 
 
-def as_of(df: DataFrame, points: DataFrame, key: str, tick: str, value: Column, tie: str, backfill: bool = False) -> DataFrame:
-    """(key, i, g, value): the last value at or before each grid tick; `backfill` gives earlier ticks the first value."""
+def _around(df: DataFrame, points: DataFrame, key: str, tick: str, value: Column, tie: str, width: int) -> DataFrame:
+    """Grid ticks with _a and _b, (tick, value) of the last value up to them and of the first from them on.
+
+    Time is cut into slices of `width` ticks. Each slice's first and last value, found before anything is
+    gathered, are carried over the slices of a key; then ticks look in their own slice and, where it has
+    nothing, take what was carried. So a key with very many rows is spread over its slices.
+    """
+    at = F.when(F.col("_on") == 0, F.struct("_t", "_v"))
+    place = F.when(F.col("_on") == 0, F.struct("_t", "_tie"))
+    rows = _with_grid(df, points, key, tick, value, tie).withColumn("_at", at).withColumn("_slice", F.floor(F.col("_t") / F.lit(width)).cast("long"))
+    ends = rows.groupBy(key, "_slice").agg(F.min_by("_at", place).alias("_first"), F.max_by("_at", place).alias("_last"))
+    along = Window.partitionBy(key).orderBy("_slice")
+    carried = ends.select(
+        F.col(key).alias("_k"), F.col("_slice").alias("_s"),
+        F.last("_last", True).over(along.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"), F.first("_first", True).over(along.rowsBetween(1, Window.unboundedFollowing)).alias("_after"),
+    )
+    inside = Window.partitionBy(key, "_slice")
+    back = inside.orderBy("_t", "_on", "_tie").rowsBetween(Window.unboundedPreceding, 0)
+    ahead = inside.orderBy("_t", F.desc("_on"), "_tie").rowsBetween(0, Window.unboundedFollowing)
+    rows = rows.withColumn("_a", F.last("_at", True).over(back)).withColumn("_b", F.first("_at", True).over(ahead)).where("_on = 1")
+    rows = rows.join(carried, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_slice") == F.col("_s")), "left")
+    return rows.withColumn("_a", F.coalesce("_a", "_before")).withColumn("_b", F.coalesce("_b", "_after"))
+
+
+def as_of(df: DataFrame, points: DataFrame, key: str, tick: str, value: Column, tie: str, backfill: bool = False, width: int | None = None) -> DataFrame:
+    """(key, i, g, value): the last value at or before each grid tick; `backfill` gives earlier ticks the first value.
+
+    With a `width` (in ticks) a key's rows are worked on by slices of that width and not all in one task.
+    """
+    if width:
+        found = F.coalesce("_a", "_b") if backfill else F.col("_a")
+        return _around(df, points, key, tick, value, tie, width).select(key, "i", F.col("_t").alias("g"), found["_v"].alias("value"))
     before = Window.partitionBy(key).orderBy("_t", "_on", "_tie")
     every = before.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     out = F.last("_v", True).over(before.rowsBetween(Window.unboundedPreceding, 0))
@@ -92,12 +122,15 @@ def as_of(df: DataFrame, points: DataFrame, key: str, tick: str, value: Column,
     return _with_grid(df, points, key, tick, value, tie).withColumn("value", out).where("_on = 1").select(key, "i", F.col("_t").alias("g"), "value")
 
 
-def interpolate(df: DataFrame, points: DataFrame, key: str, tick: str, value: Column, tie: str, clamp: bool = False) -> DataFrame:
-    """(key, i, g, value): linear between the values around each grid tick; outside null, or the end value."""
-    rows = _with_grid(df, points, key, tick, value, tie).withColumn("_at", F.when(F.col("_on") == 0, F.struct("_t", "_v")))
-    back = Window.partitionBy(key).orderBy("_t", "_on", "_tie").rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy(key).orderBy("_t", F.desc("_on"), "_tie").rowsBetween(0, Window.unboundedFollowing)
-    rows = rows.withColumn("_a", F.last("_at", True).over(back)).withColumn("_b", F.first("_at", True).over(ahead)).where("_on = 1")
+def interpolate(df: DataFrame, points: DataFrame, key: str, tick: str, value: Column, tie: str, clamp: bool = False, width: int | None = None) -> DataFrame:
+    """(key, i, g, value): linear between the values around each grid tick; outside null, or the end value. `width` as in as_of()."""
+    if width:
+        rows = _around(df, points, key, tick, value, tie, width)
+    else:
+        rows = _with_grid(df, points, key, tick, value, tie).withColumn("_at", F.when(F.col("_on") == 0, F.struct("_t", "_v")))
+        back = Window.partitionBy(key).orderBy("_t", "_on", "_tie").rowsBetween(Window.unboundedPreceding, 0)
+        ahead = Window.partitionBy(key).orderBy("_t", F.desc("_on"), "_tie").rowsBetween(0, Window.unboundedFollowing)
+        rows = rows.withColumn("_a", F.last("_at", True).over(back)).withColumn("_b", F.first("_at", True).over(ahead)).where("_on = 1")
     a, b = F.col("_a"), F.col("_b")
     share = (F.col("_t") - a["_t"]).cast("double") / F.nullif(b["_t"] - a["_t"], F.lit(0)).cast("double")
     line = F.when(a["_t"] == b["_t"], a["_v"]).otherwise(a["_v"] + (b["_v"] - a["_v"]) * share)

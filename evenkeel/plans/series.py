@@ -349,3 +349,23 @@ def isolated_blocks(spark, sf):
         return {"slope": float(np.dot(x, y - y.mean()) / np.dot(x, x))}
 
     return I.by_key(events(spark, sf), ["k"], block, "slope double")
+
+
+HOT = f"{EV}, g as (select i, (i * {STEP}::bigint)::bigint as g from (select unnest(range(0, {POINTS})) as i)), a as (select i, g, (select arg_max(v, [u, id]) from ev where u <= g) as v0, (select max(u) from ev where u <= g) as u0, (select arg_min(v, [u, id]) from ev where u >= g) as v1, (select min(u) from ev where u >= g) as u1 from g)"
+
+
+@query("q_asof_hot_key", f"with {HOT} select i, coalesce(v0, v1) as value from a", "i")
+def asof_hot_key(spark, sf):
+    """All rows are one key's: worked on by slices of a day."""
+    one = points(spark, sf).select("i", "g").distinct().withColumn("k", F.lit(1))
+    return L.as_of(events(spark, sf).withColumn("k", F.lit(1)), one, "k", "u", F.col("v"), "id", backfill=True, width=24 * HOUR).select("i", "value")
+
+
+@query(
+    "q_interp_hot_key",
+    f"with {HOT} select i, case when u0 is null or u1 is null then null when u0 = u1 then v0 else v0 + (v1 - v0) * ((g - u0)::double / (u1 - u0)::double) end as value from a",
+    "i",
+)
+def interp_hot_key(spark, sf):
+    one = points(spark, sf).select("i", "g").distinct().withColumn("k", F.lit(1))
+    return L.interpolate(events(spark, sf).withColumn("k", F.lit(1)), one, "k", "u", F.col("v"), "id", width=24 * HOUR).select("i", "value")
