@@ -98,7 +98,7 @@ def evaluate(df: DataFrame, folds: DataFrame, features: Features, model: str, ta
                 train, test = data.where(F.col("fold") != k), data.where(F.col("fold") == k)
                 if task == "classification" and train.select("label").distinct().limit(2).count() < 2:
                     continue
-                scored, _ = fit_and_predict(train, test, features, model, task)
+                scored, _ = fit_and_predict(train, test, features, model, task, hold=False)
                 if task == "classification":
                     metrics = V.class_metrics(scored, "label", "prediction").first().asDict()
                 else:
@@ -129,10 +129,12 @@ class Fitted:
         return scored.select(*[F.col(f"`{c}`") for c in rest], out.alias("prediction"))
 
 
-def fit(train: DataFrame, features: Features, model: str, task: str | None = None) -> Fitted:
-    """Encoder and model, learned from rows as prepare() gives them. Text labels are numbered in their order."""
-    # learning goes over the rows many times, what they are made from once
-    train = train.persist()
+def fit(train: DataFrame, features: Features, model: str, task: str | None = None, hold: bool = True) -> Fitted:
+    """Encoder and model, learned from rows as prepare() gives them. Text labels are numbered in their order.
+
+    Learning goes over the rows many times; they are held meanwhile, unless they are cheap to get again.
+    """
+    train = train.persist() if hold else train
     try:
         encoder = RowEncoder(list(features.numeric), list(features.categorical)).fit(train)
         rows, label, labels = encoder.transform(train), "label", None
@@ -144,12 +146,13 @@ def fit(train: DataFrame, features: Features, model: str, task: str | None = Non
             rows = rows.withColumn(label, number[F.col("label")])
         return Fitted(encoder, V.maker(model, task)(encoder.columns, label).fit(rows), labels)
     finally:
-        train.unpersist()
+        if hold:
+            train.unpersist()
 
 
-def fit_and_predict(train: DataFrame, test: DataFrame, features: Features, model: str, task: str | None = None) -> tuple[DataFrame, Fitted]:
+def fit_and_predict(train: DataFrame, test: DataFrame, features: Features, model: str, task: str | None = None, hold: bool = True) -> tuple[DataFrame, Fitted]:
     """test with a prediction, and what was fitted; a label that is only in the test rows is never predicted."""
-    fitted = fit(train, features, model, task)
+    fitted = fit(train, features, model, task, hold)
     return fitted.transform(test), fitted
 
 
