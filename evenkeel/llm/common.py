@@ -74,7 +74,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession):
         self.spark, self.path = spark, f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
-        self.n, self.named = 0, {}
+        self.n, self.named, self.tables = 0, {}, []
         atexit.register(self.close)
 
     def write(self, df: DataFrame, name: str | None = None) -> DataFrame:
@@ -87,6 +87,15 @@ class Scratch:
             self.named[name] = to
         return self.spark.read.schema(df.schema).parquet(to)
 
+    def dealt(self, df: DataFrame, key: str) -> DataFrame:
+        """The rows of df, computed once and kept in buckets by a key: a join by it moves the other side alone."""
+        self.n += 1
+        name = f"scratch_{uuid.uuid4().hex}"
+        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        self.tables.append(name)
+        df.write.format("parquet").bucketBy(parts, key).sortBy(key).option("path", f"{self.path}/{self.n}").saveAsTable(name)
+        return self.spark.table(name)
+
     def _delete(self, at: str) -> None:
         if self.spark.sparkContext._jsc is not None:
             path = self.spark._jvm.org.apache.hadoop.fs.Path(at)
@@ -94,6 +103,9 @@ class Scratch:
 
     def close(self) -> None:
         atexit.unregister(self.close)
+        if self.spark.sparkContext._jsc is not None:
+            for name in self.tables:
+                self.spark.sql(f"DROP TABLE IF EXISTS {name}")
         self._delete(self.path)
 
 

@@ -28,8 +28,10 @@ from .components import components
 #: Bytes of an n-gram in a stored row of the matrix.
 WIDTH = 6
 GRAM = U64((1 << 8 * WIDTH) - 1)
-#: Slots in which n-grams are counted by hash, and a summand of them that a row holds.
+#: Slots in which n-grams are counted by hash, for their order alone, and a summand of them that a row holds.
 SLOTS, CHUNK = 1 << 19, 1 << 13
+#: Bits of the filter that tells rows which later steps need, a power of two; 8 MB, at any size of the tables.
+MARKS = 1 << 26
 #: Rows of a column that are multiplied out; rows of a tile of a larger one, each way.
 BLOCK, TILE = 64, 512
 #: Rows that one other row is multiplied with at a time.
@@ -169,31 +171,35 @@ def column_counts(sets: DataFrame) -> np.ndarray:
     return summed(sets.where("row is not null").select("row"), SLOTS, add)
 
 
-def those(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """rows (id, n, row) less most of those that aren't of the given ids: rows whose id has a slot that no given id has.
+def marks(ids: DataFrame) -> np.ndarray:
+    """A bit for each hash of an id that is there, packed in words of 64."""
+    at = ids.select(F.xxhash64("id").bitwiseAND(MARKS - 1).alias("at"))
+    words = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at & 63 as int)))").alias("bits")).toArrow()
+    out = np.zeros(MARKS // 64, np.int64)
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    return out
 
-    Rows are wide, so they are left where they are rather than moved to a join that drops them.
-    """
 
-    def add(batches):
-        total = np.zeros(SLOTS, np.int64)
-        for batch in batches:
-            total += np.bincount(slots(mixed(batch.column(0).to_numpy().view(U64))), minlength=SLOTS)
-        return total
+def marked(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return bits[at >> 6] >> (at & 63) & 1 == 1
 
-    some = rows.sparkSession.sparkContext.broadcast(summed(ids.select("id"), SLOTS, add) > 0)
 
-    def run(batches):
-        for batch in batches:
-            yield batch.filter(pa.array(some.value[slots(mixed(batch.column(0).to_numpy().view(U64)))]))
+def needed_rows(sets: DataFrame, ids: DataFrame, scratch: Scratch) -> DataFrame:
+    """(id, n, row) of the given ids, each once, dealt by id.
 
-    return rows.select("id", "n", "row").mapInArrow(run, "id long, n long, row binary")
+    This is the one time that rows move for themselves. Those whose mark no given id has stay where
+    they are; marks say less as ids grow (a row that isn't needed passes with 4 % at 3 million ids), up to
+    every row moving once.
+    """
+    some = sets.sparkSession.sparkContext.broadcast(marks(ids))
 
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(marked(some.value, batch.column(3).to_numpy()))).select([0, 1, 2])
 
-def needed_rows(sets: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, n, row) of the given ids, each once."""
-    rows = those(sets.where("row is not null"), ids).join(ids, "id", "left_semi")
-    return rows.groupBy("id").agg(F.first("n").alias("n"), F.first("row").alias("row"))
+    rows = sets.where("row is not null").select("id", "n", "row", F.xxhash64("id").bitwiseAND(MARKS - 1).alias("at"))
+    rows = rows.mapInArrow(run, "id long, n long, row binary").join(ids, "id", "left_semi")
+    return scratch.dealt(rows.groupBy("id").agg(F.first("n").alias("n"), F.first("row").alias("row")), "id")
 
 
 def columns(sets: DataFrame, order, bound: Bound, often: bool) -> DataFrame:
@@ -224,10 +230,15 @@ def columns(sets: DataFrame, order, bound: Bound, often: bool) -> DataFrame:
     return sets.where("row is not null").select("id", "n", "row").mapInArrow(run, "gram long, id long, x long")
 
 
+#: Columns of what products() and multiplied() give.
+MET = ["gram", "a", "b", "x", "y"]
+
+
 def products(batches, bound: Bound, block: int):
     """Entries (gram, id, x), sorted, to (a, b, x, y): every two rows of a column whose sizes allow a link, a < b.
 
     A column of more than `block` rows gives its entries back instead: (gram, null, id, x) as (gram, b = null, a = id, x).
+    It is given back as it comes; no more than `block` + 1 of its entries are held beside a batch.
     """
     rest = [np.zeros(0, np.int64)] * 3
     for batch in batches:
@@ -237,19 +248,25 @@ def products(batches, bound: Bound, block: int):
         new = np.r_[True, (gram[1:] != gram[:-1]) | (ids[1:] != ids[:-1])]  # an equal row may be stored more than once
         gram, ids, x = gram[new], ids[new], x[new]
         last = np.searchsorted(gram, gram[-1])
-        rest = [gram[last:], ids[last:], x[last:]]
         yield from multiplied(gram[:last], ids[:last], x[:last], bound, block)
+        held = max(last, len(gram) - block - 1)  # what stays is still more than a block if the column is
+        if held > last:
+            yield given_back(gram[last:held], ids[last:held], x[last:held])
+        rest = [gram[held:], ids[held:], x[held:]]
     yield from multiplied(*rest, bound, block)
 
 
+def given_back(gram: np.ndarray, ids: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
+    none = pa.nulls(len(gram), pa.int64())
+    return pa.record_batch([pa.array(gram), pa.array(ids), none, pa.array(x), none], names=MET)
+
+
 def multiplied(gram: np.ndarray, ids: np.ndarray, x: np.ndarray, bound: Bound, block: int):
     starts = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]][: len(gram)])
     size = np.repeat(np.diff(np.r_[starts, len(gram)]), np.diff(np.r_[starts, len(gram)]))
-    names = ["gram", "a", "b", "x", "y"]
     many = size > block
     if many.any():
-        none = pa.nulls(int(many.sum()), pa.int64())
-        yield pa.record_batch([pa.array(gram[many]), pa.array(ids[many]), none, pa.array(x[many]), none], names=names)
+        yield given_back(gram[many], ids[many], x[many])
     few = (size > 1) & ~many
     gram, ids, x, size = gram[few], ids[few], x[few], size[few]
     for d in range(1, int(size.max(initial=1))):
@@ -259,21 +276,24 @@ def multiplied(gram: np.ndarray, ids: np.ndarray, x: np.ndarray, bound: Bound, b
         ok = 100 * low >= bound.percent * high
         if ok.any():
             a, b = a[ok], b[ok]
-            yield pa.record_batch([pa.nulls(len(a), pa.int64()), *(pa.array(c) for c in (ids[a], ids[b], x[a], x[b]))], names=names)
+            yield pa.record_batch([pa.nulls(len(a), pa.int64()), *(pa.array(c) for c in (ids[a], ids[b], x[a], x[b]))], names=MET)
 
 
-def linked_pairs(pairs: DataFrame, rows: DataFrame, bound: Bound, scratch: Scratch, few: bool = False) -> DataFrame:
+def linked_pairs(pairs: DataFrame, rows: DataFrame, bound: Bound, scratch: Scratch) -> DataFrame:
     """Of the pairs (a, b), those within the threshold by the product of their whole rows.
 
-    A row is multiplied with PARTNERS others at a time, and moved once for these. few: whether the
-    pairs have far fewer rows than there are, so that the others had better stay where they are.
+    Of a pair, the row that is in more pairs is multiplied with up to PARTNERS others at a time and moved once
+    for these, so a row that meets very many isn't moved for each of them. rows are dealt by id
+    and are joined where they are.
     """
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    many = pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("blocks"))
-    dealt = scratch.write(pairs.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), "blocks").alias("block")), "dealt")
+    met = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).groupBy("id").agg(F.count("*").alias("met"))
+    for side in ("a", "b"):
+        pairs = pairs.join(met.select(F.col("id").alias(side), F.col("met").alias(f"met_{side}")), side)
+    turn = F.col("met_b") > F.col("met_a")
+    turned = pairs.select(F.when(turn, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(turn, F.col("a")).otherwise(F.col("b")).alias("b"), F.ceil(F.greatest("met_a", "met_b") / PARTNERS).cast("int").alias("blocks"))
+    dealt = scratch.write(turned.select("a", "b", F.pmod(F.xxhash64("b"), "blocks").alias("block")), "dealt")
     wanted = dealt.select("a", "block", F.col("a").alias("id")).distinct().unionByName(dealt.select("a", "block", F.col("b").alias("id")))
-    if few:
-        rows = those(rows, wanted.select("id").distinct())
     wanted = wanted.join(rows, "id").select("a", "block", (F.col("id") != F.col("a")).alias("other"), "id", "row")
     wanted = wanted.repartition(parts, "a", "block").sortWithinPartitions("a", "block", "other")
 
@@ -349,7 +369,7 @@ def links_of_large_columns(big: DataFrame, linked: DataFrame, tried: DataFrame,
             found = tiles.mapInArrow(lambda x: tile_pairs(x, bound), "a long, b long").distinct()
         found = scratch.write(found.join(tried, ["a", "b"], "left_anti"))
         tried = tried.unionByName(found)
-        linked = linked.unionByName(scratch.write(linked_pairs(found, rows, bound, scratch, few=True)))
+        linked = linked.unionByName(scratch.write(linked_pairs(found, rows, bound, scratch)))
         if last:
             break
     return linked
@@ -406,7 +426,7 @@ def link_counts(parted: DataFrame, times: DataFrame, rows: DataFrame, bound: Bou
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     each = scratch.write(parted.join(rows.select("id", "n"), "id").join(times, "id"), "each")
     sizes = each.groupBy("component").agg(F.ceil(F.greatest(F.count("*") / PRODUCT, F.sum("n") / PRODUCT_GRAMS)).cast("int").alias("tiles"))
-    tiles = scratch.write(each.join(sizes, "component"), "tiles").join(those(rows, each).select("id", "row"), "id")
+    tiles = scratch.write(each.join(sizes, "component"), "tiles").join(rows.select("id", "row"), "id")
     tiles = tiles.withColumn("at", F.pmod(F.xxhash64("id"), "tiles").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     tiles = tiles.select("component", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"), "at", "id", "times", "n", "row")
     tiles = tiles.repartition(parts, "component", "i", "j").sortWithinPartitions("component", "i", "j")
@@ -466,7 +486,7 @@ def similar_rows(docs: DataFrame, words: int, percent: int, count_links: bool, s
     pairs = scratch.write(pairs.where(f"{reach} and {total}").select("a", "b"))
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
     ids = scratch.write((ids.union(big.select("id")) if large else ids).distinct())
-    rows = scratch.write(needed_rows(sets, ids))
+    rows = needed_rows(sets, ids, scratch)
 
     linked = scratch.write(linked_pairs(pairs, rows, bound, scratch))
     if large:
@@ -500,9 +520,10 @@ def similar_groups(docs: DataFrame, words: int = 5, percent: int = 80, count_lin
     Other columns are ignored. No rows: no rows.
     """
     scratch = Scratch(docs.sparkSession)
-    out = durable(similar_rows(docs, words, percent, count_links, scratch, block).select("doc_id", "n_shingles", *["n_links"] * count_links, "component_id"))
-    scratch.close()
-    return out
+    try:
+        return durable(similar_rows(docs, words, percent, count_links, scratch, block).select("doc_id", "n_shingles", *["n_links"] * count_links, "component_id"))
+    finally:
+        scratch.close()
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:

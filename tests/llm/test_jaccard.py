@@ -117,3 +117,42 @@ def test_rows_within_the_threshold_share_a_column_and_may_meet():
             assert bound.can(len(a), len(b), np.searchsorted(a, both[0]), np.searchsorted(b, both[0]))
             rest = max(len(a) - len(p), len(b) - len(q))
             assert len(both) + rest >= bound.least(len(a) + len(b))
+
+
+def test_marks_keep_few_rows_that_are_not_needed(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    # 3 million ids: all of them pass, and under 5 in 100 others
+    bits = jaccard.marks(spark.range(0, 3_000_000, 1, 8))
+    at = F.xxhash64("id").bitwiseAND(jaccard.MARKS - 1).alias("at")
+    given, others = (spark.range(a, a + 200_000).select(at).toArrow().column("at").to_numpy() for a in (1_000_000, 5_000_000))
+    assert jaccard.marked(bits, given).all()
+    assert np.mean(jaccard.marked(bits, others)) < 0.05
+    assert bits.nbytes == 8 << 20 and not jaccard.marks(spark.range(0)).any()
+
+
+def test_a_large_column_is_given_back_as_it_comes():
+    import numpy as np
+    import pyarrow as pa
+
+    gram = np.r_[np.repeat(1, 3), np.repeat(2, 900), np.repeat(3, 2)]
+    ids = np.r_[[1, 2, 2], np.repeat(np.arange(300), 3), [5, 6]]
+    x = np.full(len(gram), 10 << 32)
+    batches = [pa.record_batch([pa.array(c[k : k + 70]) for c in (gram, ids, x)], names=["gram", "id", "x"]) for k in range(0, len(gram), 70)]
+    for block in (4, 64, 299, 300):
+        got = [r for b in jaccard.products(iter(batches), jaccard.Bound(90), block) for r in b.to_pylist()]
+        back = [(r["gram"], r["a"]) for r in got if r["b"] is None]
+        assert back == ([(2, k) for k in range(300)] if block < 300 else [])
+        pairs = {(r["a"], r["b"]) for r in got if r["b"] is not None}
+        assert pairs == ({(a, b) for b in range(300) for a in range(b)} if block == 300 else {(1, 2), (5, 6)})
+
+
+def test_rows_dealt_by_id_stay_for_joins(spark):
+    scratch = jaccard.Scratch(spark)
+    rows = scratch.dealt(spark.range(1000).selectExpr("id", "id * 2 as n"), "id")
+    plan = rows.hint("merge").join(spark.range(50, 70), "id")
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert plan.count() == 20 and text.count("Exchange hashpartitioning") == 1
+    scratch.close()
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("scratch_")]
