@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from array import array
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -14,8 +16,8 @@ from .common import column, parts_by_bytes, table
 
 TOKENIZER = "piece_bpe_32k.model"
 SPACE = "▁"
-#: Bytes of segments and ids that a task remembers, once among those met of late and once among those before;
-#: characters from which a segment isn't remembered; pairs of tokens that a task remembers until it forgets all.
+#: Bytes of segments and ids that a worker process remembers, once among those met of late and once among those before;
+#: characters from which a segment isn't remembered; pairs of tokens that it remembers until it forgets all.
 REMEMBERED, LONG, PAIRS = 40 << 20, 1 << 10, 300_000
 
 
@@ -40,6 +42,7 @@ class PrefixTable:
         if any(self.model.is_unused(i) for i in plain.values()) or not self.model.is_byte(self.bytes_from) or letters - set(plain):
             raise ValueError("needs a merge-type model with byte pieces, without unused pieces, that has each of its characters as a piece")
         self.text = {i: p for p, i in plain.items()}
+        self.sizes = {i: len(p) for p, i in plain.items()}
         self.score = {p: self.model.get_score(i) for p, i in plain.items()}
         self.automaton = ahocorasick.Automaton()
         for p, i in plain.items():
@@ -49,7 +52,7 @@ class PrefixTable:
         # where no piece has a space mark or line feed inside, no merge goes over the start of a run of marks, or a line feed
         cuts = not any(SPACE in p.lstrip(SPACE) or "\n" in p for p in plain)
         self.segments = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n" if cuts else "(?s:.+)").findall
-        self.fits: dict[int, bool] = {}
+        self.n, self.fits = len(ids), {}
         self.held: dict[str, bytes] = {}
         self.older, self.size = self.held, 0
 
@@ -68,7 +71,7 @@ class PrefixTable:
         return parts
 
     def pair_fits(self, left: int, right: int) -> bool:
-        key = left << 32 | right
+        key = left * self.n + right
         out = self.fits.get(key)
         if out is None:
             if len(self.fits) >= PAIRS:
@@ -79,22 +82,25 @@ class PrefixTable:
 
     def segment_ids(self, text: str) -> list[int]:
         """Ids of a text in the model's normal form."""
-        last = np.zeros(len(text) + 1, np.int32) if len(text) > 1 << 16 else [0] * (len(text) + 1)
-        fits = self.pair_fits
+        last = array("i", bytes(4 * len(text) + 4)) if len(text) > 1 << 16 else [0] * (len(text) + 1)
+        known, n, sizes = self.fits.get, self.n, self.sizes
         for end, (size, token) in self.automaton.iter(text):
             stop = end + 1
             if not last[stop]:
-                start = stop - size
-                left = int(last[start])
+                left = last[stop - size]
                 # nothing before it, or a character that no piece has
-                if not left or fits(left, token):
+                if not left:
+                    last[stop] = token
+                    continue
+                fit = known(left * n + token)
+                if fit or fit is None and self.pair_fits(left, token):
                     last[stop] = token
         out, at = [], len(text)
         while at:
-            token = int(last[at])
+            token = last[at]
             if token:
                 out.append(token)
-                at -= len(self.text[token])
+                at -= sizes[token]
             else:
                 at -= 1
                 out.extend(self.bytes_from + b for b in reversed(text[at].encode()))
@@ -113,7 +119,7 @@ class PrefixTable:
         """Ids of a segment that isn't among those met of late; it is from now on."""
         raw = self.held.get(segment) or self.older.get(segment)
         if raw is None:
-            raw = np.array(self.segment_ids(segment), np.int32).tobytes()
+            raw = array("i", self.segment_ids(segment)).tobytes()
             if len(segment) > LONG:
                 return raw
         self.size += len(segment) + len(raw) + 200
@@ -123,28 +129,59 @@ class PrefixTable:
         return raw
 
 
+@lru_cache(maxsize=1)
+def prefix_table(path: str) -> PrefixTable:
+    """One for a worker process, which hands what it remembers on from task to task."""
+    return PrefixTable(path)
+
+
+@lru_cache(maxsize=1)
+def piece_bytes(path: str) -> pa.Array:
+    """What each id gives in a decoded text."""
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    first = model.piece_to_id("<0x00>")
+    pieces = [bytes([i - first]) if model.is_byte(i) else b"" if model.is_control(i) else model.id_to_piece(i).replace(SPACE, " ").encode() for i in range(model.vocab_size())]
+    if model.unk_id() >= 0:
+        pieces[model.unk_id()] = model.decode([model.unk_id()]).encode()
+    return pa.array(pieces, pa.binary())
+
+
+def encoded(batches, path: str):
+    """Batches that begin with doc_id and have a text, to doc_id and ids."""
+    encoder = prefix_table(path)
+    end = np.array([encoder.model.eos_id()], np.int32).tobytes()
+    for whole in batches:
+        for batch in parts_by_bytes(whole):
+            rows = [encoder.ids(t or "") + end for t in column(batch, "text")]
+            offsets = np.zeros(len(rows) + 1, np.int32)
+            np.cumsum([len(r) // 4 for r in rows], out=offsets[1:])
+            flat = pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(rows))])
+            yield pa.record_batch([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), flat)], names=["doc_id", "ids"])
+
+
+def decoded(batches, path: str):
+    """Batches of doc_id and ids, to those with the text."""
+    pieces = piece_bytes(path)
+    for batch in batches:
+        ids = batch.column(1)
+        parts = pa.ListArray.from_arrays(ids.offsets, pieces.take(ids.values))
+        raw = pc.binary_join(parts, b"").to_pylist()
+        texts = [None if not known.as_py() else _text(r[1:] if r[:1] == b" " else r) for r, known in zip(raw, ids.is_valid())]
+        yield pa.record_batch([batch.column(0), ids, pa.array(texts, pa.string())], names=["doc_id", "ids", "text"])
+
+
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """doc_id and ids (array of int) of each document's whole text, the end id last.
 
     As the sentencepiece library gives them for the model at `path`, which must be of merge type
-    with byte pieces. No shuffle: a task remembers the ids of segments that no merge can cross (a run
+    with byte pieces. No shuffle: a worker process remembers the ids of segments that no merge can cross (a run
     of spaces with the word after it), up to twice REMEMBERED bytes. A text is held whole, with some 60 bytes
     a character of the longest segment. Needs doc_id and text; other columns are ignored. A null text
     counts as empty: the end id alone. Null, equal and repeated doc_id: a row each. No rows: no rows.
     """
-
-    def run(batches):
-        encoder = PrefixTable(path)
-        end = np.array([encoder.model.eos_id()], np.int32).tobytes()
-        for whole in batches:
-            for batch in parts_by_bytes(whole):
-                rows = [encoder.ids(t or "") + end for t in column(batch, "text")]
-                offsets = np.zeros(len(rows) + 1, np.int32)
-                np.cumsum([len(r) // 4 for r in rows], out=offsets[1:])
-                flat = pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(rows))])
-                yield pa.record_batch([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), flat)], names=["doc_id", "ids"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids array<int>")
+    return _texts(docs).mapInArrow(lambda batches: encoded(batches, path), "doc_id long, ids array<int>")
 
 
 def decode(rows: DataFrame, path: str) -> DataFrame:
@@ -154,25 +191,16 @@ def decode(rows: DataFrame, path: str) -> DataFrame:
     model's own and goes. Bytes that aren't UTF-8 become U+FFFD, one each. Null ids: null text; an
     id that the model doesn't have is an error. No rows: no rows.
     """
+    return rows.select("doc_id", "ids").mapInArrow(lambda batches: decoded(batches, path), "doc_id long, ids array<int>, text string")
 
-    def run(batches):
-        import sentencepiece
 
-        model = sentencepiece.SentencePieceProcessor(model_file=path)
-        n = model.vocab_size()
-        first = model.piece_to_id("<0x00>")
-        pieces = [bytes([i - first]) if model.is_byte(i) else b"" if model.is_control(i) else model.id_to_piece(i).replace(SPACE, " ").encode() for i in range(n)]
-        if model.unk_id() >= 0:
-            pieces[model.unk_id()] = model.decode([model.unk_id()]).encode()
-        pieces = pa.array(pieces, pa.binary())
-        for batch in batches:
-            ids = batch.column(1)
-            parts = pa.ListArray.from_arrays(ids.offsets, pieces.take(ids.values))
-            raw = pc.binary_join(parts, b"").to_pylist()
-            texts = [None if not known.as_py() else _text(r[1:] if r[:1] == b" " else r) for r, known in zip(raw, ids.is_valid())]
-            yield pa.record_batch([batch.column(0), ids, pa.array(texts, pa.string())], names=["doc_id", "ids", "text"])
+def round_trip(docs: DataFrame, path: str) -> DataFrame:
+    """What decode gives for what encode gives: doc_id, ids and text, by one worker process for a task instead of two."""
+    return _texts(docs).mapInArrow(lambda batches: decoded(encoded(batches, path), path), "doc_id long, ids array<int>, text string")
+
 
-    return rows.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, text string")
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
 
 def _text(raw: bytes) -> str:
@@ -194,6 +222,6 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path(TOKENIZER)
-    rows = decode(encode(table(spark, sf_dir, "documents"), path), path)
+    rows = round_trip(table(spark, sf_dir, "documents"), path)
     ids = F.concat_ws(" ", F.col("ids").cast("array<string>"))
     return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids.cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))

@@ -68,3 +68,13 @@ def test_query(spark, model, tmp_path):
     for r in pieces.op13(spark, str(tmp_path)).collect():
         ids = model.encode(texts[r.doc_id] or "", add_eos=True)
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(model.decode(ids).encode()).hexdigest())
+
+
+def test_the_query_takes_one_worker_a_task_and_one_table_a_worker(spark, model, tmp_path):
+    texts = ["one text", None, "", " two  ", "é中😀 <s>", "ends \n"] * 8
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6).write.parquet(f"{tmp_path}/documents.parquet")
+    assert pieces.op13(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    got = {r.doc_id: (r.ids, r.text) for r in pieces.round_trip(spark.read.parquet(f"{tmp_path}/documents.parquet"), PATH).collect()}
+    assert got == {i: (ids := model.encode(t or "", add_eos=True), model.decode(ids)) for i, t in enumerate(texts)}
+    assert pieces.prefix_table(PATH) is pieces.prefix_table(PATH)
+    assert list(pieces.decoded(pieces.encoded(iter([]), PATH), PATH)) == []
