@@ -156,3 +156,62 @@ def test_rows_dealt_by_id_stay_for_joins(spark):
     assert plan.count() == 20 and text.count("Exchange hashpartitioning") == 1
     scratch.close()
     assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("scratch_")]
+
+
+def test_signatures_never_differ_in_more_than_the_rows():
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    sets = []
+    for n in (1, 2, 63, 64, 65, 128, 500, 520, 3000, 9000):
+        x = rng.integers(0, 1 << 63, n).astype(np.uint64)
+        sets += [np.unique(x), np.unique(np.r_[x[n // 10 :], rng.integers(0, 1 << 63, n // 8).astype(np.uint64)])]
+    marks = [jaccard.signature(x) for x in sets]
+    got = jaccard.all_apart(marks, marks[3:])
+    assert got.tolist() == [[jaccard.apart(a, b) for b in marks[3:]] for a in marks]
+    assert all(got[i, j] <= len(np.setxor1d(a, b)) for i, a in enumerate(sets) for j, b in enumerate(sets[3:]))
+    a, b = (rng.integers(0, 1 << 63, 500).astype(np.uint64) for _ in "ab")  # and unlike rows are told apart
+    assert jaccard.apart(jaccard.signature(a), jaccard.signature(b)) > jaccard.Bound(90).most(1000)
+
+
+def test_pairs_of_a_large_column_are_not_handed_on(spark, monkeypatch):
+    # 150 texts with the same passage, all alike but hardly any within the threshold: 11,175 pairs in each column of it
+    rng = random.Random(9)
+    base = [f"p{i}" for i in range(200)]
+    docs = []
+    for i in range(150):
+        w = list(base)
+        for k in rng.sample(range(200), 3 if i % 15 else 1):
+            w[k] = f"u{rng.randrange(10**9)}"
+        docs.append((i, " ".join(w)))
+    moved = []
+    whole = jaccard.linked_pairs
+    monkeypatch.setattr(jaccard, "linked_pairs", lambda pairs, *rest: moved.append(pairs.count()) or whole(pairs, *rest))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = jaccard.similar_groups(frame, 3, 90).collect()
+    assert sorted(map(tuple, got), key=str) == brute(docs, 3, 90)
+    assert sum(moved) <= 2 * len(docs)
+
+
+def test_a_tile_gives_no_more_links_than_rows():
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 1 << 63, 300).astype(np.uint64)
+    sets = [np.unique(np.r_[base[k % 9 :], rng.integers(0, 1 << 63, k % 3).astype(np.uint64)]) for k in range(80)]
+    n = np.array([len(x) for x in sets])
+    at = np.arange(80) % 2
+    bound, ids = jaccard.Bound(90), np.arange(80) * 7
+    for i, j in ((0, 0), (0, 1)):
+        here = np.flatnonzero((at == i) | (at == j))
+        one = np.zeros(len(here), np.int64)
+        tile = {"gram": one, "i": one + i, "j": one + j, "at": at[here], "id": ids[here], "x": n[here] << 32, "comp": ids[here], "early": [[0]] * len(here), "signature": [jaccard.signature(sets[k]) for k in here]}
+        some = pa.Table.from_batches(jaccard.tile_partners(iter(pa.table(tile).to_batches()), bound))
+        assert some.column("id").to_pylist() == ids[here].tolist()
+        wide = some.append_column("n", pa.array(n[here])).append_column("row", pa.array([jaccard.packed(sets[k]) for k in here]))
+        links = pa.Table.from_batches(jaccard.tile_links(iter(wide.combine_chunks().to_batches()), bound))
+        assert links.num_rows == len(here) - 1
+        # a pair that both rows have met before is left to that column
+        tile["early"] = [[5, 0]] * len(here)
+        assert not list(jaccard.tile_partners(iter(pa.table(tile).to_batches()), bound))
