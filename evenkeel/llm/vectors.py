@@ -232,7 +232,7 @@ def near_vectors(rows: DataFrame, cosine: float = COSINE) -> DataFrame:
     tiles = tiles.repartition(parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
     links = scratch.write(tiles.mapInArrow(lambda x: tile_links(x, cosine), "a long, b long, n long"))
     counts = links.where("b is null").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("linked"))
-    parted = components(links.where("b is not null").select("a", "b"), scratch).withColumnRenamed("node", "id")
+    parted = components(links.where("b is not null").select("a", "b").distinct(), scratch).withColumnRenamed("node", "id")
     firsts = classes.select("id", "times", "first")
     lowest = parted.join(firsts, "id").groupBy("component").agg(F.min("first").alias("lowest"))
     parted = parted.join(lowest, "component").select("id", "lowest")

@@ -215,3 +215,24 @@ def test_a_tile_gives_no_more_links_than_rows():
         # a pair that both rows have met before is left to that column
         tile["early"] = [[5, 0]] * len(here)
         assert not list(jaccard.tile_partners(iter(pa.table(tile).to_batches()), bound))
+
+
+@pytest.mark.parametrize("few,block", [(0, 2), (0, 20), (200, 20)])
+def test_components_are_worked_out_anew_only_after_new_links(spark, monkeypatch, few, block):
+    # one row against its column joins a group of near copies; what is left apart shares a passage and has no partner
+    rng = random.Random(12)
+    base = [f"w{rng.randrange(10_000)}" for _ in range(150)]
+    docs = []
+    for i in range(120):
+        w = list(base)
+        for _ in range(i % 3):
+            w[rng.randrange(len(w))] = f"u{rng.randrange(10**6)}"
+        docs.append((i, " ".join(w)))
+    docs += [(1000 + i, " ".join(base[:30] + [f"v{rng.randrange(10**6)}" for _ in range(30)])) for i in range(60)]
+    calls = []
+    whole = jaccard.components
+    monkeypatch.setattr(jaccard, "components", lambda *rest: calls.append(1) or whole(*rest))
+    monkeypatch.setattr(jaccard, "FEW", few)
+    got = jaccard.similar_groups(spark.createDataFrame(docs, "doc_id long, text string"), 3, 90, block=block).collect()
+    assert sorted(map(tuple, got), key=str) == brute(docs, 3, 90)
+    assert len(calls) <= 2
