@@ -93,15 +93,16 @@ def _around(df: DataFrame, points: DataFrame, key: str, tick: str, value: Column
     place = F.when(F.col("_on") == 0, F.struct("_t", "_tie"))
     rows = _with_grid(df, points, key, tick, value, tie).withColumn("_at", at).withColumn("_slice", F.floor(F.col("_t") / F.lit(width)).cast("long"))
     ends = rows.groupBy(key, "_slice").agg(F.min_by("_at", place).alias("_first"), F.max_by("_at", place).alias("_last"))
-    along = Window.partitionBy(key).orderBy("_slice")
+    # what follows is looked up backwards: Spark works out a frame that ends with the last row anew for every row
+    along, on = Window.partitionBy(key).orderBy("_slice"), Window.partitionBy(key).orderBy(F.desc("_slice"))
     carried = ends.select(
         F.col(key).alias("_k"), F.col("_slice").alias("_s"),
-        F.last("_last", True).over(along.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"), F.first("_first", True).over(along.rowsBetween(1, Window.unboundedFollowing)).alias("_after"),
+        F.last("_last", True).over(along.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"), F.last("_first", True).over(on.rowsBetween(Window.unboundedPreceding, -1)).alias("_after"),
     )
     inside = Window.partitionBy(key, "_slice")
     back = inside.orderBy("_t", "_on", "_tie").rowsBetween(Window.unboundedPreceding, 0)
-    ahead = inside.orderBy("_t", F.desc("_on"), "_tie").rowsBetween(0, Window.unboundedFollowing)
-    rows = rows.withColumn("_a", F.last("_at", True).over(back)).withColumn("_b", F.first("_at", True).over(ahead)).where("_on = 1")
+    ahead = inside.orderBy(F.desc("_t"), "_on", F.desc("_tie")).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_a", F.last("_at", True).over(back)).withColumn("_b", F.last("_at", True).over(ahead)).where("_on = 1")
     rows = rows.join(carried, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_slice") == F.col("_s")), "left")
     return rows.withColumn("_a", F.coalesce("_a", "_before")).withColumn("_b", F.coalesce("_b", "_after"))
 

@@ -357,7 +357,7 @@ HOT = f"{EV}, g as (select i, (i * {STEP}::bigint)::bigint as g from (select unn
 @query("q_asof_hot_key", f"with {HOT} select i, coalesce(v0, v1) as value from a", "i")
 def asof_hot_key(spark, sf):
     """All rows are one key's: worked on by slices of a day."""
-    one = points(spark, sf).select("i", "g").distinct().withColumn("k", F.lit(1))
+    one = L.grid(spark.range(1).select(F.lit(1).alias("k")), POINTS, STEP)
     return L.as_of(events(spark, sf).withColumn("k", F.lit(1)), one, "k", "u", F.col("v"), "id", backfill=True, width=24 * HOUR).select("i", "value")
 
 
